@@ -8,11 +8,13 @@ full sets.  With 64 permutations in 32 bands of 4, a pair at a similarity of
 exactly 0.75 goes unseen with a probability of 6e-6, a closer one with less.
 
 Candidates are not spread into all pairs.  Documents with equal sets are one
-node.  Two rounds compare each node with one hub of its buckets; what these
-confirm is contracted, and only nodes of different components that still share
-a bucket are compared pair by pair, which makes the components exact for the
-candidates.  The last step grows with the square only of the number of
-documents in one bucket that are *not* linked.
+node.  Two rounds compare each node with one hub of its buckets, and what these
+confirm is contracted.  Buckets that still hold nodes of different components
+are cut into blocks, and pairs of blocks are compared inside a task: first the
+signatures (a pair agreeing in less than 0.55 of 128 values is at 0.75 with a
+probability of 1e-7), then the full sets of the nodes that have a plausible
+partner.  Only links that join two components come out, so no pair is ever a
+row, and no task holds more than two blocks.
 
 Cases: a null or blank text has no shingles, links with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; rows with the
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from ._scratch import written
 from ._words import Words, mix, pieces, shingles
 from .components import components
+from .vectors import groups
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +106,20 @@ def _describe(n: int, permutations: int, bands: int):
                 full = np.flatnonzero(size)
                 starts = np.append(first[:-1][full], first[-1])
                 fp = np.zeros((2, len(part)), np.uint64)
-                keys = np.zeros((0, bands), np.uint64)
+                keys, brief = np.zeros((0, bands), np.uint64), [None] * len(part)
                 if len(full):
                     fp[0, full] = np.add.reduceat(mix(h.copy()), starts[:-1])
                     fp[1, full] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5DEADBEEF)), starts[:-1])
-                    keys = band_keys(signatures(h, starts, permutations), bands)
+                    sig = signatures(h, starts, permutations)
+                    keys = band_keys(sig, bands)
+                    low = (sig >> np.uint64(20)).astype(np.uint8)
+                    for i, row in zip(full, low, strict=True):
+                        brief[i] = row.tobytes()
                 ends = np.zeros(len(part) + 1, np.int32)
                 ends[1:] = np.cumsum(np.where(size > 0, bands, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("tkey"), pa.array(size), pa.array(_signed(fp[0])), pa.array(_signed(fp[1])), pa.ListArray.from_arrays(ends, _signed(keys.ravel()))],
-                    ["doc_id", "tkey", "n_shingles", "fp1", "fp2", "bands"],
+                    [part.column("doc_id"), part.column("tkey"), pa.array(size), pa.array(_signed(fp[0])), pa.array(_signed(fp[1])), pa.ListArray.from_arrays(ends, _signed(keys.ravel())), pa.array(brief, pa.binary())],
+                    ["doc_id", "tkey", "n_shingles", "fp1", "fp2", "bands", "brief"],
                 )
 
     return run
@@ -145,6 +152,103 @@ def _confirm(similarity: int):
     return run
 
 
+def _joined(batches, use):
+    """use(rows) for the rows of each (key, p, q), gathered over batches."""
+    key, held = None, []
+    for now, part in groups(batches, ["key", "p", "q"]):
+        if now != key and held:
+            yield from use(key, pa.Table.from_batches(held).combine_chunks())
+            held = []
+        key = now
+        held.append(part)
+    if held:
+        yield from use(key, pa.Table.from_batches(held).combine_chunks())
+
+
+def _fits(n: np.ndarray, m: np.ndarray, similarity: int) -> np.ndarray:
+    return np.minimum(n[:, None], m[None]) * 100 >= np.maximum(n[:, None], m[None]) * similarity
+
+
+def _plausible(similarity: int):
+    """(key, node) of nodes that agree enough with one of another component."""
+
+    def use(key, rows):
+        node, own, n, block = (np.asarray(rows[c]) for c in ("node", "component", "n", "block"))
+        brief = np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(len(node), -1)
+        x, y = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        need = int(0.55 / 0.75 * similarity / 100 * brief.shape[1])
+        hit_x, hit_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for a in range(0, len(x), 64):
+            part = x[a : a + 64]
+            same = (brief[part][:, None] == brief[y][None]).sum(axis=2)
+            good = (same >= need) & (own[part][:, None] != own[y][None]) & _fits(n[part], n[y], similarity)
+            hit_x[a : a + 64] |= good.any(axis=1)
+            hit_y |= good.any(axis=0)
+        found = np.union1d(node[x[hit_x]], node[y[hit_y]])
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(found)], ["key", "node"])
+
+    return lambda batches: _joined(batches, use)
+
+
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(column, [a, a + width])
+        dense = np.zeros((len(sets), width), np.float32)
+        dense[owner[i:j], column[i:j] - a] = 1
+        out += dense[x] @ dense[y].T
+    return out.astype(np.int64)
+
+
+def _crossing(similarity: int):
+    """Links (a, b) between different components, as many as it takes to join them."""
+
+    def use(key, rows):
+        node, own, n, block = (np.asarray(rows[c]) for c in ("node", "component", "n", "block"))
+        sets = [np.frombuffer(s, np.uint64) for s in rows["set"].to_pylist()]
+        x, y = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        both = overlaps(sets, x, y)
+        good = (100 * both >= similarity * (n[x][:, None] + n[y][None] - both)) & (own[x][:, None] != own[y][None])
+        up: dict[int, int] = {}
+
+        def root(c):
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(good), strict=True):
+            p, q = root(int(own[x[i]])), root(int(own[y[j]]))
+            if p != q:
+                up[p] = q
+                out.append((int(node[x[i]]), int(node[y[j]])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return lambda batches: _joined(batches, use)
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows (key, node, ...) dealt out as pairs p <= q of blocks of their key; ``block`` is a row's own."""
+    count = rows.groupBy("key").agg(F.count("*").alias("m"))
+    cut = rows.join(count, "key").withColumn("blocks", F.expr(f"(m + {size - 1}) div {size}")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), *[c for c in cut.columns if c not in ("m", "blocks")])
+    return spread.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The (x, y) pairs whose full sets are similar enough, as edges (a, b)."""
     rows = pairs.join(sets.select(F.col("node").alias("y"), F.col("set").alias("set_y")), "y").join(sets.select(F.col("node").alias("x"), F.col("set").alias("set_x")), "x")
@@ -157,10 +261,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 75, permutati
     ``similarity`` is in hundredths; ``tkey`` is xxhash64 of the text.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    rows = written(docs.mapInArrow(_describe(n, permutations, bands), "doc_id long, tkey long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "signatures")
+    rows = written(docs.mapInArrow(_describe(n, permutations, bands), "doc_id long, tkey long, n_shingles long, fp1 long, fp2 long, bands array<long>, brief binary"), "signatures")
     some = rows.where("n_shingles > 0")
-    nodes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("r"), F.min("bands").alias("bands"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", "n_shingles", "r.doc_id", "r.tkey", "bands"), "nodes")
+    nodes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("r"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", "n_shingles", "r.doc_id", "r.tkey", "bands", "brief"), "nodes")
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     buckets = written(spread.join(shared, "key"), "buckets")
@@ -172,14 +276,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 75, permutati
     sets = written(texts.mapInArrow(_sets(n), "node long, set binary"), "sets", compression="uncompressed")
 
     size = nodes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    links, owner, tried = None, None, None
+    links, owner = None, None
     for hub in ("low", "high"):  # one hub for each node and round: the one it shares most buckets with
         near = buckets.where(F.col("node") != F.col(hub)).groupBy("node", "n", F.col(hub).alias("hub")).agg(F.count("*").alias("c")).join(size, "hub").where(fits(F.col("n"), F.col("hub_n")))
         if owner is not None:
             near = near.join(owner.select("node", F.col("component").alias("p")), "node", "left").join(owner.select(F.col("node").alias("hub"), F.col("component").alias("q")), "hub", "left").where("coalesce(p, node) <> coalesce(q, hub)")
         best = near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"))
         pairs = written(best.select(F.least("m.hub", "node").alias("x"), F.greatest("m.hub", "node").alias("y")).distinct(), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
         found = _links(pairs, sets, similarity)
         links = written(found if links is None else links.union(found), "links")
         owner = written(components(links), "owners")
@@ -187,11 +290,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 75, permutati
     # what is left: nodes of different components in one bucket
     held = buckets.select("key", "node", "n").join(owner, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = held.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-    held = written(held.join(several, "key"), "open")
-    other = held.select("key", F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("component").alias("component_y"))
-    rest = held.join(other, "key").where(F.col("node") < F.col("node_y")).where(F.col("component") != F.col("component_y")).where(fits(F.col("n"), F.col("n_y")))
-    rest = rest.select(F.col("node").alias("x"), F.col("node_y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-    owner = components(links.union(_links(rest, sets, similarity)))
+    held = written(held.join(several, "key").join(nodes.select("node", "brief"), "node"), "open")
+    near = _blocks(held, 256).mapInArrow(_plausible(similarity), "key long, node long").distinct()
+    near = written(near.join(held.drop("brief"), ["key", "node"]), "plausible")
+    more = _blocks(near.join(sets, "node"), 128).mapInArrow(_crossing(similarity), "a long, b long")
+    owner = written(components(written(links.union(more), "links")), "owners")
 
     placed = nodes.select("node", "fp1", "fp2", F.col("n_shingles").alias("size"), "doc_id").join(owner, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
