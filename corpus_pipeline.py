@@ -13,7 +13,11 @@ from quern.llm import stages
 from quern.llm._scratch import new_path
 
 STAGES = [
+    ("quality classifier", stages.quality),
     ("minhash near-dedup", stages.near_dedup),
+    ("substring dedup", stages.substring_dedup),
+    ("source mixing", stages.mixing_stage),
+    ("sentencepiece", stages.sentencepiece),
 ]
 
 #: SQL expresses neither the classifier nor the piece lattice; tests/llm hold the stages against brute force.

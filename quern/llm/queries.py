@@ -3,14 +3,100 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
-from ._scratch import table
+from . import kdtree, lm, minhash, mixing, multi_index, nbest, passages, quality, token_counts, warc
+from ._scratch import new_path, table
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = mixing.mixture(table(spark, sf_dir, "documents"), repeats=1.5)
+    return mixture.select("doc_id", "source", "n_tokens", F.col("epoch").cast("long").alias("epoch"), "block", "position")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return rows.select("doc_id", (quality.remainder("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encoded(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
+
+
+def op9_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return kdtree.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_lm_scoring,
+        op3_warc,
+        op4_multi_index_search,
+        op5_quality_classifier,
+        op6_substring_dedup,
+        op7_token_counts,
+        op8_sentencepiece_nbest,
+        op9_kdtree_top_k,
+        op10_minhash_near_dedup,
+    )
+}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS least FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN least IS NULL OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)""",
+    "op6_substring_dedup": rf"""
+        WITH w AS (SELECT doc_id, row_number() OVER () AS r, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        t AS (SELECT doc_id, r, ws, unnest(range(1, greatest(len(ws) - 34, 0) + 1)) AS i FROM w),
+        h AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM t),
+        a AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+        c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM h SEMI JOIN a USING (h)),
+        g AS (SELECT r, list(i) AS gone FROM c GROUP BY r),
+        k AS (SELECT doc_id, ws, coalesce(len(gone), 0) AS n, [ws[j] FOR j IN range(1, len(ws) + 1) IF gone IS NULL OR NOT list_contains(gone, j)] AS kept FROM w LEFT JOIN g USING (r))
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op9_kdtree_top_k": """
+        WITH v AS (SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
