@@ -5,7 +5,7 @@ Learned filters slide over the bytes of the whole text.  Overlapping chunks
 max-pooled within each chunk, and the mean and the maximum over all chunks
 pass a logistic unit, which gives the probability of label 1.
 
-The network is fitted on the driver to at most ``per_class`` labelled
+The network is fitted on the driver, with random cuts of good texts among them, to at most ``per_class`` labelled
 documents of each class (those of least id hash), of at most ``TRAIN_BYTES``
 bytes each.  Every text is scored whole.
 
@@ -28,7 +28,7 @@ from ._words import pieces, texts_buffer
 
 STRIDE = 512
 TRAIN_BYTES = 1 << 15
-PAD = 256  # stands beyond a text's end; its weights are zero
+PAD = 256  # stands beyond a text's end, with weights of its own
 
 
 def remainder(column: str, by: int):
@@ -53,7 +53,6 @@ class Network:
             "max": rng.normal(0, 0.3, self.filters).astype(np.float32),
             "out": np.zeros(1, np.float32),
         }
-        self.p["table"][:, PAD] = 0
 
     def padded(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts padded to whole strides, and the first stride of each."""
@@ -131,11 +130,10 @@ class Network:
         f = np.broadcast_to(np.arange(self.filters), at.shape)
         for j in range(self.width):
             np.add.at(table[j], (codes[at + j], f), back)
-        table[:, PAD] = 0
         return {"table": table, "bias": back.sum(axis=0), "mean": d * mean, "max": d * most, "out": np.array([d], np.float32)}
 
-    def fit(self, texts: list[bytes], labels: list[int], rounds: int = 6, batch: int = 32, rate: float = 0.01) -> Network:
-        """Adam on shuffled batches; the two classes weigh the same."""
+    def fit(self, texts: list[bytes], labels: list[int], rounds: int = 6, least_steps: int = 900, batch: int = 32, rate: float = 0.015) -> Network:
+        """Adam on shuffled batches, for ``rounds`` rounds and ``least_steps`` steps at least; the two classes weigh the same."""
         y = np.array(labels)
         if not (0 < y.sum() < len(y)):
             self.constant = float(y.mean()) if len(y) else 0.5
@@ -144,6 +142,7 @@ class Network:
         rng = np.random.default_rng(self.seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         arrays = [np.frombuffer(t, np.uint8) for t in texts]
+        rounds = max(rounds, -(-least_steps // -(-len(y) // batch)))
         t, steps = 0, rounds * -(-len(y) // batch)
         for _ in range(rounds):
             order = rng.permutation(len(y))
@@ -151,7 +150,12 @@ class Network:
                 part = order[a : a + batch]
                 total = {k: np.zeros_like(x) for k, x in self.p.items()}
                 for i in part:
-                    for k, g in self.gradients(arrays[i], float(y[i])).items():
+                    text = arrays[i]
+                    if y[i] == 1 and len(text) > 4 and rng.random() < 0.3:  # short texts are rare among the labelled
+                        size = int(np.exp(rng.uniform(np.log(4), np.log(len(text)))))
+                        at = int(rng.integers(0, len(text) - size + 1))
+                        text = text[at : at + size]
+                    for k, g in self.gradients(text, float(y[i])).items():
                         total[k] += np.float32(weight[i] / len(part)) * g
                 t += 1
                 now = rate * (1 - (t - 1) / steps)
