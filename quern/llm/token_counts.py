@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._words import pieces
 from .piece_model import MODEL, UNIT, PieceModel, piece_model
 
-NODES = 400_000
+NODES = 1_000_000
 
 
 class Trie(dict):
@@ -44,6 +44,7 @@ class Trie(dict):
                     self.ends.append(None)
                 at = to
             self.ends[at] = score
+        self.alone = {c for c in model.score if len(c) == 1}
         self.start()
 
     def start(self) -> None:
@@ -72,7 +73,7 @@ class Trie(dict):
                 s = ends[to]
                 if s is not None and (score + s > best or score + s == best and n + 1 < count):
                     best, count = score + s, n + 1
-        if (lone := edges.get((0, c))) is None or ends[lone] is None:
+        if c not in self.alone:
             score, n = self.score[at] + self.unknown, self.count[at] + len(c.encode())
             if score > best:
                 best, count = score, n
@@ -84,13 +85,14 @@ class Trie(dict):
         return to
 
 
-def _counted(path: str):
-    kept: list[Trie] = []
+_TRIES: dict[str, Trie] = {}  # of a worker process, over all its tasks
+
 
+def _counted(path: str):
     def run(batches):
-        if not kept:
-            kept.append(Trie(piece_model(path)))
-        trie = kept[0]
+        if path not in _TRIES:
+            _TRIES[path] = Trie(piece_model(path))
+        trie = _TRIES[path]
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 units, tokens, scores = [], [], []
