@@ -30,7 +30,7 @@ MEMO = 250_000
 
 def search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best (score, ids) of one lattice, best first."""
-    size, edges = len(text), []
+    size = len(text)
     best = [0.0] + [-np.inf] * size
     into: list[list] = [[] for _ in range(size + 1)]
     for j in range(1, size + 1):
@@ -54,7 +54,6 @@ def search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int,
         for i, (s, ids) in into[j]:
             made += 1
             heapq.heappush(heap, (-(best[i] + s + behind), made, i, s + behind, (ids, path)))
-    del edges
     return found
 
 
@@ -127,14 +126,15 @@ class Segmenter(dict):
         return [total - loss for loss, _ in top], [change for _, change in top]
 
 
-def _encoded(path: str, n: int, fields: list[str], whole: bool):
-    kept: list[Segmenter] = []
+_SEGMENTERS: dict[tuple[str, int], Segmenter] = {}  # of a worker process, over all its tasks
+
 
+def _encoded(path: str, n: int, fields: list[str], whole: bool):
     def run(batches):
         model = piece_model(path)
-        if not kept:
-            kept.append(Segmenter(model, n))
-        seg = kept[0]
+        if (path, n) not in _SEGMENTERS:
+            _SEGMENTERS[path, n] = Segmenter(model, n)
+        seg = _SEGMENTERS[path, n]
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 size, scores, same, digest, ids_ = [], [], [], [], []

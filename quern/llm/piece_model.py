@@ -37,7 +37,7 @@ class PieceModel:
                 text = piece.replace("▁", " ")
                 self.score[text], self.id[text] = sp.get_score(i), i
                 self.bytes.append(text.encode())
-        self.unknown = min(self.score.values()) - 10
+        self.unknown = min(s for s in self.score.values() if s > -1e8) - 10  # some runs of spaces have -1e9
         self.longest = max(map(len, self.score))
         self.joined = {p[j : j + 2] for p in self.score for j in range(len(p) - 1)}
 
