@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +26,57 @@ from pyspark.sql import functions as F
 from ._words import pieces
 from .piece_model import MODEL, UNIT, PieceModel, piece_model
 
-MEMO = 250_000
+MEMO = 300_000
+
+_first = itemgetter(0)
 
 
 def search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best (score, ids) of one lattice, best first."""
-    size = len(text)
+    size, prefix = len(text), model.prefix
     best = [0.0] + [-np.inf] * size
-    into: list[list] = [[] for _ in range(size + 1)]
-    for j in range(1, size + 1):
-        for i in range(max(0, j - model.longest), j):
-            e = model.edge(text[i:j])
-            if e is not None:
-                into[j].append((i, e))
-                if best[i] + e[0] > best[j]:
-                    best[j] = best[i] + e[0]
-    found, made = [], 0
-    heap = [(-best[size], 0, size, 0.0, None)]  # (-whole score, order, node, score behind it, path)
+    into: list[list] = [[] for _ in range(size + 1)]  # (score up to here, start, edge)
+    for i in range(size):
+        b, alone = best[i], False
+        for j in range(i + 1, size + 1):
+            edge = prefix.get(text[i:j])
+            if edge is None:
+                break
+            if edge:
+                alone = alone or j == i + 1
+                s = b + edge[0]
+                into[j].append((s, i, edge))
+                if s > best[j]:
+                    best[j] = s
+        if not alone:
+            edge = model.edge(text[i])
+            s = b + edge[0]
+            into[i + 1].append((s, i, edge))
+            if s > best[i + 1]:
+                best[i + 1] = s
+    found, made, sorted_ = [], 0, [False] * (size + 1)
+    # (-whole score, order, node, which of its edges, score behind it, path): an edge's next sibling enters only when the edge is taken
+    heap = [(-best[size], 0, size, 0, 0.0, None)]
     while heap and len(found) < n:
-        _, _, j, behind, path = heapq.heappop(heap)
-        if j == 0:
-            ids: list[int] = []
-            while path is not None:
-                ids.extend(path[0])
-                path = path[1]
-            found.append((behind, tuple(ids)))
-            continue
-        for i, (s, ids) in into[j]:
-            made += 1
-            heapq.heappush(heap, (-(best[i] + s + behind), made, i, s + behind, (ids, path)))
+        _, _, j, k, behind, path = heapq.heappop(heap)
+        while True:
+            edges = into[j]
+            if not sorted_[j]:
+                edges.sort(key=_first, reverse=True)
+                sorted_[j] = True
+            if k + 1 < len(edges):
+                made += 1
+                heapq.heappush(heap, (-(edges[k + 1][0] + behind), made, j, k + 1, behind, path))
+            _, i, edge = edges[k]
+            behind, path = behind + edge[0], (edge[1], path)
+            if not i:
+                break
+            j, k = i, 0  # the best way on costs nothing more
+        ids: list[int] = []
+        while path is not None:
+            ids.extend(path[0])
+            path = path[1]
+        found.append((behind, tuple(ids)))
     return found
 
 
@@ -61,7 +84,11 @@ def combined(parts: list[list[tuple]], n: int) -> list[tuple]:
     """The n best sums of one choice from each list (each best first)."""
     top = parts[0][:n]
     for part in parts[1:]:
-        top = sorted(((a[0] + b[0], a[1] + b[1]) for a in top for b in part), key=lambda x: -x[0])[:n] if len(part) > 1 or len(top) > 1 else [(top[0][0] + part[0][0], top[0][1] + part[0][1])]
+        if len(part) == 1:
+            s, ids = part[0]
+            top = [(a[0] + s, a[1] + ids) for a in top]
+            continue
+        top = sorted(((a[0] + b[0], a[1] + b[1]) for a in top for b in part), key=lambda x: -x[0])[:n]
     return top
 
 

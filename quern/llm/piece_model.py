@@ -39,14 +39,14 @@ class PieceModel:
                 self.bytes.append(text.encode())
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10  # some runs of spaces have -1e9
         self.longest = max(map(len, self.score))
+        #: every beginning of a piece: its (score, ids), or () where it is no piece itself
+        self.prefix: dict[str, tuple] = {p[:j]: () for p in self.score for j in range(1, len(p))}
+        self.prefix |= {p: (s, (self.id[p],)) for p, s in self.score.items()}
         self.joined = {p[j : j + 2] for p in self.score for j in range(len(p) - 1)}
 
     def edge(self, text: str) -> tuple[float, tuple[int, ...]] | None:
         """(score, ids) of a lattice edge that spells ``text``, if there is one."""
-        s = self.score.get(text)
-        if s is not None:
-            return s, (self.id[text],)
-        return (self.unknown, tuple(self.byte_id[b] for b in text.encode())) if len(text) == 1 else None
+        return self.prefix.get(text) or ((self.unknown, tuple(self.byte_id[b] for b in text.encode())) if len(text) == 1 else None)
 
     def segments(self, unit: str) -> list[str]:
         """The unit cut wherever no piece holds both neighbouring characters."""
