@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import incremental  # noqa: F401
+from . import incremental, records, series  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

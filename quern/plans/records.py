@@ -177,8 +177,8 @@ def rank_sort(t):
     return top.select("id", F.row_number().over(Window.orderBy("priority", F.coalesce("due", F.lit("9999-12-31").cast("date")), "id")).cast("long").alias("rank"))
 
 
-@query("""SELECT o_orderkey, CAST(d + 1 AS DATE) AS daily, CAST(d + (CASE WHEN isodow(d) >= 4 THEN 11 - isodow(d) ELSE 4 - isodow(d) END) AS DATE) AS thursday,
-          CAST(CASE WHEN least(date_trunc('month', d) + 14, last_day(d)) > d THEN date_trunc('month', d) + 14 ELSE date_trunc('month', d) + INTERVAL 1 MONTH + INTERVAL 14 DAY END AS DATE) AS monthly
+@query("""SELECT o_orderkey, CAST(d + 1 AS DATE) AS daily, CAST(d + CAST(CASE WHEN isodow(d) >= 4 THEN 11 - isodow(d) ELSE 4 - isodow(d) END AS INTEGER) AS DATE) AS thursday,
+          CAST(CASE WHEN date_trunc('month', d) + INTERVAL 14 DAY > d THEN date_trunc('month', d) + INTERVAL 14 DAY ELSE date_trunc('month', d) + INTERVAL 1 MONTH + INTERVAL 14 DAY END AS DATE) AS monthly
           FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
 def recurrence(t):
     d = F.to_date("o_orderdate")
