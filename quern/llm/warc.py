@@ -126,7 +126,7 @@ def write(pages: DataFrame, folder: str, least: int = 100, shard_bytes: int = 32
     both = told.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html")).union(
         rows.select("page_id", F.sha2("html", 256), F.lit(1), F.lit(None).cast("long"), "url", F.col("html").cast("binary"))
     )
-    both = both.select(shard.alias("shard"), "*").repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    both = both.select(shard.alias("shard"), "*").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     made, root = pafs.FileSystem.from_uri(folder)
     made.create_dir(root)
     both.mapInArrow(_written(folder, roll_bytes, date), MANIFEST).write.parquet(f"{folder}/_manifest")
@@ -193,4 +193,5 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
     """A row for each record of the files in the manifest; every digest is checked."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
     shape = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload string" if payload else "")
-    return manifest.repartition("file").mapInArrow(_read(folder, payload), shape)
+    files = max(1, manifest.count())  # so many tasks: a file can be large
+    return manifest.repartition(files, "file").mapInArrow(_read(folder, payload), shape)

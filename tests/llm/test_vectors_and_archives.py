@@ -66,7 +66,7 @@ def test_walk_passes_cells_in_order():
 
 @pytest.mark.parametrize("sub", [7, 8192])
 def test_multi_index_recall_and_scores(rows, monkeypatch, sub):
-    monkeypatch.setattr(multi_index, "SUBCELL", sub)
+    monkeypatch.setattr(multi_index, "PART", sub)
     v = [(i, np.array(e)) for i, e in sound(rows) if any(e)]
     got = defaultdict(list)
     for r in multi_index.nearest(rows, rows.where("vec_id % 100 = 0"), least=100).collect():
