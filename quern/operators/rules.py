@@ -1,0 +1,65 @@
+"""Rule tables over text: patterns per line, ordered classification, votes of weak signals."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: fixed values: pattern classes with their severity, in the subset that Java and RE2 share
+PERSONAL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "medium"),
+    ("phone", r"\d{3}-\d{3}-\d{4}", "medium"),
+    ("cloud_key", r"AKIA[0-9A-Z]{16}", "critical"),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "critical"),
+    ("chat_token", r"xox[abprs]-[0-9A-Za-z-]{10,}", "critical"),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "high"),
+    ("ip_address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "low"),
+)
+#: fixed values: phrases that try to steer a reader
+STEERING = (
+    ("ignore_previous", r"(?i)ignore (all )?(previous|prior) instructions"),
+    ("new_role", r"(?i)you are now "),
+    ("reveal", r"(?i)(reveal|print) (your|the) (system )?prompt"),
+    ("hidden_mark", r"(?i)<!--\s*(system|instruction)"),
+)
+
+
+def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, content), counted from 1."""
+    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content")).withColumn("line", F.col("line") + 1)
+
+
+def findings(rows: DataFrame, rules: tuple = PERSONAL) -> DataFrame:
+    """A row for each match of each rule in each line: all rules pass over a line once."""
+
+    def matches(name: str, pattern: str, severity: str) -> Column:
+        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), m.alias("found")))
+
+    found = F.concat(*[matches(*rule) for rule in rules])
+    return rows.withColumn("x", F.explode(found)).select(*[c for c in rows.columns if c != "content"], "x.rule", "x.severity", "x.found")
+
+
+def first_matches(rows: DataFrame, rules: tuple = STEERING, around: int = 40) -> DataFrame:
+    """The first match of each rule in each line, with what stands around it."""
+    near = lambda p: F.regexp_extract("content", f"(.{{0,{around}}}(?:{p}).{{0,{around}}})", 1)
+    found = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.struct(F.lit(n).alias("rule"), near(p).alias("context"))) for n, p in rules]))
+    return rows.withColumn("x", F.explode(found)).select(*[c for c in rows.columns if c != "content"], "x.rule", "x.context")
+
+
+def first_rule(rules: list[tuple[str, Column]], other: str) -> Column:
+    """The name of the first rule that holds."""
+    return F.coalesce(*[F.when(c, name) for name, c in rules], F.lit(other))
+
+
+def votes(*signals: Column) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(False)).cast("int") for s in signals])
+
+
+def bulk_mail(local: Column, domain: Column, subject: Column, body: Column, allowed: list[str]) -> Column:
+    """Sender alone where it is strong, else two weak signals; allow-listed domains never."""
+    strong = F.regexp_replace(F.lower(local), "[._-]", "").rlike("^(newsletter|noreply|donotreply|marketing|promo|promotions|offers|deals)$")
+    promo = (F.size(F.split(domain, r"\.")) >= 3) & domain.rlike("^(email|mail|news|promo|marketing|e|em)[.]")
+    weak = votes(promo, subject.rlike("(?i)(% off|sale ends|limited time|deal)"), body.rlike("(?i)(unsubscribe|opt.out)"))
+    return F.when(domain.isin(*allowed), False).when(strong, True).otherwise(weak >= 2)
