@@ -24,6 +24,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a > b").distinct()
 
 
+def roots(parents: DataFrame, most: int = 60) -> DataFrame:
+    """(node, component) of (node, parent) rows, one a node, with parent < node: the end of each chain, by pointer jumping."""
+    now, left = written(parents, "parents"), None
+    for _ in range(most):
+        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        now = written(now.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent")), "parents")
+        before, left = left, now.agg(F.sum(F.xxhash64("node", "parent").cast("decimal(38,0)"))).first()[0]
+        if before == left:
+            return now.select("node", F.col("parent").alias("component"))
+    raise RuntimeError(f"chains did not end in {most} rounds")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): each node of the (a, b) long edges with the least node it can reach.
 

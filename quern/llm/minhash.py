@@ -8,8 +8,8 @@ full sets.  With 64 permutations in 32 bands of 4, a pair at a similarity of
 exactly 0.75 goes unseen with a probability of 6e-6, a closer one with less.
 
 Candidates are not spread into all pairs.  Documents with equal sets are one
-node.  Two rounds compare each node with one hub of its buckets, and what these
-confirm is contracted.  Buckets that still hold nodes of different components
+node.  First each node meets one hub, the least node that it shares most buckets
+with, and what this confirms is contracted.  Buckets that still hold nodes of different components
 are cut into blocks, and pairs of blocks are compared inside a task: first the
 signatures (a pair agreeing in less than 0.55 of 128 values is at 0.75 with a
 probability of 1e-7), then the full sets of the nodes that have a plausible
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import written
 from ._words import Words, mix, pieces, shingles
-from .components import components
+from .components import components, roots
 from .vectors import groups
 
 
@@ -170,7 +170,7 @@ def _fits(n: np.ndarray, m: np.ndarray, similarity: int) -> np.ndarray:
 
 
 def _plausible(similarity: int):
-    """(key, node) of nodes that agree enough with one of another component."""
+    """Rows of nodes that agree enough with one of another component."""
 
     def use(key, rows):
         node, own, n, block = (np.asarray(rows[c]) for c in ("node", "component", "n", "block"))
@@ -184,9 +184,9 @@ def _plausible(similarity: int):
             good = (same >= need) & (own[part][:, None] != own[y][None]) & _fits(n[part], n[y], similarity)
             hit_x[a : a + 64] |= good.any(axis=1)
             hit_y |= good.any(axis=0)
-        found = np.union1d(node[x[hit_x]], node[y[hit_y]])
+        found = np.union1d(x[hit_x], y[hit_y])
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(found)], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(node[found]), pa.array(own[found]), pa.array(n[found]), pa.array(np.asarray(rows["m"])[found])], ["key", "node", "component", "n", "m"])
 
     return lambda batches: _joined(batches, use)
 
@@ -213,7 +213,7 @@ def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: int =
 
 
 def _crossing(similarity: int):
-    """Links (a, b) between different components, as many as it takes to join them."""
+    """Links (a, b) between different components (root_a, root_b), as many as it takes to join them."""
 
     def use(key, rows):
         node, own, n, block = (np.asarray(rows[c]) for c in ("node", "component", "n", "block"))
@@ -233,19 +233,18 @@ def _crossing(similarity: int):
             p, q = root(int(own[x[i]])), root(int(own[y[j]]))
             if p != q:
                 up[p] = q
-                out.append((int(node[x[i]]), int(node[y[j]])))
+                out.append((int(node[x[i]]), int(node[y[j]]), int(own[x[i]]), int(own[y[j]])))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "root_a", "root_b"])
 
     return lambda batches: _joined(batches, use)
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """rows (key, node, ...) dealt out as pairs p <= q of blocks of their key; ``block`` is a row's own."""
-    count = rows.groupBy("key").agg(F.count("*").alias("m"))
-    cut = rows.join(count, "key").withColumn("blocks", F.expr(f"(m + {size - 1}) div {size}")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    """rows (key, node, m, ...) dealt out as pairs p <= q of blocks of their key; ``block`` is a row's own, ``m`` how many rows the key has."""
+    cut = rows.withColumn("blocks", F.expr(f"(m + {size - 1}) div {size}")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), *[c for c in cut.columns if c not in ("m", "blocks")])
+    spread = spread.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), *[c for c in cut.columns if c != "blocks"])
     return spread.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
@@ -266,35 +265,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 75, permutati
     nodes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("r"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", "n_shingles", "r.doc_id", "r.tkey", "bands", "brief"), "nodes")
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("c")).where("c > 1").select("key", F.col("low.node").alias("hub"), F.col("low.n").alias("hub_n"))
     buckets = written(spread.join(shared, "key"), "buckets")
-
-    # nodes that share a bucket with a node of a fitting size: only their sets are needed
-    fits = lambda p, q: (F.least(p, q) * 100 >= F.greatest(p, q) * similarity)
     wanted = buckets.select("node").distinct().join(nodes.select("node", "doc_id", "tkey"), "node")
     texts = docs.join(wanted.select("node", F.col("doc_id").alias("d"), F.col("tkey").alias("tkey")), "tkey").where("d <=> doc_id").select("node", "text").dropDuplicates(["node"])
     sets = written(texts.mapInArrow(_sets(n), "node long, set binary"), "sets", compression="uncompressed")
 
-    size = nodes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    links, owner = None, None
-    for hub in ("low", "high"):  # one hub for each node and round: the one it shares most buckets with
-        near = buckets.where(F.col("node") != F.col(hub)).groupBy("node", "n", F.col(hub).alias("hub")).agg(F.count("*").alias("c")).join(size, "hub").where(fits(F.col("n"), F.col("hub_n")))
-        if owner is not None:
-            near = near.join(owner.select("node", F.col("component").alias("p")), "node", "left").join(owner.select(F.col("node").alias("hub"), F.col("component").alias("q")), "hub", "left").where("coalesce(p, node) <> coalesce(q, hub)")
-        best = near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"))
-        pairs = written(best.select(F.least("m.hub", "node").alias("x"), F.greatest("m.hub", "node").alias("y")).distinct(), "pairs")
-        found = _links(pairs, sets, similarity)
-        links = written(found if links is None else links.union(found), "links")
-        owner = written(components(links), "owners")
+    # one hub for each node: the one it shares most buckets with
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * similarity
+    best = buckets.where("node <> hub").where(fits).groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m"))
+    links = _links(best.select(F.col("m.hub").alias("x"), F.col("node").alias("y")), sets, similarity)
+    owner = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
 
     # what is left: nodes of different components in one bucket
     held = buckets.select("key", "node", "n").join(owner, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    several = held.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-    held = written(held.join(several, "key").join(nodes.select("node", "brief"), "node"), "open")
-    near = _blocks(held, 256).mapInArrow(_plausible(similarity), "key long, node long").distinct()
-    near = written(near.join(held.drop("brief"), ["key", "node"]), "plausible")
-    more = _blocks(near.join(sets, "node"), 128).mapInArrow(_crossing(similarity), "a long, b long")
-    owner = written(components(written(links.union(more), "links")), "owners")
+    several = held.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m")).where("p < q").select("key", "m")
+    held = held.join(several, "key").join(nodes.select("node", "brief"), "node")
+    near = written(_blocks(held, 1024).mapInArrow(_plausible(similarity), "key long, node long, component long, n long, m long").distinct(), "plausible")
+    more = _blocks(near.join(sets, "node"), 512).mapInArrow(_crossing(similarity), "a long, b long, root_a long, root_b long")
+    more = written(more, "crossing").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    merged = components(more)
+    owner = owner.join(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component")).union(merged)
 
     placed = nodes.select("node", "fp1", "fp2", F.col("n_shingles").alias("size"), "doc_id").join(owner, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
