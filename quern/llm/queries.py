@@ -75,6 +75,18 @@ QUERIES = {
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS n_tokens FROM documents),
+        s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS t FROM d WHERE n_tokens > 0 GROUP BY 1),
+        x AS (SELECT max(t) AS most, round(greatest(0, least(1, 1 - ln(1.5) / ln(max(t) / min(t)))), 6) AS a FROM s),
+        q AS (SELECT source, t, CAST(floor(t * pow(t / most, a - 1)) AS BIGINT) AS quota FROM s, x),
+        b AS (SELECT greatest(1, CAST(ceil(sum(quota) / 1048576) AS BIGINT)) AS nb FROM q),
+        p AS (SELECT source, t, quota, greatest(1, CAST(ceil(quota / nb) AS BIGINT)) AS part FROM q, b),
+        e AS (SELECT doc_id, d.source, n_tokens, t, quota, part, unnest(range(0, (quota - 1) // t + 1)) AS epoch FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WHERE n_tokens > 0),
+        l AS (SELECT *, md5(concat_ws('|', 'quern', epoch, doc_id, n_tokens)) AS lot FROM e),
+        o AS (SELECT *, CAST(epoch * t + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY lot, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_at FROM l),
+        k AS (SELECT doc_id, source, n_tokens, epoch, begin_at // part AS block FROM o WHERE begin_at < quota)
+        SELECT doc_id, source, n_tokens, epoch, block, row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws('|', 'quern', block, epoch, doc_id, n_tokens))) AS position FROM k""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -99,4 +111,12 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+        u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        r AS (SELECT DISTINCT a AS doc_id, a AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+        m AS (SELECT doc_id, min(other) AS least FROM r GROUP BY 1)
+        SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(least, s.doc_id) AS component_id, s.doc_id = coalesce(least, s.doc_id) AS kept FROM s LEFT JOIN m ON s.doc_id = m.doc_id""",
 }
