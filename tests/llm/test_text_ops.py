@@ -193,14 +193,19 @@ def test_mixture(docs):
 
 def test_attention_gradients():
     rng = np.random.default_rng(1)
-    net = lm.Attention(np.zeros(lm.CLASSES))
+    classes = lm.Classes(rng.integers(0, 50, 4000), rng.random((lm.CLASSES * (lm.MEMBERS - 1), 6)))
+    assert np.bincount(classes.of // lm.MEMBERS, minlength=lm.CLASSES).max() < 80
+    own = np.bincount(classes.of, np.exp(classes.within), lm.CLASSES * lm.MEMBERS)
+    assert np.allclose(own[own > 0], 1)
+    net = lm.Attention(classes.prior, classes.own)
     net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
-    seen, next_ = rng.integers(0, lm.CLASSES, (2, 3, lm.WINDOW))
+    seen, next_ = rng.integers(0, lm.CLASSES * lm.MEMBERS, (2, 3, lm.WINDOW))
     weight = (rng.random((3, lm.WINDOW)) < 0.7).astype(np.float64)
-    loss = lambda: -(net.log_probability(seen, next_) * weight).sum() / weight.sum()
+    loss = lambda: -net.log_probability(seen, next_, weight > 0).sum() / weight.sum()
     g = net.gradients(seen, next_, weight)
+    c, m = divmod(int(next_[1, 9]), lm.MEMBERS)
     for k, x in net.p.items():
-        at = tuple(rng.integers(0, s) for s in x.shape) if k != "embed" else (int(seen[0, 3]), 2)
+        at = {"embed": (int(seen[0, 3]), 2), "member": (c, m, 3), "shift": (c, m)}.get(k) or tuple(rng.integers(0, s) for s in x.shape)
         x[at] += 1e-4
         up = loss()
         x[at] -= 2e-4
