@@ -13,6 +13,7 @@ front, decoded to nothing; texts of any length are segmented whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 from array import array
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._words import pieces
-from .piece_model import MODEL, UNIT, PieceModel, piece_model
+from .piece_model import MODEL, PieceModel, piece_model
 
-MEMO = 300_000
+MEMO = 1_000_000
 
 _first = itemgetter(0)
 
@@ -93,63 +94,66 @@ def combined(parts: list[list[tuple]], n: int) -> list[tuple]:
 
 
 class Segmenter(dict):
-    """unit -> its number; arrays hold what is known of each unit."""
+    """unit -> its number; arrays hold its best way and how much the second best costs more."""
 
     def __init__(self, model: PieceModel, n: int) -> None:
         super().__init__()
-        self.model, self.n, self.known = model, n, {}
+        self.model, self.n = model, n
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.known.clear()
         self.best, self.size, self.gap = array("d"), array("q"), array("d")
         self.ids: list[bytes] = []
-        self.ways: list[list] = []
 
     def __missing__(self, unit: str) -> int:
-        parts = []
-        for segment in self.model.segments(unit):
-            way = self.known.get(segment)
-            if way is None:
-                way = self.known[segment] = search(self.model, segment, self.n)
-            parts.append(way)
-        ways = combined(parts, self.n)
+        parts = self.model.segments(unit)
+        if len(parts) == 1:
+            found = search(self.model, unit, 2)
+            score, ids = found[0][0], array("i", found[0][1]).tobytes()
+            gap = score - found[1][0] if len(found) > 1 else np.inf
+        else:
+            known = [self[p] for p in parts]
+            score, gap, ids = sum(self.best[k] for k in known), min(self.gap[k] for k in known), b"".join(self.ids[k] for k in known)
         self[unit] = at = len(self.best)
-        self.best.append(ways[0][0])
-        self.size.append(len(ways[0][1]))
-        self.gap.append(ways[0][0] - ways[1][0] if len(ways) > 1 else np.inf)
-        self.ids.append(np.array(ways[0][1], "<i4").tobytes())
-        self.ways.append(ways)
+        self.best.append(score)
+        self.gap.append(gap)
+        self.size.append(len(ids) // 4)
+        self.ids.append(ids)
         return at
 
-    def codes(self, text: str) -> np.ndarray:
-        if len(self.best) > MEMO or len(self.known) > MEMO:
+    def coded(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The units of a text and their numbers."""
+        if len(self.best) > MEMO:
             self.forget()
-        return np.fromiter(map(self.__getitem__, UNIT.findall(" " + text)), np.int64)
+        units = self.model.unit.findall(" " + text)
+        return units, np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+
+    def ways(self, unit: str) -> list[tuple]:
+        """The n best of one unit."""
+        return combined([search(self.model, segment, self.n) for segment in self.model.segments(unit)], self.n)
 
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text."""
-        codes = self.codes(text)
-        scores, chosen = self._scores(codes)
+        units, codes = self.coded(text)
         out = []
-        for s, change in zip(scores, chosen, strict=True):
-            change = dict(change)
-            ids: list[int] = []
-            for at, c in enumerate(codes.tolist()):
-                ids += self.ways[c][change.get(at, 0)][1]
+        for s, change in zip(*self.scores(units, codes), strict=True):
+            change, ids = dict(change), []
+            for at, unit in enumerate(units):
+                ids += change[at] if at in change else np.frombuffer(self.ids[codes[at]], "<i4").tolist()
             out.append((s, ids))
         return out
 
-    def _scores(self, codes: np.ndarray) -> tuple[list[float], list]:
+    def scores(self, units: list[str], codes: np.ndarray) -> tuple[list[float], list]:
+        """The n best scores of a text, and for each the units whose way isn't their best, with that way."""
         total = float(np.frombuffer(self.best)[codes].sum())
         gaps = np.frombuffer(self.gap)[codes]
         # no other unit than those of the n - 1 least gaps differs from its best in the n best
         few = np.argsort(gaps, kind="stable")[: self.n - 1] if len(gaps) <= 4 * self.n else np.argpartition(gaps, self.n - 1)[: self.n - 1]
         top: list[tuple[float, tuple]] = [(0.0, ())]
         for at in sorted(few.tolist()):
-            ways = self.ways[codes[at]]
-            top = sorted(((loss + ways[0][0] - w[0], change + (((at, k),) if k else ())) for loss, change in top for k, w in enumerate(ways)), key=lambda x: x[0])[: self.n]
+            ways = self.ways(units[at])
+            top = sorted(((loss + ways[0][0] - w[0], change + (((at, w[1]),) if k else ())) for loss, change in top for k, w in enumerate(ways)), key=_first)[: self.n]
         return [total - loss for loss, _ in top], [change for _, change in top]
 
 
@@ -158,6 +162,7 @@ _SEGMENTERS: dict[tuple[str, int], Segmenter] = {}  # of a worker process, over
 
 def _encoded(path: str, n: int, fields: list[str], whole: bool):
     def run(batches):
+        gc.disable()  # what is remembered holds no cycles; walking it again and again took most of the time
         model = piece_model(path)
         if (path, n) not in _SEGMENTERS:
             _SEGMENTERS[path, n] = Segmenter(model, n)
@@ -167,11 +172,11 @@ def _encoded(path: str, n: int, fields: list[str], whole: bool):
                 size, scores, same, digest, ids_ = [], [], [], [], []
                 for text in part.column(part.schema.get_field_index("text")).to_pylist():
                     text = text or ""
-                    codes = seg.codes(text)
+                    units, codes = seg.coded(text)
                     raw = b"".join(map(seg.ids.__getitem__, codes.tolist()))
                     ids = np.frombuffer(raw, "<i4")
                     size.append(len(ids))
-                    scores.append(seg._scores(codes)[0])
+                    scores.append(seg.scores(units, codes)[0])
                     same.append(model.decode(ids.tolist()) == text)
                     (ids_ if whole else digest).append(ids if whole else hashlib.sha256(raw).hexdigest())
                 columns = [*(part.column(part.schema.get_field_index(f)) for f in fields), pa.array(size, pa.int64()), pa.array([s[0] for s in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)]

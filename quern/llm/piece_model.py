@@ -15,7 +15,7 @@ import sentencepiece
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-#: Pre-tokens: a word with the spaces before it, or the spaces at the end.
+#: Pre-tokens: a word with the spaces before it, or the spaces at the end. A model's own ``unit`` cuts finer where its pieces allow.
 UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -44,6 +44,13 @@ class PieceModel:
         self.prefix |= {p: (s, (self.id[p],)) for p, s in self.score.items()}
         self.joined = {p[j : j + 2] for p in self.score for j in range(len(p) - 1)}
 
+        # marks that no piece holds behind another character, so a unit ends before them
+        marks = set("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+        while bad := {b[1] for b in self.joined if b[1] in marks and b[0] != " " and b[0] not in marks}:
+            marks -= bad
+        inner = "".join(map(re.escape, sorted(marks)))
+        self.unit = re.compile(f" *(?:[^ {inner}]+|[{inner}]+[^ {inner}]*)| +" if marks else " *[^ ]+| +")
+
     def edge(self, text: str) -> tuple[float, tuple[int, ...]] | None:
         """(score, ids) of a lattice edge that spells ``text``, if there is one."""
         return self.prefix.get(text) or ((self.unknown, tuple(self.byte_id[b] for b in text.encode())) if len(text) == 1 else None)

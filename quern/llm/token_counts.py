@@ -14,6 +14,7 @@ front; equal scores go to the way with fewer pieces.
 
 from __future__ import annotations
 
+import gc
 from array import array
 
 import numpy as np
@@ -90,6 +91,7 @@ _TRIES: dict[str, Trie] = {}  # of a worker process, over all its tasks
 
 def _counted(path: str):
     def run(batches):
+        gc.disable()  # the trie holds no cycles
         if path not in _TRIES:
             _TRIES[path] = Trie(piece_model(path))
         trie = _TRIES[path]

@@ -40,6 +40,13 @@ def test_units_cover_the_text():
     for _ in range(100):
         t = " " + "".join(rng.choice(" ab\n") for _ in range(20))
         assert "".join(UNIT.findall(t)) == t
+    model = piece_model(MODEL)
+    for _ in range(300):
+        t = " " + "".join(rng.choice(" ab\n.,$%-'é") for _ in range(20))
+        units = model.unit.findall(t)
+        assert "".join(units) == t
+        # a cut is only made where segments are cut too
+        assert [x for u in units for x in model.segments(u)] == model.segments(t)
 
 
 def test_trie_agrees_with_the_lattice(monkeypatch):
