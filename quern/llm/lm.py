@@ -3,17 +3,16 @@
 Learning covers every training text.  Words are counted over all of them; the
 subword counts follow from the word counts, each distinct word encoded once.
 The commonest subwords fall into classes of equal size by the company that they
-keep in the training share (halved again and again along the direction in which
+keep in the training texts (halved again and again along the direction in which
 their neighbours differ most).  From attention over the subwords before it, the
 model gives the class of the next one and then its place in the class; rarer
 subwords share a last place in each class, within which their counts decide.
 The product is a probability of the whole sequence of subwords up to the end.
 
 The attention weights are trained by data-parallel descent: in each round
-every part of a training share starts from the same weights, descends on its
-own windows, and the weights are averaged.  The share is one text in 32 (the
-ones of least hash remainder), and all of them where there are few, so it
-grows with the corpus.
+every part of the training texts starts from the same weights, descends on its
+own windows, and the weights are averaged.  All training texts are descended on
+in each round, dealt over parts of about ``PART`` bytes by their hash.
 
 Scoring cuts a text into windows of ``WINDOW`` subwords that overlap by
 ``OVERLAP``; each subword is scored once, in the first window that holds it
@@ -48,7 +47,7 @@ from .quality import remainder
 WINDOW, OVERLAP, WIDTH, CLASSES, MEMBERS, COMPANY = 32, 8, 16, 64, 48, 128
 HEAD = 1 << 17
 MEMO = 200_000
-TRAIN_DOCS, TRAIN_SHARE = 4000, 32
+PART = 1 << 23
 
 
 class Attention:
@@ -410,7 +409,7 @@ def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 3) -> DataFrame
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), (remainder("doc_id", 10) == 0).alias("held_out"))
     train = docs.where("not held_out").select("doc_id", "text")
     words = written(train.select("text").mapInArrow(_word_rows, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    texts = train.count()
+    texts, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = total + texts, distinct + (texts > 0)
 
@@ -419,19 +418,16 @@ def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 3) -> DataFrame
     for r in words.mapInArrow(_subword_rows(model), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # a row a piece of the vocabulary at most
         counts[r["id"]] = r["c"]
     counts[end] += texts
-    every = max(1, min(TRAIN_SHARE, texts // TRAIN_DOCS))
-    share = train.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(every)) == 0)
-    size = share.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    dealt = written(share.select("text").repartition(max(1, min(size >> 21, texts)), F.xxhash64("text")), "share")
     order = np.argsort(-counts, kind="stable")
     top = order[: CLASSES * (MEMBERS - 1)]
     company = np.zeros((len(top), 2 * COMPANY))
-    for r in dealt.mapInArrow(_company_rows(model, end, top), "i long, j long, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).toArrow().to_batches():  # bounded by the two lists
+    for r in train.select("text").mapInArrow(_company_rows(model, end, top), "i long, j long, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).toArrow().to_batches():  # bounded by the two lists
         company[np.asarray(r.column("i")), np.asarray(r.column("j"))] = np.asarray(r.column("c"))
     classes = Classes(counts, company)
     net = Attention(classes.prior, classes.own)
+    dealt = train.select("text", F.xxhash64("text", "doc_id").alias("deal"))
     for i in range(rounds if size else 0):
-        rows = dealt.repartition(max(1, size >> 21), F.xxhash64("text")).mapInArrow(_trained(model, classes, end, net.flat(), 0.01 / (1 + i), i), "i long, x double, n double")
+        rows = dealt.repartition(max(1, min(size // PART, texts)), "deal").mapInArrow(_trained(model, classes, end, net.flat(), 0.01 / (1 + i), i), "i long, x double, n double")
         mean = rows.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("i").collect()  # a row a weight
         if mean:
             net.load(np.array([r["x"] for r in mean]))

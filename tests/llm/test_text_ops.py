@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from math import log10
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
@@ -242,3 +243,29 @@ def test_lm_scores(docs, monkeypatch):
     assert len({round(r["score"], 3) for r in got if r["doc_id"] in (1000, 1001, 1002)}) == 1
     assert not lm.lm_scores(docs.limit(0)).collect()
     assert all(r["base_score"] == 0 for r in lm.lm_scores(docs.where("doc_id = 0")).collect() if held(0))
+
+
+def test_lm_learns_from_every_text(spark, monkeypatch, tmp_path):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('a text of number ', id) as text")
+
+    def counting(name):
+        make = getattr(lm, name)
+
+        def made(*given):
+            run = make(*given)
+
+            def counted(batches):
+                for batch in batches:
+                    (tmp_path / f"{name}-{uuid4().hex}").write_text(str(batch.num_rows))
+                    yield batch
+
+            return lambda batches: run(counted(batches))
+
+        monkeypatch.setattr(lm, name, made)
+
+    counting("_company_rows")
+    counting("_trained")
+    lm.lm_scores(docs, rounds=2)
+    texts = sum(crc32(str(i).encode()) % 10 != 0 for i in range(9000))
+    read = lambda name: sum(int(p.read_text()) for p in tmp_path.glob(name + "-*"))
+    assert texts > 8000 and read("_company_rows") == texts and read("_trained") == 2 * texts
