@@ -160,6 +160,14 @@ class Segmenter(dict):
 _SEGMENTERS: dict[tuple[str, int], Segmenter] = {}  # of a worker process, over all its tasks
 
 
+def _made(whole: bool) -> list[str]:
+    return ["n_pieces", "score", "nbest", "round_trip", *(("ids", "nbest_ids") if whole else ("ids_sha256", "nbest_sha256"))]
+
+
+def _lists(raws: list[bytes]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *(len(raw) // 4 for raw in raws)]).astype(np.int32), pa.array(np.frombuffer(b"".join(raws), "<i4")))
+
+
 def _encoded(path: str, n: int, fields: list[str], whole: bool):
     def run(batches):
         gc.disable()  # what is remembered holds no cycles; walking it again and again took most of the time
@@ -169,37 +177,42 @@ def _encoded(path: str, n: int, fields: list[str], whole: bool):
         seg = _SEGMENTERS[path, n]
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                size, scores, same, digest, ids_ = [], [], [], [], []
+                size, scores, same, ways = [], [], [], []
                 for text in part.column(part.schema.get_field_index("text")).to_pylist():
                     text = text or ""
                     units, codes = seg.coded(text)
-                    raw = b"".join(map(seg.ids.__getitem__, codes.tolist()))
-                    ids = np.frombuffer(raw, "<i4")
-                    size.append(len(ids))
-                    scores.append(seg.scores(units, codes)[0])
-                    same.append(model.decode(ids.tolist()) == text)
-                    (ids_ if whole else digest).append(ids if whole else hashlib.sha256(raw).hexdigest())
+                    best = list(map(seg.ids.__getitem__, codes.tolist()))
+                    top, changes = seg.scores(units, codes)
+                    raws, fits = [], model.decode(np.frombuffer(b"".join(best), "<i4").tolist()) == text
+                    for change in changes:
+                        way = best.copy() if change else best
+                        for at, ids in change:  # the other units are those of the best way
+                            way[at] = np.array(ids, "<i4").tobytes()
+                            fits = fits and b"".join(map(model.bytes.__getitem__, ids)) == units[at].encode()
+                        raws.append(b"".join(way))
+                    size.append(len(raws[0]) // 4)
+                    scores.append(top)
+                    same.append(fits)
+                    ways.append(raws if whole else [hashlib.sha256(raw).hexdigest() for raw in raws])
                 columns = [*(part.column(part.schema.get_field_index(f)) for f in fields), pa.array(size, pa.int64()), pa.array([s[0] for s in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)]
                 if whole:
-                    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate(ids_)))
+                    columns += [_lists([raws[0] for raws in ways]), pa.ListArray.from_arrays(np.cumsum([0, *map(len, ways)]).astype(np.int32), _lists([raw for raws in ways for raw in raws]))]
                 else:
-                    columns.append(pa.array(digest, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [*fields, "n_pieces", "score", "nbest", "round_trip", "ids" if whole else "ids_sha256"])
+                    columns += [pa.array([digests[0] for digests in ways], pa.string()), pa.array(ways, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*fields, *_made(whole)])
 
     return run
 
 
 def encoded(docs: DataFrame, n: int = 4, model: str = MODEL, keep: list[str] | None = None, ids: bool = True) -> DataFrame:
-    """docs with n_pieces, score, nbest (the n best scores), round_trip and ids (or, without ``ids``, ids_sha256 of their little-endian int32s).
+    """docs with n_pieces, score, nbest (the n best scores), round_trip, ids and nbest_ids (or, without ``ids``, ids_sha256 and nbest_sha256 of their little-endian int32s).
 
-    ``round_trip``: decoding the best segmentation gave the text back. ``keep``: the columns of docs that stay (all).
+    ``nbest_ids``: the n best segmentations, best first. ``round_trip``: decoding each of them gave the text back. ``keep``: the columns of docs that stay (all).
     """
     docs = docs.withColumn("text", F.col("text").cast("string"))
     keep = docs.columns if keep is None else keep
-    made = ["n_pieces", "score", "nbest", "round_trip", "ids" if ids else "ids_sha256"]
-    if clash := set(made) & set(keep):
+    if clash := set(_made(ids)) & set(keep):
         raise ValueError(f"docs already has columns {sorted(clash)}")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema += ", n_pieces long, score double, nbest array<double>, round_trip boolean, " + ("ids array<int>" if ids else "ids_sha256 string")
+    schema += ", n_pieces long, score double, nbest array<double>, round_trip boolean, " + ("ids array<int>, nbest_ids array<array<int>>" if ids else "ids_sha256 string, nbest_sha256 array<string>")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_encoded(model, n, keep, ids), schema)

@@ -37,5 +37,5 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, with the scores of its n best segmentations."""
+    """Piece ids of each text, and its n best segmentations with their scores."""
     return nbest.encoded(docs, keep=["doc_id", "lang", "source", "n_chars"])

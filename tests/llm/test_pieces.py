@@ -1,4 +1,6 @@
 import random
+from array import array
+from hashlib import sha256
 
 import pytest
 
@@ -74,3 +76,18 @@ def test_operators(spark):
     assert not token_counts(docs.limit(0)).collect() and not encoded(docs.limit(0)).collect()
     with pytest.raises(ValueError):
         encoded(docs.withColumnRenamed("n_chars", "ids"))
+
+
+def test_every_segmentation_is_returned(spark):
+    from quern.llm.nbest import encoded
+
+    model, seg = piece_model(MODEL), Segmenter(piece_model(MODEL), 4)
+    texts = [*TEXTS, "", None, "word " * 50, "x" * 40 + " \u00e9\u2603"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    thin = {r["doc_id"]: r for r in encoded(docs, ids=False).collect()}
+    for r in encoded(docs).collect():
+        text = r["text"] or ""
+        assert r["nbest_ids"] == [ids for _, ids in seg.nbest(text)] and len(r["nbest_ids"]) == len(r["nbest"]) and r["nbest_ids"][0] == r["ids"]
+        assert r["round_trip"] and all(model.decode(ids) == text for ids in r["nbest_ids"])
+        assert thin[r["doc_id"]]["nbest_sha256"] == [sha256(array("i", ids).tobytes()).hexdigest() for ids in r["nbest_ids"]]
+        assert thin[r["doc_id"]]["ids_sha256"] == thin[r["doc_id"]]["nbest_sha256"][0] and thin[r["doc_id"]]["round_trip"]
