@@ -6,8 +6,7 @@ max-pooled within each chunk, and the mean and the maximum over all chunks
 pass a logistic unit, which gives the probability of label 1.
 
 The network is fitted on the driver, with random cuts of good texts among them, to at most ``per_class`` labelled
-documents of each class (those of least id hash), of at most ``TRAIN_BYTES``
-bytes each.  Every text is scored whole.
+documents of each class (those of least id hash), each of them whole.  Every text is scored whole.
 
 Cases: a null text is the empty one, which is scored too; without labelled
 rows of both classes the score is the share of label 1 for every text (0.5
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from ._words import pieces, texts_buffer
 
 STRIDE = 512
-TRAIN_BYTES = 1 << 15
 PAD = 256  # stands beyond a text's end, with weights of its own
 
 
@@ -172,7 +170,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, **how) ->
     known = labels.where(F.col("quality").isin(0, 1)).where(remainder("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     least = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = least(0).union(least(1))  # 2 * per_class rows at most: fit to broadcast
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     got = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * per_class).collect()
     return Network(**how).fit([r["text"].encode() for r in got], [r["quality"] for r in got])
 

@@ -162,6 +162,14 @@ def test_quality_holds_out_and_scores_all(spark):
     assert {r["_score"] for r in quality.scored(docs, none).collect()} == {1.0}
 
 
+def test_quality_learns_from_long_texts(spark):
+    rows = [(i, "fine words " * (5 + i % 7) if i % 3 else "buy!! $$$ NOW " * 2400) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = quality.fitted(docs, spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(30)], "doc_id long, quality int"))
+    assert net.constant is None
+    assert all((r["_score"] >= 0.5) == (r["doc_id"] % 3 != 0) for r in quality.scored(docs, net).collect())
+
+
 def test_mixture(docs):
     tokens = [1000, 50, 9, 9]
     a = mixing.exponent_for(tokens, target_entropy=1.2)
