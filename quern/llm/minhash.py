@@ -259,6 +259,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 75, permutati
 
     ``similarity`` is in hundredths; ``tkey`` is xxhash64 of the text.
     """
+    return _grouped(docs, n, similarity, permutations, bands).drop("component")
+
+
+def _grouped(docs: DataFrame, n: int = 5, similarity: int = 75, permutations: int = 64, bands: int = 32) -> DataFrame:
+    """near_duplicates with ``component``, the group's own number (null for a text without words)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     rows = written(docs.mapInArrow(_describe(n, permutations, bands), "doc_id long, tkey long, n_shingles long, fp1 long, fp2 long, bands array<long>, brief binary"), "signatures")
     some = rows.where("n_shingles > 0")
@@ -289,17 +294,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 75, permutati
 
     placed = nodes.select("node", "fp1", "fp2", F.col("n_shingles").alias("size"), "doc_id").join(owner, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    placed = placed.join(least, "component").select("fp1", "fp2", F.col("size").alias("n_shingles"), "component_id")
-    joined = some.drop("bands").join(placed, ["fp1", "fp2", "n_shingles"]).select("doc_id", "tkey", "n_shingles", "component_id")
-    empty = rows.where("n_shingles = 0").select("doc_id", "tkey", "n_shingles", F.col("doc_id").alias("component_id"))
+    placed = placed.join(least, "component").select("fp1", "fp2", F.col("size").alias("n_shingles"), "component_id", "component")
+    joined = some.drop("bands").join(placed, ["fp1", "fp2", "n_shingles"]).select("doc_id", "tkey", "n_shingles", "component_id", "component")
+    empty = rows.where("n_shingles = 0").select("doc_id", "tkey", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return joined.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose document is kept, one for each repeated row; all columns stay."""
+    """One row of docs for each group, of its least doc_id (null ids last), and each text without words once; all columns stay."""
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct()
+    rows = _grouped(docs, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("r")
+    kept = rows.where("component is not null").groupBy("component").agg(first).select("r.doc_id", "r.tkey").union(rows.where("component is null").select("doc_id", "tkey"))
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).distinct()
     keyed = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
     rows = keyed.join(kept, "_t").where("_d <=> doc_id")
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_t", "_d").orderBy(*[F.col(c) for c in docs.columns if c != "text"]))).where("_n = 1").select(*docs.columns)

@@ -78,6 +78,16 @@ def test_near_duplicates(docs):
     assert not minhash.near_duplicates(docs.limit(0)).collect()
 
 
+def test_one_of_each_group_stays_whatever_its_ids(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    near = lambda a: [words(a) + f" tail{i}" for i in range(3)]
+    rows = [(None, t) for t in near("null")] + [(7, t) for t in near("same")] + [(7, words("other")), (None, words("lone")), (None, words("lone"))]
+    rows += [(9, near("mixed")[0]), (None, near("mixed")[1]), (3, ""), (4, None), (4, None)]
+    kept = minhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], (r["text"] or "").split("0")[0]) for r in kept)
+    assert got == Counter([(None, "null"), (7, "same"), (7, "other"), (None, "lone"), (9, "mixed"), (3, ""), (4, "")])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(7, 7), (None, 3)]
