@@ -1,18 +1,20 @@
 """LM scoring: a causal self-attention model in numpy on subword ids.
 
-Learning covers every training text.  Words are counted over all of them; the
-subword counts follow from the word counts, each distinct word encoded once.
-The commonest subwords fall into classes of equal size by the company that they
-keep in the training texts (halved again and again along the direction in which
-their neighbours differ most).  From attention over the subwords before it, the
-model gives the class of the next one and then its place in the class; rarer
-subwords share a last place in each class, within which their counts decide.
-The product is a probability of the whole sequence of subwords up to the end.
-
-The attention weights are trained by data-parallel descent: in each round
-every part of the training texts starts from the same weights, descends on its
-own windows, and the weights are averaged.  All training texts are descended on
-in each round, dealt over parts of about ``PART`` bytes by their hash.
+Learning covers every training text.  Each is encoded once; words and subwords
+are counted over all of them.  The commonest subwords fall into classes of
+equal size by the company that they keep in the training texts (halved again
+and again along the direction in which their neighbours differ most); the
+rarer ones share the last place of a class, within which their counts decide.
+
+The model is one masked attention head.  Its values are distributions over the
+next subword, counted over all neighbours in all training texts: what stands
+right behind a subword, and what stands further behind one of its class.  Its
+queries, keys and distance biases are trained by data-parallel descent: in each
+round every part of the training texts starts from the same weights and
+descends on all its windows in turn, and the weights are averaged.  While
+training, a subword is left out of the counts that it is predicted from.  The
+output is a distribution, so the product over a text is the probability of its
+subwords up to the end.
 
 Scoring cuts a text into windows of ``WINDOW`` subwords that overlap by
 ``OVERLAP``; each subword is scored once, in the first window that holds it
@@ -24,7 +26,8 @@ The base score of the same words comes from their counts: the commonest
 
 Cases: a null or blank text is its end alone; without any training text all
 counts are zero and the base score is zero (one outcome only), while the model
-is uniform; texts of any length are scored whole.
+is uniform over its members; texts of any length are scored whole, in blocks
+of windows.  doc_id may be of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,172 +47,41 @@ from ._words import Words, pieces
 from .piece_model import MODEL
 from .quality import remainder
 
-WINDOW, OVERLAP, WIDTH, CLASSES, MEMBERS, COMPANY = 32, 8, 16, 64, 48, 128
+WINDOW, OVERLAP, WIDTH, CLASSES, MEMBERS, FINE, COMPANY = 16, 4, 16, 64, 32, 8, 128
+REACH, FARTHEST = 3, 6  # distances with a table of their own, the last for all further ones, counted as far as FARTHEST
 HEAD = 1 << 17
 MEMO = 200_000
-PART = 1 << 23
-
-
-class Attention:
-    """One layer: embeddings of members and places, a masked attention head, a read-out over classes and one over each class's members."""
-
-    def __init__(self, prior: np.ndarray, own: np.ndarray, seed: int = 2) -> None:
-        rng = np.random.default_rng(seed)
-        make = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        self.p = {
-            "embed": make(CLASSES * MEMBERS + 1, WIDTH), "place": make(WINDOW, WIDTH), "q": make(WIDTH, WIDTH), "k": make(WIDTH, WIDTH), "v": make(WIDTH, WIDTH),
-            "out": make(WIDTH, CLASSES), "bias": np.zeros(CLASSES, np.float32), "member": make(CLASSES, MEMBERS, WIDTH), "shift": np.zeros((CLASSES, MEMBERS), np.float32),
-        }
-        self.prior, self.own = prior.astype(np.float32), own.astype(np.float32)
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p.values()])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, x in self.p.items():
-            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
-
-    def forward(self, seen: np.ndarray):
-        """seen: (windows, WINDOW) members before each place."""
-        p = self.p
-        x = p["embed"][seen] + p["place"]
-        q, k, v = x @ (p["q"] * np.float32(WIDTH**-0.5)), x @ p["k"], x @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a += self.mask
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        return x, q, k, v, a, x + a @ v
-
-    def by_class(self, cls: np.ndarray):
-        """(class, rows) of the rows of each class that occurs."""
-        order = np.argsort(cls, kind="stable")
-        cut = np.flatnonzero(np.diff(cls[order])) + 1
-        for rows in np.split(order, cut):
-            if len(rows):
-                yield int(cls[rows[0]]), rows
-
-    def scorer(self):
-        """A function (windows seen, what comes, where to score) -> natural logs of the members that come; biases ride along as one more dimension."""
-        p = self.p
-        embed, scale = p["embed"], np.asarray(WIDTH**-0.5, p["q"].dtype)
-        qkv = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
-        out = np.concatenate([p["out"], (p["bias"] + self.prior)[None]])
-        member = np.concatenate([p["member"], (p["shift"] + self.own)[:, :, None]], axis=2).transpose(0, 2, 1).copy()
-        lower = np.tril(np.ones((WINDOW, WINDOW), p["q"].dtype))
-
-        def hits(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-            hit = z[np.arange(len(z)), at]
-            with np.errstate(over="ignore"):
-                total = np.exp(z).sum(axis=1)
-            if not np.isfinite(total).all():  # far-out weights: the slow way
-                most = z.max(axis=1, keepdims=True)
-                return hit - most[:, 0] - np.log(np.exp(z - most).sum(axis=1))
-            return hit - np.log(total)
-
-        def attended(seen: np.ndarray) -> np.ndarray:
-            x = embed[seen]
-            x += p["place"]
-            q, k, v = (y.reshape(x.shape) for y in np.split(x.reshape(-1, WIDTH) @ qkv, 3, axis=1))
-            a = q @ k.transpose(0, 2, 1)
-            np.minimum(a, 60, out=a)  # of no effect but to keep the exponential finite
-            np.exp(a, out=a)
-            a *= lower
-            x += (a @ v) / a.sum(axis=2, keepdims=True)
-            return x
-
-        def score(seen: np.ndarray, next_: np.ndarray, keep: np.ndarray) -> np.ndarray:
-            to = next_[keep]
-            h, at = np.ones((len(to), WIDTH + 1), embed.dtype), 0
-            for i in range(0, len(seen), 128):  # blocks that stay in cache
-                x = attended(seen[i : i + 128])[keep[i : i + 128]]
-                h[at : at + len(x), :-1] = x
-                at += len(x)
-            cls, place = to // MEMBERS, to % MEMBERS
-            got = np.empty(len(to), embed.dtype)
-            for i in range(0, len(to), 4096):
-                s = slice(i, i + 4096)
-                got[s] = hits(h[s] @ out, cls[s])
-            for c, rows in self.by_class(cls):
-                got[rows] += hits(h[rows] @ member[c], place[rows])
-            return got
-
-        return score
-
-    def gradients(self, seen: np.ndarray, next_: np.ndarray, weight: np.ndarray) -> dict:
-        p = self.p
-        x, q, k, v, a, h = self.forward(seen)
-        (b, t, d), flat = x.shape, h.reshape(-1, h.shape[-1])
-        cls, place, share = next_.ravel() // MEMBERS, next_.ravel() % MEMBERS, (weight / max(weight.sum(), 1)).ravel()[:, None].astype(x.dtype)
-        z = flat @ p["out"]
-        z += p["bias"] + self.prior
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), cls] -= 1
-        z *= share
-        dh, dm, dw = z @ p["out"].T, np.zeros_like(p["member"]), np.zeros_like(p["shift"])
-        for c, rows in self.by_class(cls):
-            y = flat[rows] @ p["member"][c].T
-            y += p["shift"][c] + self.own[c]
-            y -= y.max(axis=1, keepdims=True)
-            np.exp(y, out=y)
-            y /= y.sum(axis=1, keepdims=True)
-            y[np.arange(len(y)), place[rows]] -= 1
-            y *= share[rows]
-            dm[c], dw[c] = y.T @ flat[rows], y.sum(axis=0)
-            dh[rows] += y @ p["member"][c]
-        dh = dh.reshape(b, t, d)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dv = a.transpose(0, 2, 1) @ dh
-        s = x.dtype.type(WIDTH**-0.5)
-        dq, dk = ds @ k * s, ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        de = np.zeros_like(p["embed"])
-        np.add.at(de, seen.ravel(), dx.reshape(-1, d))
-        put = x.reshape(-1, d).T
-        return {
-            "embed": de, "place": dx.sum(axis=0), "q": put @ dq.reshape(-1, d), "k": put @ dk.reshape(-1, d), "v": put @ dv.reshape(-1, d),
-            "out": flat.T @ z, "bias": z.sum(axis=0), "member": dm, "shift": dw,
-        }
-
-    def descend(self, seen: np.ndarray, next_: np.ndarray, weight: np.ndarray, rate: float, batch: int = 64, seed: int = 0) -> None:
-        """One pass of Adam, its steps shrinking to a tenth."""
-        m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        order = np.random.default_rng(seed).permutation(len(seen))
-        for t, a in enumerate(range(0, len(order), batch), 1):
-            part = order[a : a + batch]
-            now = rate * (1 - 0.9 * a / len(order))
-            for k, g in self.gradients(seen[part], next_[part], weight[part]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] -= (now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+BATCH = 512  # windows of a step
+GROUPS = 16  # of classes
 
 
 class Classes:
-    """The member (class * MEMBERS + place) of every subword id, and its log share of a last place."""
+    """The member (class * MEMBERS + place) of every subword id, and its log share of a last place.
+
+    ``FINE`` neighbouring members make a fine class, ``MEMBERS`` a class; the rarer subwords of a class share its last place.
+    """
 
     def __init__(self, counts: np.ndarray, company: np.ndarray | None = None) -> None:
         c = counts.astype(np.float64) + 0.1
         order = np.argsort(-c, kind="stable")
         top, rest = order[: CLASSES * (MEMBERS - 1)], order[CLASSES * (MEMBERS - 1) :]
-        parts = [np.arange(len(top))]
         x = np.zeros((len(top), 1)) if company is None else np.sqrt(company / np.maximum(company.sum(axis=1, keepdims=True), 1))
-        while len(parts) < CLASSES:
-            parts = [half for part in parts for half in self._halves(x, part)]
         self.of = np.empty(len(c), np.int64)
-        for k, part in enumerate(parts):
+        for k, part in enumerate(self._cut(x, np.arange(len(top)), CLASSES)):
+            part = np.concatenate(self._cut(x, part, MEMBERS // FINE))
             self.of[top[part]] = k * MEMBERS + np.arange(len(part))
         self.of[rest] = np.arange(len(rest)) % CLASSES * MEMBERS + MEMBERS - 1
         mass = np.bincount(self.of, c, CLASSES * MEMBERS)
         self.within = np.log(c / mass[self.of])
-        mass = np.maximum(mass, 1e-3).reshape(CLASSES, MEMBERS)
-        self.prior = np.log(mass.sum(axis=1) / mass.sum())
-        self.own = np.log(mass / mass.sum(axis=1, keepdims=True))
+        mass = np.maximum(mass, 1e-3)
+        self.share = mass / mass.sum()
+
+    @staticmethod
+    def _cut(x: np.ndarray, part: np.ndarray, n: int) -> list[np.ndarray]:
+        parts = [part]
+        while len(parts) < n:
+            parts = [half for part in parts for half in Classes._halves(x, part)]
+        return parts
 
     @staticmethod
     def _halves(x: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
@@ -219,7 +91,142 @@ class Classes:
             v = y.T @ (y @ v)
             v /= np.linalg.norm(v) or 1
         order = part[np.argsort(y @ v, kind="stable")]
-        return [order[: len(order) // 2], order[len(order) // 2 :]]
+        return [order[: (len(order) + 1) // 2], order[(len(order) + 1) // 2 :]]
+
+
+class Values:
+    """What a subword at some distance says of the next: a distribution over all members, from counts.
+
+    near[p, m]    member m right behind member p
+    pair[g, p, f] fine class f behind p, a member of group g before that (a group is a run of classes)
+    far[d, f, m]  member m at distance d + 2 behind fine class f (the last d: all further ones up to ``FARTHEST``)
+
+    Pairs are smoothed towards near, near towards what the fine class of p says, and that, as far, towards the share of
+    the members.
+    ``left_out`` gives the same tables as a training subword sees them that isn't counted itself.
+    """
+
+    def __init__(self, share: np.ndarray, near: np.ndarray, pair: np.ndarray, far: np.ndarray) -> None:
+        self.share, self.near, self.pair, self.far = share, near, pair, far
+
+    def tables(self, left_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(near, how much more a pair expects a fine class than near does, far)."""
+        less = np.float32(left_out)
+
+        def smooth(count: np.ndarray, prior: np.ndarray, weight: float) -> np.ndarray:
+            total = count.sum(axis=-1, keepdims=True)
+            return ((np.maximum(count - less, 0) + weight * prior) / (np.maximum(total - less, 0) + weight)).astype(np.float32)
+
+        fine = smooth(self.near.reshape(-1, FINE, len(self.share)).sum(axis=1), self.share, 32.0)
+        near = smooth(self.near, np.repeat(fine, FINE, axis=0), 8.0)
+        by_fine = near.reshape(len(near), -1, FINE).sum(axis=2)
+        return near, smooth(self.pair, by_fine, 8.0) / by_fine, smooth(self.far, self.share, 32.0)
+
+
+class Attention:
+    """One masked attention head over the subwords before each place.
+
+    Queries and keys are learned embeddings of classes, with a learned bias for each distance; the query belongs to the
+    newest subword seen.  The values are distributions over the next subword (``Values``), and one more key, always
+    visible, stands for the share of the members.  So the output is a distribution.
+    """
+
+    def __init__(self, values: Values, seed: int = 2) -> None:
+        rng = np.random.default_rng(seed)
+        make = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
+        distance = -0.5 * np.arange(WINDOW, dtype=np.float32)
+        self.p = {"query": make(CLASSES + 1, WIDTH), "key": make(CLASSES + 1, WIDTH), "distance": distance, "rest": np.full(CLASSES + 1, -2, np.float32)}
+        self.use(values)
+
+    def use(self, values: Values, left_out: bool = False) -> None:
+        """Takes the tables of ``values``; the mark before a text's first subword says what the share says."""
+        near, pair, far = values.tables(left_out)
+        self.share = values.share.astype(np.float32)
+        self.near = np.concatenate([near, self.share[None]]).ravel()
+        more = np.ones((GROUPS + 1, len(near) + 1, pair.shape[2]), np.float32)  # the mark says nothing more
+        more[:-1, :-1] = pair
+        self.pair = more.ravel()
+        self.far = np.concatenate([far, np.broadcast_to(self.share, (len(far), 1, len(self.share)))], axis=1).reshape(len(far), -1)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, x in self.p.items():
+            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+
+    def pairs(self, seen: np.ndarray, next_: np.ndarray):
+        """(distance, index of the attention weight, weight, value) along each diagonal of the masked matrix.
+
+        seen, next_: (WINDOW, windows), a column a window; a distance covers the places from it on.
+        """
+        t, m = len(seen), CLASSES * MEMBERS
+        match = np.exp(np.clip(self.p["query"] @ self.p["key"].T, -30, 30)).ravel()
+        bias = np.exp(np.clip(self.p["distance"], -30, 30))
+        klass = seen // MEMBERS
+        query, key = klass * (CLASSES + 1), seen // FINE * m
+        for d in range(t):
+            at = query[d:] + klass[: t - d]
+            weight = match.take(at)
+            weight *= bias[d]
+            if d == 0:
+                value = self.near.take(seen * m + next_)
+                group = np.full_like(seen, GROUPS)
+                group[1:] = seen[:-1] * GROUPS // m
+                value *= self.pair.take((group * (m + 1) + seen) * (m // FINE) + next_ // FINE)
+            else:
+                value = self.far[min(d, len(self.far)) - 1].take(key[: t - d] + next_[d:])
+            yield d, at, weight, value
+
+    def probability(self, seen: np.ndarray, next_: np.ndarray) -> np.ndarray:
+        """Of each member that comes, given those seen in its window; both (WINDOW, windows)."""
+        total = np.exp(np.clip(self.p["rest"], -30, 30)).take(seen // MEMBERS)
+        hit = total * self.share.take(next_)
+        for d, _, weight, value in self.pairs(seen, next_):
+            total[d:] += weight
+            weight *= value
+            hit[d:] += weight
+        return hit / total
+
+    def gradients(self, seen: np.ndarray, next_: np.ndarray, scored: np.ndarray) -> dict:
+        """Of the mean -log probability of the scored places."""
+        kept = list(self.pairs(seen, next_))
+        klass = seen // MEMBERS
+        rest = np.exp(np.clip(self.p["rest"], -30, 30)).take(klass)
+        total, hit = rest.copy(), rest * self.share.take(next_)
+        for d, _, weight, value in kept:
+            total[d:] += weight
+            hit[d:] += weight * value
+        share = scored / max(int(scored.sum()), 1)
+        by_hit, by_total = share / hit, share / total
+        g, far = np.zeros((CLASSES + 1) ** 2), np.zeros_like(self.p["distance"])
+        for d, at, weight, value in kept:
+            value = value * by_hit[d:]
+            value -= by_total[d:]
+            value *= weight  # how much more it should have had
+            far[d] = -value.sum()
+            g -= np.bincount(at.ravel(), value.ravel(), len(g))
+        more = rest * (self.share.take(next_) * by_hit - by_total)
+        g = g.reshape(CLASSES + 1, -1)
+        return {"query": g @ self.p["key"], "key": g.T @ self.p["query"], "distance": far, "rest": -np.bincount(klass.ravel(), more.ravel(), CLASSES + 1)}
+
+
+class Descent:
+    """Adam over batches of windows, its steps shrinking as they go on."""
+
+    def __init__(self, model: Attention, rate: float) -> None:
+        self.model, self.rate, self.t = model, rate, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+
+    def step(self, seen: np.ndarray, next_: np.ndarray, scored: np.ndarray) -> None:
+        self.t += 1
+        now = self.rate / (1 + self.t / 100)
+        for k, g in self.model.gradients(seen, next_, scored).items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
+            self.model.p[k] = self.model.p[k] - (now * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
 class Encoder(dict):
@@ -273,109 +280,156 @@ def sequences(encoder: Encoder, w: Words, named: pa.DictionaryArray, end: int) -
     return out, off  # copies: the encoder's arrays grow on
 
 
-def windows(cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(classes before, classes that come, index of each place, whether it is scored there) of all windows."""
+def windows(members: np.ndarray, off: np.ndarray, most: int = 1 << 62):
+    """(members before, members that come, index of each place, whether it is scored there), a column a window, by blocks of at most ``most`` windows."""
     n = np.diff(off)
     step = WINDOW - OVERLAP
     count = np.maximum(1, -(-(n - OVERLAP) // step))
-    total = int(count.sum())
-    nth = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    begin = np.repeat(off[:-1], count) + nth * step
-    index = begin[:, None] + np.arange(WINDOW)
-    inside = index < np.repeat(off[1:], count)[:, None]
-    index = np.minimum(index, len(cls) - 1)
-    before = np.empty(len(cls), np.int64)
-    before[1:] = cls[:-1]
+    ends = np.cumsum(count)
+    before = np.empty(len(members), np.int64)
+    before[1:] = members[:-1]
     before[off[:-1]] = CLASSES * MEMBERS
-    scored = inside & ((np.arange(WINDOW) >= OVERLAP) | (nth == 0)[:, None])
-    return before[index], cls[index], index, scored
+    place = np.arange(WINDOW)[:, None]
+    for a in range(0, int(ends[-1]), most):
+        nth = np.arange(a, min(a + most, int(ends[-1])))
+        text = np.searchsorted(ends, nth, "right")
+        nth = nth - (ends[text] - count[text])
+        index = off[text] + nth * step + place
+        scored = (index < off[text + 1]) & ((place >= OVERLAP) | (nth == 0))
+        index = np.minimum(index, len(members) - 1)
+        yield before[index], members[index], index, scored
 
 
-def _word_rows(batches):
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            w = Words(part.column("text"), lower=True)
-            if w.n:
-                found = w.strings().value_counts()
-                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
+CODED = ("doc_id", "text", "held_out", "ids", "word", "c")
+
+
+def _narrow(size: int) -> np.dtype:
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+
 
+def _encoded_rows(path: str, end: int):
+    """Each row with its subword ids, the end behind them; and rows (word, c) of the texts to learn from."""
 
-def _subword_rows(path: str):
     def run(batches):
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        total = np.zeros(sp.get_piece_size(), np.int64)
+        encoder = _encoder(path)
+        kind = _narrow(encoder.sp.get_piece_size())
         for batch in batches:
-            ids = sp.encode([w.decode() for w in batch.column("word").to_pylist()], num_threads=1)
-            times = np.repeat(np.asarray(batch.column("c")), [len(i) for i in ids])
-            flat = np.array([x for i in ids for x in i], np.int64)
-            np.add.at(total, flat, times)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
+            for part in pieces(batch, "text"):
+                w = Words(part.column("text"), lower=True)
+                named = w.strings().dictionary_encode()
+                ids, off = sequences(encoder, w, named, end)
+                learned = np.repeat(~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), w.counts())
+                counts = np.bincount(np.asarray(named.indices)[learned], minlength=len(named.dictionary)) if w.n else np.zeros(0, np.int64)
+                some = np.flatnonzero(counts)
+                ids, ends = ids.astype(kind), (off * kind.itemsize).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "text", "held_out")), raw, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64())], [*CODED])
+                kinds = [part.schema.field(c).type for c in ("doc_id", "text", "held_out")]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds), pa.nulls(len(some), pa.binary()), named.dictionary.take(pa.array(some)).cast(pa.binary()), pa.array(counts[some])], [*CODED])
+
+    return run
+
+
+def _ids(batches, size: int, most: int = 1 << 20):
+    """(ids, offsets of texts, their rows) of about ``most`` ids at a time, one text at least."""
+    kind = _narrow(size)
+    for batch in batches:
+        col = batch.column(batch.schema.get_field_index("ids"))
+        off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        data = np.frombuffer(col.buffers()[2], np.uint8)
+        i = 0
+        while i < len(col):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + most * kind.itemsize, "right")) - 1)
+            yield data[off[i] : off[j]].view(kind).astype(np.int64), (off[i : j + 1] - off[i]) // kind.itemsize, batch.slice(i, j - i)
+            i = j
+
+
+def _sparse(total: np.ndarray):
+    some = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "c"])
+
+
+def _id_counts(size: int):
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for ids, _, _ in _ids(batches, size):
+            total += np.bincount(ids, minlength=size)
+        yield _sparse(total)
 
     return run
 
 
-def _company_rows(path: str, end: int, top: np.ndarray):
-    """(i, j, c): how often the j-th commonest stands before the i-th, or, from COMPANY on, behind it."""
+def _company_counts(size: int, top: np.ndarray):
+    """How often the j-th commonest stands before the i-th, or, from COMPANY on, behind it."""
 
     def run(batches):
-        encoder, rank, total = _encoder(path), None, np.zeros((len(top), 2 * COMPANY), np.int64)
-        rank = np.full(encoder.sp.get_piece_size(), -1)
+        rank = np.full(size, -1)
         rank[top] = np.arange(len(top))
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                w = Words(part.column("text"), lower=True)
-                ids, _ = sequences(encoder, w, w.strings().dictionary_encode(), end)
-                a, b = rank[ids[:-1]], rank[ids[1:]]
-                s = (a >= 0) & (a < COMPANY) & (b >= 0)
-                total += np.bincount(b[s] * 2 * COMPANY + a[s], minlength=total.size).reshape(total.shape)
-                s = (b >= 0) & (b < COMPANY) & (a >= 0)
-                total += np.bincount(a[s] * 2 * COMPANY + COMPANY + b[s], minlength=total.size).reshape(total.shape)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "c"])
+        total = np.zeros(len(top) * 2 * COMPANY, np.int64)
+        for ids, _, _ in _ids(batches, size):
+            of = rank[ids]
+            a, b = of[:-1], of[1:]
+            s = (a >= 0) & (a < COMPANY) & (b >= 0)
+            total += np.bincount(b[s] * (2 * COMPANY) + a[s], minlength=len(total))
+            s = (b >= 0) & (b < COMPANY) & (a >= 0)
+            total += np.bincount(a[s] * (2 * COMPANY) + COMPANY + b[s], minlength=len(total))
+        yield _sparse(total)
 
     return run
 
 
-def _trained(path: str, classes: Classes, end: int, weights: np.ndarray, rate: float, seed: int):
+def _value_counts(size: int, of: np.ndarray):
+    """The cells of ``Values``' tables, one behind the other."""
+    m = CLASSES * MEMBERS
+
     def run(batches):
-        encoder, got = _encoder(path), []
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                w = Words(part.column("text"), lower=True)
-                ids, off = sequences(encoder, w, w.strings().dictionary_encode(), end)
-                seen, next_, _, scored = windows(classes.of[ids], off)
-                got.append((seen.astype(np.int16), next_.astype(np.int16), scored))
-        if got:
-            seen, next_, scored = (np.concatenate(x) for x in zip(*got, strict=True))
-            model = Attention(classes.prior, classes.own)
-            model.load(weights)
-            model.descend(seen.astype(np.int64), next_.astype(np.int64), scored.astype(np.float32), rate, seed=seed)
+        near, pair, far = np.zeros(m * m, np.int64), np.zeros(GROUPS * m * m // FINE, np.int64), np.zeros((REACH - 1, m // FINE * m), np.int64)
+        for ids, off, _ in _ids(batches, size):
+            of_ids = of[ids]
+            text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            for d in range(1, FARTHEST + 1):
+                same = text[d:] == text[:-d]
+                before, next_ = of_ids[:-d][same], of_ids[d:][same]
+                if d == 2:
+                    pair += np.bincount((before * GROUPS // m * m + of_ids[1:-1][same]) * (m // FINE) + next_ // FINE, minlength=len(pair))
+                table, row = (near, before) if d == 1 else (far[min(d, REACH) - 2], before // FINE)
+                table += np.bincount(row * m + next_, minlength=len(table))
+        yield _sparse(np.concatenate([near, pair, far.ravel()]))
+
+    return run
+
+
+def _trained(size: int, classes: Classes, values: Values, weights: np.ndarray, rate: float):
+    def run(batches):
+        model = Attention(values)
+        model.load(weights)
+        model.use(values, left_out=True)
+        descent, n = Descent(model, rate), 0
+        for ids, off, _ in _ids(batches, size):
+            for seen, next_, _, scored in windows(classes.of[ids], off, BATCH):
+                descent.step(seen, next_, scored)
+                n += seen.shape[1]
+        if n:
             flat = model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * len(seen)), pa.array(np.full(len(flat), float(len(seen))))], ["i", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], ["i", "x", "n"])
 
     return run
 
 
-def _scored_rows(path: str, classes: Classes, end: int, weights: np.ndarray, head: pa.Array, count: np.ndarray, n: int, v: int):
+def _scored_rows(size: int, classes: Classes, values: Values, weights: np.ndarray, head: pa.Array, count: np.ndarray, n: int, v: int):
     divisor = n + 0.1 * (v + 1)
 
     def run(batches):
-        encoder, model = _encoder(path), Attention(classes.prior, classes.own)
+        model = Attention(values)
         model.load(weights)
-        score_windows = model.scorer()
         for batch in batches:
-            for part in pieces(batch, "text"):
-                w = Words(part.column("text"), lower=True)
-                named = w.strings().dictionary_encode()
-                ids, off = sequences(encoder, w, named, end)
-                cls = classes.of[ids]
-                seen, next_, index, scored = windows(cls, off)
+            for ids, off, part in _ids([batch], size):
                 logs = classes.within[ids]
-                for a in range(0, len(seen), 4096):
-                    s = scored[a : a + 4096]
-                    logs[index[a : a + 4096][s]] += score_windows(seen[a : a + 4096], next_[a : a + 4096], s)
+                for seen, next_, index, scored in windows(classes.of[ids], off, BATCH):
+                    logs[index[scored]] += np.log(model.probability(seen, next_)[scored])
                 score = np.add.reduceat(logs, off[:-1]) / math.log(10)
+                w = Words(part.column("text"), lower=True)
+                named = w.strings().dictionary_encode()
                 # the base: words of the head here, the others as a list for each text
                 at = pc.index_in(named.dictionary, value_set=head)
                 there = np.asarray(at.is_valid())
@@ -400,37 +454,44 @@ def _scored_rows(path: str, classes: Classes, end: int, weights: np.ndarray, hea
     return run
 
 
-def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 3) -> DataFrame:
+def _collected(rows: DataFrame, size: int) -> np.ndarray:
+    """The sums of (i, c) rows as an array of ``size`` cells: bounded by the model's shape, whatever the corpus."""
+    out = np.zeros(size, np.int64)
+    for r in rows.groupBy("i").agg(F.sum("c").alias("c")).toArrow().to_batches():
+        out[np.asarray(r.column("i"))] = np.asarray(r.column("c"))
+    return out
+
+
+def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text, ...).
 
-    Rows whose crc32(doc_id) mod 10 is 0 are held out; the others are learned from.
+    Rows whose crc32(doc_id) mod 10 is 0 are held out; all others are learned from.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), (remainder("doc_id", 10) == 0).alias("held_out"))
-    train = docs.where("not held_out").select("doc_id", "text")
-    words = written(train.select("text").mapInArrow(_word_rows, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    texts, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    size, end, pair = sp.get_piece_size(), sp.eos_id(), "i long, c long"
+    coded = written(docs.mapInArrow(_encoded_rows(model, end), f"doc_id {kind}, text string, held_out boolean, ids binary, word binary, c long"), "encoded")
+    train = coded.where("not held_out").select("ids")
+    words = written(coded.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = _collected(train.mapInArrow(_id_counts(size), pair), size)
+    texts = int(counts[end])
     n, v = total + texts, distinct + (texts > 0)
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    counts, end = np.zeros(sp.get_piece_size(), np.int64), sp.eos_id()
-    for r in words.mapInArrow(_subword_rows(model), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # a row a piece of the vocabulary at most
-        counts[r["id"]] = r["c"]
-    counts[end] += texts
-    order = np.argsort(-counts, kind="stable")
-    top = order[: CLASSES * (MEMBERS - 1)]
-    company = np.zeros((len(top), 2 * COMPANY))
-    for r in train.select("text").mapInArrow(_company_rows(model, end, top), "i long, j long, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).toArrow().to_batches():  # bounded by the two lists
-        company[np.asarray(r.column("i")), np.asarray(r.column("j"))] = np.asarray(r.column("c"))
-    classes = Classes(counts, company)
-    net = Attention(classes.prior, classes.own)
-    dealt = train.select("text", F.xxhash64("text", "doc_id").alias("deal"))
-    for i in range(rounds if size else 0):
-        rows = dealt.repartition(max(1, min(size // PART, texts)), "deal").mapInArrow(_trained(model, classes, end, net.flat(), 0.01 / (1 + i), i), "i long, x double, n double")
+    top = np.argsort(-counts, kind="stable")[: CLASSES * (MEMBERS - 1)]
+    company = _collected(train.mapInArrow(_company_counts(size, top), pair), len(top) * 2 * COMPANY)
+    classes = Classes(counts, company.reshape(len(top), -1))
+    m = CLASSES * MEMBERS
+    shapes = [(m, m), (GROUPS, m, m // FINE), (REACH - 1, m // FINE, m)]
+    ends = np.cumsum([math.prod(x) for x in shapes])
+    cells = _collected(train.mapInArrow(_value_counts(size, classes.of), pair), int(ends[-1])).astype(np.float32)
+    values = Values(classes.share, *(x.reshape(shape) for x, shape in zip(np.split(cells, ends[:-1]), shapes, strict=True)))
+    net = Attention(values)
+    for i in range(rounds if texts else 0):
+        rows = train.mapInArrow(_trained(size, classes, values, net.flat(), 0.05 / (1 + i)), "i long, x double, n double")
         mean = rows.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("i").collect()  # a row a weight
-        if mean:
-            net.load(np.array([r["x"] for r in mean]))
+        net.load(np.array([r["x"] for r in mean]))
 
     # the head: all words as common as some grade or more, HEAD at most
     grade = F.floor(F.log2("c") * 16).cast("int")
@@ -443,7 +504,7 @@ def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 3) -> DataFrame
     top = words.where(grade >= least if least is not None else F.lit(False)).toArrow()
     head, count = pa.array(top["word"].to_pylist(), pa.binary()), np.asarray(top["c"])
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, head_score double, score double, words array<binary>, times array<long>"
-    rows = docs.mapInArrow(_scored_rows(model, classes, end, net.flat(), head, count, n, v), shape)
+    rows = coded.where("held_out is not null").select("doc_id", "text", "held_out", "ids").mapInArrow(_scored_rows(size, classes, values, net.flat(), head, count, n, v), shape)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     log = lambda c: F.log10((c + F.lit(0.1)) / F.lit(n + 0.1 * (v + 1)))
     tails = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
