@@ -32,7 +32,9 @@ of windows.  doc_id may be of any type; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 from array import array
 
 import numpy as np
@@ -49,7 +51,7 @@ from .quality import remainder
 
 WINDOW, OVERLAP, WIDTH, CLASSES, MEMBERS, FINE, COMPANY = 16, 4, 16, 64, 32, 8, 128
 REACH, FARTHEST = 3, 6  # distances with a table of their own, the last for all further ones, counted as far as FARTHEST
-HEAD = 1 << 17
+HEAD = 1 << 18
 MEMO = 200_000
 BATCH = 512  # windows of a step
 GROUPS = 16  # of classes
@@ -109,6 +111,11 @@ class Values:
     def __init__(self, share: np.ndarray, near: np.ndarray, pair: np.ndarray, far: np.ndarray) -> None:
         self.share, self.near, self.pair, self.far = share, near, pair, far
 
+    def __reduce__(self):
+        """Most cells are empty: only the others travel to the tasks."""
+        some = [(x.shape, np.flatnonzero(x).astype(np.int32), x[x != 0]) for x in (self.near, self.pair, self.far)]
+        return _unpacked, (self.share, some)
+
     def tables(self, left_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(near, how much more a pair expects a fine class than near does, far)."""
         less = np.float32(left_out)
@@ -123,6 +130,14 @@ class Values:
         return near, smooth(self.pair, by_fine, 8.0) / by_fine, smooth(self.far, self.share, 32.0)
 
 
+def _unpacked(share: np.ndarray, some: list) -> Values:
+    tables = []
+    for shape, at, count in some:
+        tables.append(np.zeros(math.prod(shape), np.float32))
+        tables[-1][at] = count
+    return Values(share, *(x.reshape(shape) for x, (shape, _, _) in zip(tables, some, strict=True)))
+
+
 class Attention:
     """One masked attention head over the subwords before each place.
 
@@ -384,7 +399,7 @@ def _value_counts(size: int, of: np.ndarray):
 
     def run(batches):
         near, pair, far = np.zeros(m * m, np.int64), np.zeros(GROUPS * m * m // FINE, np.int64), np.zeros((REACH - 1, m // FINE * m), np.int64)
-        for ids, off, _ in _ids(batches, size):
+        for ids, off, _ in _ids(batches, size, 1 << 21):
             of_ids = of[ids]
             text = np.repeat(np.arange(len(off) - 1), np.diff(off))
             for d in range(1, FARTHEST + 1):
@@ -399,11 +414,23 @@ def _value_counts(size: int, of: np.ndarray):
     return run
 
 
-def _trained(size: int, classes: Classes, values: Values, weights: np.ndarray, rate: float):
+_MODELS: dict[tuple, Attention] = {}  # of a worker process, over the tasks of one stage
+
+
+def _model(packed: bytes, weights: np.ndarray, left_out: bool) -> Attention:
+    key = (hashlib.sha256(packed).digest(), left_out)
+    if key not in _MODELS:
+        _MODELS.clear()
+        values = pickle.loads(packed)
+        _MODELS[key] = Attention(values)
+        _MODELS[key].use(values, left_out)
+    _MODELS[key].load(weights)
+    return _MODELS[key]
+
+
+def _trained(size: int, classes: Classes, packed: bytes, weights: np.ndarray, rate: float):
     def run(batches):
-        model = Attention(values)
-        model.load(weights)
-        model.use(values, left_out=True)
+        model = _model(packed, weights, True)
         descent, n = Descent(model, rate), 0
         for ids, off, _ in _ids(batches, size):
             for seen, next_, _, scored in windows(classes.of[ids], off, BATCH):
@@ -416,12 +443,11 @@ def _trained(size: int, classes: Classes, values: Values, weights: np.ndarray, r
     return run
 
 
-def _scored_rows(size: int, classes: Classes, values: Values, weights: np.ndarray, head: pa.Array, count: np.ndarray, n: int, v: int):
+def _scored_rows(size: int, classes: Classes, packed: bytes, weights: np.ndarray, head: pa.Array, count: np.ndarray, n: int, v: int):
     divisor = n + 0.1 * (v + 1)
 
     def run(batches):
-        model = Attention(values)
-        model.load(weights)
+        model = _model(packed, weights, False)
         for batch in batches:
             for ids, off, part in _ids([batch], size):
                 logs = classes.within[ids]
@@ -487,9 +513,9 @@ def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 1) -> DataFrame
     ends = np.cumsum([math.prod(x) for x in shapes])
     cells = _collected(train.mapInArrow(_value_counts(size, classes.of), pair), int(ends[-1])).astype(np.float32)
     values = Values(classes.share, *(x.reshape(shape) for x, shape in zip(np.split(cells, ends[:-1]), shapes, strict=True)))
-    net = Attention(values)
+    net, packed = Attention(values), pickle.dumps(values)
     for i in range(rounds if texts else 0):
-        rows = train.mapInArrow(_trained(size, classes, values, net.flat(), 0.05 / (1 + i)), "i long, x double, n double")
+        rows = train.mapInArrow(_trained(size, classes, packed, net.flat(), 0.05 / (1 + i)), "i long, x double, n double")
         mean = rows.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("i").collect()  # a row a weight
         net.load(np.array([r["x"] for r in mean]))
 
@@ -504,7 +530,7 @@ def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 1) -> DataFrame
     top = words.where(grade >= least if least is not None else F.lit(False)).toArrow()
     head, count = pa.array(top["word"].to_pylist(), pa.binary()), np.asarray(top["c"])
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, head_score double, score double, words array<binary>, times array<long>"
-    rows = coded.where("held_out is not null").select("doc_id", "text", "held_out", "ids").mapInArrow(_scored_rows(size, classes, values, net.flat(), head, count, n, v), shape)
+    rows = coded.where("held_out is not null").select("doc_id", "text", "held_out", "ids").mapInArrow(_scored_rows(size, classes, packed, net.flat(), head, count, n, v), shape)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     log = lambda c: F.log10((c + F.lit(0.1)) / F.lit(n + 0.1 * (v + 1)))
     tails = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))

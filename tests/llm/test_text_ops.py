@@ -1,6 +1,7 @@
 """Near-duplicates, passages, the classifier and the language model against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
@@ -286,9 +287,9 @@ def plain_score(members, classes, values, weights, ids):
 def test_lm_score_is_that_of_a_plain_loop(docs, monkeypatch):
     given, make = {}, lm._scored_rows
 
-    def kept(size, classes, values, weights, *rest):
-        given.update(classes=classes, values=values, weights=weights)
-        return make(size, classes, values, weights, *rest)
+    def kept(size, classes, packed, weights, *rest):
+        given.update(classes=classes, values=pickle.loads(packed), weights=weights)
+        return make(size, classes, packed, weights, *rest)
 
     monkeypatch.setattr(lm, "_scored_rows", kept)
     got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs.where("doc_id < 12 or doc_id = 1001")).collect()}
