@@ -359,9 +359,9 @@ def _ids(batches, size: int, most: int = 1 << 20):
             i = j
 
 
-def _sparse(total: np.ndarray):
+def _sparse(total: np.ndarray, at: int = 0) -> pa.RecordBatch:
     some = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(some + at), pa.array(total[some].astype(np.int64))], ["i", "c"])
 
 
 def _id_counts(size: int):
@@ -398,18 +398,23 @@ def _value_counts(size: int, of: np.ndarray):
     m = CLASSES * MEMBERS
 
     def run(batches):
-        near, pair, far = np.zeros(m * m, np.int64), np.zeros(GROUPS * m * m // FINE, np.int64), np.zeros((REACH - 1, m // FINE * m), np.int64)
-        for ids, off, _ in _ids(batches, size, 1 << 21):
+        near, pair, far = np.zeros(m * m, np.int32), np.zeros(GROUPS * m * m // FINE, np.int32), np.zeros((REACH - 1, m // FINE * m), np.int32)
+        for ids, off, _ in _ids(batches, size):
             of_ids = of[ids]
             text = np.repeat(np.arange(len(off) - 1), np.diff(off))
             for d in range(1, FARTHEST + 1):
                 same = text[d:] == text[:-d]
                 before, next_ = of_ids[:-d][same], of_ids[d:][same]
+                if d == 1:
+                    near += np.bincount(before * m + next_, minlength=len(near)).astype(np.int32)
+                    continue
                 if d == 2:
-                    pair += np.bincount((before * GROUPS // m * m + of_ids[1:-1][same]) * (m // FINE) + next_ // FINE, minlength=len(pair))
-                table, row = (near, before) if d == 1 else (far[min(d, REACH) - 2], before // FINE)
-                table += np.bincount(row * m + next_, minlength=len(table))
-        yield _sparse(np.concatenate([near, pair, far.ravel()]))
+                    pair += np.bincount((before * GROUPS // m * m + of_ids[1:-1][same]) * (m // FINE) + next_ // FINE, minlength=len(pair)).astype(np.int32)
+                far[min(d, REACH) - 2] += np.bincount(before // FINE * m + next_, minlength=far.shape[1]).astype(np.int32)
+        at = 0
+        for table in (near, pair, far.ravel()):
+            yield _sparse(table, at)
+            at += len(table)
 
     return run
 
