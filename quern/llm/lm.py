@@ -328,6 +328,13 @@ def _encoded_rows(path: str, end: int):
     def run(batches):
         encoder = _encoder(path)
         kind = _narrow(encoder.sp.get_piece_size())
+        words, held = [], 0
+
+        def summed(types):
+            total = pa.concat_tables(words).group_by("word").aggregate([("c", "sum")]).combine_chunks()
+            for rows in total.to_batches():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in types), pa.nulls(len(rows), pa.binary()), rows.column("word"), rows.column("c_sum")], [*CODED])
+
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"), lower=True)
@@ -338,9 +345,15 @@ def _encoded_rows(path: str, end: int):
                 some = np.flatnonzero(counts)
                 ids, ends = ids.astype(kind), (off * kind.itemsize).astype(np.int32)
                 raw = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "text", "held_out")), raw, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64())], [*CODED])
-                kinds = [part.schema.field(c).type for c in ("doc_id", "text", "held_out")]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds), pa.nulls(len(some), pa.binary()), named.dictionary.take(pa.array(some)).cast(pa.binary()), pa.array(counts[some])], [*CODED])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in CODED[:3]), raw, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64())], [*CODED])
+                types = [part.schema.field(c).type for c in CODED[:3]]
+                words.append(pa.table({"word": named.dictionary.take(pa.array(some)).cast(pa.binary()), "c": pa.array(counts[some])}))
+                held += len(some)
+                if held > 500_000:
+                    yield from summed(types)
+                    words, held = [], 0
+        if words:
+            yield from summed(types)
 
     return run
 
