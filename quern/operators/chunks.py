@@ -59,13 +59,15 @@ def by_heads(text: str, head: re.Pattern, most: int, overlap: int) -> list[tuple
 
 
 def messages(text: str, most: int) -> list[str]:
-    """Parts to deliver, cut at a blank line, a line or a space of the second half, numbered if there are several."""
-    out, room = [], most - 8
-    while len(text) > most:
-        cut = next((at for mark in ("\n\n", "\n", " ") if (at := text.rfind(mark, 0, room)) > room // 2), room)
+    """Parts to deliver, cut at a blank line, a line or a space from the middle on, numbered if there are several; ten characters are kept for the number."""
+    if len(text) <= most:
+        return [text]
+    out, room = [], most - 10
+    while len(text) > room:
+        cut = next((at for mark in ("\n\n", "\n", " ") if (at := text.rfind(mark, 0, room + len(mark))) >= room // 2), room)
         out.append(text[:cut].rstrip())
         text = text[cut:].lstrip()
-    out.append(text)
+    out += [text] if text else []
     return out if len(out) == 1 else [f"{p} ({i}/{len(out)})" for i, p in enumerate(out, 1)]
 
 

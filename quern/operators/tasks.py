@@ -10,15 +10,40 @@ OPEN = ("open", "in_progress", "waiting")
 CLOSED = ("done", "cancelled")
 
 
+#: fixed values: what a dashboard counts as blocked rather than due
+BLOCKED = ("waiting", "blocked", "scheduled")
+
+
+def week_end(today: Column) -> Column:
+    """The Sunday of the week."""
+    return F.next_day(F.date_sub(today, 1), "SUN")
+
+
+def dashboard(tasks: DataFrame, today: Column) -> DataFrame:
+    """One row of counts over (status, due, completed): what is due in its seven buckets; the week ends on the next Sunday."""
+    due, live = F.col("due"), ~F.col("status").isin(*CLOSED, *BLOCKED)
+    sunday = F.next_day(today, "SUN")
+    buckets = {
+        "overdue": (due < today) & live,
+        "due_today": (due == today) & live,
+        "this_week": (due > today) & (due <= sunday) & live,
+        "next_week": (due > sunday) & (due <= F.date_add(sunday, 7)) & live,
+        "needs_date": due.isNull() & live,
+        "blocked": F.col("status").isin(*BLOCKED),
+        "recently_done": (F.col("status") == "done") & (F.col("completed") >= F.date_sub(today, 7)),
+    }
+    return tasks.agg(*[F.count_if(where).alias(name) for name, where in buckets.items()])
+
+
 def in_mode(mode: str, status: Column, due: Column, today: Column) -> Column:
     """Rows of one list: open, due, overdue, due_today, due_this_week, done or all. due_today takes closed tasks too."""
     active = ~status.isin(*CLOSED)
     return {
         "open": status.isin(*OPEN),
-        "due": due.isNotNull() & active,
+        "due": (due <= today) & active,
         "overdue": (due < today) & active,
         "due_today": due == today,
-        "due_this_week": due.between(today, F.date_add(today, 7)) & active,
+        "due_this_week": due.between(today, week_end(today)) & active,
         "done": status == "done",
         "all": F.lit(True),
     }[mode]

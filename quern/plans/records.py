@@ -1,6 +1,6 @@
 """Joins, filters and aggregates: tasks are orders, people are customers, calls and visits are events.
 
-The clock is a literal in every query ("today" is 1998-08-02 for orders).
+The clock is a literal in every query ("today" is 1998-07-29, a Wednesday, for orders).
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..operators import tasks
 from .registry import query
 
-TODAY = "1998-08-02"
+TODAY = "1998-07-29"
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'waiting' ELSE 'open' END"
 _TASKS = f"""tasks AS (SELECT o_orderkey AS id, {_STATUS} AS status, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS due,
-             o_orderpriority AS priority, o_custkey AS owner, o_totalprice AS price, o_orderdate AS created FROM orders)"""
+             o_orderpriority AS priority, o_custkey AS owner, o_totalprice AS price, o_orderdate AS created,
+             CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 1340 END AS completed FROM orders)"""
 
 
 def _tasks(t):
@@ -27,6 +28,7 @@ def _tasks(t):
         F.col("o_custkey").alias("owner"),
         F.col("o_totalprice").alias("price"),
         F.col("o_orderdate").alias("created"),
+        F.when(F.col("o_orderstatus") == "F", F.date_add(F.to_date("o_orderdate"), 1340)).alias("completed"),
     )
 
 
@@ -122,10 +124,10 @@ def _named():
 
     for mode, where in {
         "open": "status IN ('open', 'in_progress', 'waiting')",
-        "due": "due IS NOT NULL AND status NOT IN ('done', 'cancelled')",
+        "due": f"due <= DATE '{TODAY}' AND status NOT IN ('done', 'cancelled')",
         "overdue": f"due < DATE '{TODAY}' AND status NOT IN ('done', 'cancelled')",
         "due_today": f"due = DATE '{TODAY}'",
-        "due_this_week": f"due BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 7 AND status NOT IN ('done', 'cancelled')",
+        "due_this_week": f"due BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + CAST(7 - isodow(DATE '{TODAY}') AS INTEGER) AND status NOT IN ('done', 'cancelled')",
         "done": "status = 'done'",
         "all": "true",
     }.items():
@@ -147,21 +149,17 @@ def due_marks(t):
     return _tasks(t).select("id", F.datediff(_today(), "due").cast("long").alias("age"), tasks.due_mark(F.col("due"), _today()).alias("mark"))
 
 
-@query(f"""WITH {_TASKS} SELECT
-   CAST(count(*) FILTER (due < DATE '{TODAY}' AND status <> 'done') AS BIGINT) AS overdue, CAST(count(*) FILTER (due = DATE '{TODAY}' AND status <> 'done') AS BIGINT) AS due_today,
-   CAST(count(*) FILTER (due > DATE '{TODAY}' AND due <= DATE '{TODAY}' + 7 AND status <> 'done') AS BIGINT) AS this_week,
-   CAST(count(*) FILTER (due IS NULL AND status <> 'done') AS BIGINT) AS needs_date, CAST(count(*) FILTER (status = 'waiting') AS BIGINT) AS blocked,
-   CAST(count(*) FILTER (status = 'done' AND due >= DATE '{TODAY}' - 7) AS BIGINT) AS recently_done FROM tasks""")
+_LIVE = "status NOT IN ('done', 'cancelled', 'waiting', 'blocked', 'scheduled')"
+_BUCKETS = {
+    "overdue": f"due < DATE '{TODAY}' AND {_LIVE}", "due_today": f"due = DATE '{TODAY}' AND {_LIVE}", "this_week": f"due > DATE '{TODAY}' AND due <= DATE '1998-08-02' AND {_LIVE}",
+    "next_week": f"due > DATE '1998-08-02' AND due <= DATE '1998-08-09' AND {_LIVE}", "needs_date": f"due IS NULL AND {_LIVE}", "blocked": "status IN ('waiting', 'blocked', 'scheduled')",
+    "recently_done": f"status = 'done' AND completed >= DATE '{TODAY}' - 7",
+}
+
+
+@query(f"WITH {_TASKS} SELECT " + ", ".join(f"CAST(count(*) FILTER ({w}) AS BIGINT) AS {n}" for n, w in _BUCKETS.items()) + " FROM tasks")
 def task_dashboard(t):
-    today, live = _today(), F.col("status") != "done"
-    return _tasks(t).agg(
-        F.count_if((F.col("due") < today) & live).alias("overdue"),
-        F.count_if((F.col("due") == today) & live).alias("due_today"),
-        F.count_if((F.col("due") > today) & (F.col("due") <= F.date_add(today, 7)) & live).alias("this_week"),
-        F.count_if(F.col("due").isNull() & live).alias("needs_date"),
-        F.count_if(F.col("status") == "waiting").alias("blocked"),
-        F.count_if((F.col("status") == "done") & (F.col("due") >= F.date_sub(today, 7))).alias("recently_done"),
-    )
+    return tasks.dashboard(_tasks(t), _today())
 
 
 @query(f"""WITH {_TASKS}, a AS (SELECT owner, date_diff('day', due, DATE '{TODAY}') AS age FROM tasks WHERE status <> 'done' AND due <= DATE '{TODAY}')

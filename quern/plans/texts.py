@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as x
@@ -16,10 +18,14 @@ def html_to_text(t):
     return t.pages.select("page_id", x.html_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT page_id FROM pages WHERE NOT (url LIKE 'http://localhost%' OR contains(url, '/login') OR length(url) > 500 OR url IS NULL)""")
+_URL = "(CASE page_id % 7 WHEN 0 THEN 'CHROME://settings' WHEN 1 THEN url || '?state=abc' WHEN 2 THEN 'http://localhost:8080/x' ELSE url END)"
+
+
+@query("SELECT page_id FROM pages WHERE NOT (" + " OR ".join([f"coalesce({_URL}, '') = ''", f"length({_URL}) > 500", *(f"starts_with(lower({_URL}), '{p}')" for p in x.NOISE_PREFIXES), *(f"contains(lower({_URL}), '{p}')" for p in x.NOISE_PARTS)]) + ")")
 def url_noise(t):
-    url = F.col("url")
-    return t.pages.where(url.isNotNull() & ~(url.startswith("http://localhost") | url.contains("/login") | (F.length(url) > 500))).select("page_id")
+    k = F.col("page_id") % 7
+    url = F.when(k == 0, "CHROME://settings").when(k == 1, F.concat("url", F.lit("?state=abc"))).when(k == 2, "http://localhost:8080/x").otherwise(F.col("url"))
+    return t.pages.where(~x.noise_url(url)).select("page_id")
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages),
@@ -42,13 +48,14 @@ def subjects(t):
 @query(r"""WITH p AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '(212) 555-' || right('0000' || c_custkey, 4) || ' ext. 12' WHEN 1 THEN '1-212-555-' || right('0000' || c_custkey, 4)
     WHEN 2 THEN '+44 20 7946 0' || right('000' || c_custkey, 3) WHEN 3 THEN '555-' || right('0000' || c_custkey, 4) ELSE '011 49 30 901820 x7' END AS raw FROM customer),
   d AS (SELECT c_custkey, raw, regexp_replace(regexp_replace(raw, '(?i)\s*(x|ext\.?)\s*\d+$', ''), '\D', '', 'g') AS n FROM p)
-  SELECT c_custkey, CASE WHEN length(n) = 10 THEN '+1' || n WHEN length(n) = 11 AND n LIKE '1%' THEN '+' || n WHEN length(n) > 11 THEN '+' || n ELSE raw END AS phone FROM d""")
+  SELECT c_custkey, CASE WHEN length(n) = 10 THEN '+1' || n WHEN length(n) = 11 AND n LIKE '1%' THEN '+' || n WHEN length(n) > 11 THEN '+' || n ELSE raw END AS phone, 'customer' || c_custkey || '@mail.example' AS mail FROM d""")
 def phones(t):
     k = F.col("c_custkey")
     last = lambda n: F.right(F.concat(F.lit("0000"), k.cast("string")), F.lit(n))
     raw = F.when(k % 5 == 0, F.concat(F.lit("(212) 555-"), last(4), F.lit(" ext. 12"))).when(k % 5 == 1, F.concat(F.lit("1-212-555-"), last(4)))
     raw = raw.when(k % 5 == 2, F.concat(F.lit("+44 20 7946 0"), last(3))).when(k % 5 == 3, F.concat(F.lit("555-"), last(4))).otherwise("011 49 30 901820 x7")
-    return t.customer.select("c_custkey", x.phone(raw).alias("phone"))
+    mail = F.concat(F.lit("  Customer"), k.cast("string"), F.lit("@Mail.Example "))
+    return t.customer.select("c_custkey", x.phone(raw).alias("phone"), x.mail_address(mail).alias("mail"))
 
 
 @query(r"""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN 'Canceled:  ' ELSE '' END || p_name || '   ' || p_type, '(?i)^(canceled|cancelled):\s*', ''), '\s+', ' ', 'g'))) AS title FROM part""")
@@ -58,9 +65,11 @@ def titles(t):
 
 
 @query("""WITH s AS (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS n FROM events)
-          SELECT event_id, CASE WHEN n >= 3600 THEN printf('%dh %02dm', n // 3600, n % 3600 // 60) WHEN n >= 60 THEN printf('%dm %02ds', n // 60, n % 60) ELSE printf('%ds', n) END AS duration FROM s""")
+          SELECT event_id, CASE WHEN n IS NULL OR n <= 0 THEN '0s' WHEN n >= 3600 THEN (n // 3600) || 'h' || CASE WHEN n % 3600 >= 60 THEN ' ' || (n % 3600 // 60) || 'm' ELSE '' END WHEN n >= 60 THEN (n // 60) || 'm' || CASE WHEN n % 60 > 0 THEN ' ' || (n % 60) || 's' ELSE '' END ELSE n || 's' END AS duration,
+                 CASE WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm' ELSE (n // 3600) || 'h' || CASE WHEN n % 3600 >= 60 THEN ' ' || (n % 3600 // 60) || 'm' ELSE '' END END AS usage FROM s""")
 def durations(t):
-    return t.events.select("event_id", x.duration(F.floor(F.col("value") * 100)).alias("duration"))
+    n = F.floor(F.col("value") * 100)
+    return t.events.select("event_id", x.duration(n).alias("duration"), x.usage(n).alias("usage"))
 
 
 @query("SELECT doc_id, substr(sha1(CAST(doc_id AS VARCHAR)), 1, 16) AS short, md5(text) AS content, substr(sha256(text), 1, 32) AS long_hash FROM documents")
@@ -68,9 +77,12 @@ def short_ids(t):
     return t.documents.select("doc_id", x.short_id(F.col("doc_id").cast("string")).alias("short"), F.md5("text").alias("content"), F.substring(F.sha2("text", 256), 1, 32).alias("long_hash"))
 
 
-@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text || ' 2024-05-06 #12 v7 - -'), '\d{4}-\d{2}-\d{2}', ' ', 'g'), '#\d+', ' ', 'g'), '[0-9]+', ' ', 'g'), '\s+', ' ', 'g'), '[ -]+$', '')) AS norm FROM benchmark""")
+_NOISY = "' Pay $1,000 by 2024-05-06 or March 9th, March 9 (pm-0af3) 80k  -- '"
+
+
+@query("SELECT item_id, " + reduce(lambda c, n: f"trim(regexp_replace({c}, '{n[0]}', '{n[1]}', 'g'))", x.TASK_NOISE, f"lower(text || {_NOISY})") + " AS norm FROM benchmark")
 def task_texts(t):
-    return t.benchmark.select("item_id", x.task_text(F.concat("text", F.lit(" 2024-05-06 #12 v7 - -"))).alias("norm"))
+    return t.benchmark.select("item_id", x.task_text(F.concat("text", F.lit(_NOISY.strip("'")))).alias("norm"))
 
 
 _SET = """list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ('the','a','an','to','for','of','and','or','in','on','with','is'))))"""
@@ -89,15 +101,22 @@ def blocked_jaccard(t):
     return s.join(o, ["p_brand", "p_size"]).where("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", F.round(x.jaccard(F.col("w"), F.col("v")), 6).alias("score"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '... [+' || (length(text) - 200) || ' chars]' ELSE text END AS snippet,
-          CASE WHEN length(text) <= 8 THEN '****' ELSE substr(text, 1, 4) || '****' || right(text, 2) END AS redacted FROM documents""")
+@query(f"""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '{x.CUT_MARK[0]}' || (length(text) - 200) || '{x.CUT_MARK[1]}' ELSE text END AS snippet,
+          CASE WHEN length(text) <= 6 THEN repeat('*', length(text)) ELSE substr(text, 1, 4) || repeat('*', length(text) - 6) || right(text, 2) END AS redacted FROM documents""")
 def snippets(t):
     return t.documents.select("doc_id", x.snippet(F.col("text"), 200).alias("snippet"), x.redacted(F.col("text")).alias("redacted"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(text) <= 60 THEN text WHEN regexp_extract(text, '(?s)^(.{1,60})\s', 1) = '' THEN substr(text, 1, 60) ELSE regexp_extract(text, '(?s)^(.{1,60})\s', 1) END AS cut FROM documents""")
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+  SELECT doc_id, CASE WHEN length(t) <= 110 THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, 110), ' [^ ]*$', ''), '[,;:]+$', '') || ' ...' END AS cut FROM f""")
 def word_cuts(t):
-    return t.documents.select("doc_id", x.at_word(F.col("text"), 60).alias("cut"))
+    return t.documents.select("doc_id", x.at_word(F.col("text"), 110).alias("cut"))
+
+
+@query("SELECT doc_id, regexp_replace(replace(replace(coalesce(text, ''), ',', ' \u2014'), '. ', '\u2013 '), '\\s*[\u2014\u2013]\\s*', ' -- ', 'g') AS text FROM documents")
+def dashes(t):
+    marked = F.replace(F.replace(F.col("text"), F.lit(","), F.lit(" \u2014")), F.lit(". "), F.lit("\u2013 "))
+    return t.documents.select("doc_id", x.plain_dashes(marked).alias("text"))
 
 
 @query("""WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part), n AS (SELECT p_partkey, c, count(*) AS k, sum(count(*)) OVER (PARTITION BY p_partkey) AS n FROM c GROUP BY 1, 2)
@@ -113,9 +132,15 @@ def recency_and_importance(t):
     return t.orders.select("o_orderkey", F.round(x.recency(day, F.lit("1997-01-01").cast("date")), 9).alias("recency"), F.round(x.unit(F.col("o_totalprice") / 200000), 9).alias("importance"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars * 100 >= 1048576 THEN printf('%.1f MB', n_chars * 100 / 1048576) WHEN n_chars * 100 >= 1024 THEN printf('%.1f KB', n_chars * 100 / 1024) ELSE printf('%d B', n_chars * 100) END AS size FROM documents WHERE n_chars % 7 <> 3""")
+_SIZE = "CASE WHEN {n} >= 1048576 THEN printf('%.1f MB', {n} / 1048576) WHEN {n} >= 1024 THEN printf('%.0f KB', {n} / 1024) ELSE printf('%d B', {n}) END"
+
+
+@query(f"""SELECT doc_id, {_SIZE.format(n="(n_chars * 100)")} AS size,
+           '[attachment: ' || concat_ws(', ', CASE WHEN doc_id % 3 = 0 THEN 'attachment' ELSE source END, nullif(lang, 'de'), CASE WHEN doc_id % 4 > 0 THEN {_SIZE.format(n="n_chars")} END) || ']' AS attachment FROM documents""")
 def size_labels(t):
-    return t.documents.where("n_chars % 7 <> 3").select("doc_id", x.size_label(F.col("n_chars") * 100).alias("size"))
+    k = F.col("doc_id")
+    shown = x.attachment(F.when(k % 3 > 0, F.col("source")), F.when(F.col("lang") != "de", F.col("lang")), F.when(k % 4 > 0, F.col("n_chars")).otherwise(0))
+    return t.documents.select("doc_id", x.size_label(F.col("n_chars") * 100).alias("size"), shown.alias("attachment"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'mail/2024-03/x.md' WHEN 1 THEN 'notes/2024-05-06-plan.md' WHEN 2 THEN 'misc/readme.md' ELSE 'mail/2024-03/2024-03-09.md' END AS path, CASE WHEN doc_id % 5 = 0 THEN '2023-12-31T10:00:00Z' END AS stated FROM documents)

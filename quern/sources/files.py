@@ -53,9 +53,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def is_binary(content: Column) -> Column:
-    """A NUL byte, or over 30 % of the first 8192 bytes neither printable nor white space."""
+    """A NUL byte, or over 30 % of the first 8192 bytes neither printable ASCII nor one of \\b \\t \\n \\f \\r."""
     head = F.hex(F.substring(content, 1, 8192))
-    odd = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(head)), F.lit(2)), lambda i: F.substr(head, i, F.lit(2))), lambda b: b.rlike("^(0[0-8BEF]|1.|7F)$")))
+    odd = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(head)), F.lit(2)), lambda i: F.substr(head, i, F.lit(2))), lambda b: b.rlike("^(0[0-7BEF]|1.|7F|[89A-F].)$")))
     size = F.length(head) / 2
     return F.when(size == 0, False).otherwise(head.rlike("^(..)*00") | (odd / size > 0.3))
 
