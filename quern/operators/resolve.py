@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: fixed values
 MERGE, REVIEW, SAME_TASK, SUBSET, PARTNER = 0.96, 0.75, 0.72, 0.85, 0.03
+COMMON = 1000
 
 
 def names_alike(a: str, b: str) -> float:
@@ -89,3 +90,21 @@ def duplicate_groups(tasks: DataFrame) -> DataFrame:
     kind = tasks.schema["id"].dataType.simpleString()
     own, other = (tasks.schema[c].dataType.simpleString() for c in ("owner", "counterparty"))
     return tasks.groupBy("owner", "counterparty").applyInPandas(run, f"owner {own}, counterparty {other}, keep {kind}, cancel {kind}")
+
+
+def placed(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, known, score, tier) of names (id, name) against known ones (known, known_name): the best of those that share a word; without any, create.
+
+    Blocked by words, so a word that stands in every name makes many pairs: words of over ``COMMON`` known names block
+    only together with the next word.
+    """
+    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
+    pairs_of = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words(c)) - 1)), lambda i: F.concat_ws(" ", F.get(words(c), i - 1), F.get(words(c), i)))
+    held = known.withColumn("w", F.explode(words("known_name")))
+    common = held.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("w", F.lit(True).alias("common"))
+    single = lambda rows, c: rows.withColumn("w", F.explode(words(c))).join(common, "w", "left").where("common is null").drop("common")
+    double = lambda rows, c: rows.withColumn("w", F.explode(pairs_of(c)))
+    near = single(names, "name").join(single(known, "known_name"), "w").union(double(names, "name").join(double(known, "known_name"), "w"))
+    scored = near.dropDuplicates(["id", "known"]).withColumn("score", name_similarity("name", "known_name"))
+    best = scored.groupBy("id").agg(F.max(F.struct("score", -F.col("known"))).alias("b")).select("id", (-F.col("b.col2")).alias("known"), F.round("b.score", 6).alias("score"))
+    return names.select("id").join(best, "id", "left").withColumn("tier", F.coalesce(tier(F.col("score")), F.lit("create")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +69,69 @@ def degraded(base: Column, recency: Column, importance: Column) -> Column:
 
 def reranked(score: Column, recency: Column, importance: Column) -> Column:
     return score + recency + 0.5 * (F.coalesce(importance, F.lit(0.5)) - 0.5)
+
+
+def blocked(rows: DataFrame, queries: DataFrame, use: Callable, schema: str, blocks: int = 8) -> DataFrame:
+    """What ``use`` makes of each block of queries (id, v, label) and each batch of rows (id, v, label), vectors as unit rows of matrices.
+
+    Queries are dealt into ``blocks`` and rows into as many chunks as there are shuffle partitions; a task holds one block
+    and streams the rows of one chunk past it.
+    """
+    chunks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    given = [F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label")]
+    asking = queries.select(spread(chunks).alias("chunk"), dealt("id", blocks).alias("block"), F.lit(0).alias("kind"), *given)
+    both = asking.union(rows.select(dealt("id", chunks).alias("chunk"), spread(blocks).alias("block"), F.lit(1).alias("kind"), *given))
+
+    def unit(col: pa.Array) -> np.ndarray:
+        x = np.asarray(col.flatten()).reshape(len(col), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            places = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
+            cut = (np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist() if len(batch) else []
+            for i, j in zip([0, *cut], [*cut, len(batch)], strict=True) if len(batch) else ():
+                part = batch.slice(i, j - i)
+                matrix = (np.asarray(part.column(3)), unit(part.column(4)), np.asarray(part.column(5)))
+                if tuple(places[i, :2]) != key:
+                    key, held = tuple(places[i, :2]), []
+                if places[i, 2] == 0:
+                    held.append(matrix)
+                elif held:
+                    yield from use([np.concatenate(x) for x in zip(*held, strict=True)], matrix)
+
+    return both.repartition("chunk", "block").sortWithinPartitions("chunk", "block", "kind").mapInArrow(run, schema)
+
+
+def nearest_labels(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, wanted, id, label, score, rank): the k nearest rows of each query but itself, by cosine; a block keeps its k best before anything is shuffled."""
+
+    def best(asked, held):
+        (q, x, wanted), (ids, y, labels) = asked, held
+        s = np.round(x @ y.T, 9)
+        s[q[:, None] == ids[None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        at = np.repeat(np.arange(len(q)), order.shape[1])
+        of = order.ravel()
+        keep = np.isfinite(s[at, of])
+        at, of = at[keep], of[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q[at], wanted[at], ids[of], labels[of], s[at, of])], ["q", "wanted", "id", "label", "score"])
+
+    found = blocked(rows, queries, best, "q long, wanted long, id long, label long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def own_rank(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, rank) of each query (id, v) among all rows by its own vector, ties to smaller ids."""
+
+    def counted(asked, held):
+        (q, x, _), (ids, y, _) = asked, held
+        s, own = np.round(x @ y.T, 9), np.round((x * x).sum(axis=1), 9)[:, None]
+        nearer = (s > own) | ((s == own) & (ids[None] < q[:, None]))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(nearer.sum(axis=1))], ["id", "n"])
+
+    return blocked(rows, queries, counted, "id long, n long").groupBy("id").agg((F.sum("n") + 1).alias("rank"))

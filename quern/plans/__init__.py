@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, incremental, records, retrieval, rules, series, texts  # noqa: F401
+from . import audits, desk, incremental, memory, records, retrieval, rules, series, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

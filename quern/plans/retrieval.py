@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import recency
 from ..operators import retrieval as r
 from .registry import query
 
@@ -49,22 +50,23 @@ _HYBRID = f"""WITH {_VECTOR}, {_BM25}, d AS ({_DENSE} ORDER BY dense DESC, id LI
   l AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY dense DESC, id)) AS r FROM d UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY sparse DESC, id)) FROM p),
   u AS (SELECT id, round(sum(r), 9) AS fused FROM l GROUP BY 1),
   j AS (SELECT u.id, fused, dense, source, CASE WHEN source = 'src3' THEN fused * 1.15 ELSE fused END AS boosted, CASE WHEN u.id % 10 = 0 THEN NULL ELSE DATE '2024-01-01' - CAST(u.id % 365 AS INTEGER) END AS day FROM u LEFT JOIN d USING (id) JOIN documents ON doc_id = u.id),
-  k AS (SELECT *, boosted * (1 + 0.15 * CASE WHEN day IS NULL THEN 0.5 ELSE pow(0.5, greatest(0, DATE '2024-01-01' - day) / 90.0) END) * (1 + 0.10 * (0.5 - 0.5)) AS final FROM j WHERE dense IS NULL OR dense >= 0.05),
-  c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(final, 9) DESC, id) AS nth FROM k)"""
+  k AS (SELECT *, round(boosted, 12) AS primary_score, boosted * (1 + 0.15 * CASE WHEN day IS NULL THEN 0.5 ELSE pow(0.5, greatest(0, DATE '2024-01-01' - day) / 90.0) END) * (1 + 0.10 * (0.5 - 0.5)) AS final FROM j WHERE dense IS NULL OR dense >= 0.05),
+  c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY primary_score DESC, id) AS nth FROM k), picked AS (SELECT * FROM c ORDER BY CASE WHEN nth > 2 THEN 1 ELSE 0 END, primary_score DESC, id LIMIT 10)"""
 
 
-@query(f"{_HYBRID} SELECT id, source, fused, dense, round(final, 9) AS final FROM c ORDER BY CASE WHEN nth > 2 THEN 1 ELSE 0 END, round(final, 9) DESC, id LIMIT 10")
+@query(f"{_HYBRID} SELECT id, source, fused, dense, round(final, 9) AS final, row_number() OVER (ORDER BY round(final, 9) DESC, id) AS place FROM picked")
 def hybrid_search(t):
-    """Both legs, fused by rank; a favoured source boosted, weak vectors cut, two a source, recency last."""
+    """Both legs, fused by rank; a favoured source boosted, weak vectors cut, two a source. Recency and importance only reorder what is selected."""
     near, lexical = r.dense(_vectors(t), _vector(t), 30).select("id", "dense"), r.bm25(_docs(t), TERMS, 30)
     rows = r.fused([(near, "dense"), (lexical, "sparse")]).join(near, "id", "left").join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
     boosted = F.when(F.col("source") == "src3", F.col("fused") * 1.15).otherwise(F.col("fused"))
     today = F.lit("2024-01-01").cast("date")
-    from ..functions.text import recency
-
     day = F.when(F.col("id") % 10 != 0, F.date_sub(today, (F.col("id") % 365).cast("int")))
-    rows = rows.where("dense is null or dense >= 0.05").withColumn("final", F.round(r.degraded(boosted, recency(day, today), F.lit(None).cast("double")), 9))
-    return r.capped(rows, "source", [F.desc("final"), F.asc("id")], 2, 10).select("id", "source", "fused", "dense", "final")
+    rows = rows.where("dense is null or dense >= 0.05").withColumn("boosted", boosted).withColumn("primary", F.round("boosted", 12))
+    picked = r.capped(rows, "source", [F.desc("primary"), F.asc("id")], 2, 10)
+    final = F.round(r.degraded(F.col("boosted"), recency(day, today), F.lit(None).cast("double")), 9)
+    place = F.row_number().over(Window.orderBy(F.desc("final"), "id")).cast("long")  # ten rows
+    return picked.withColumn("final", final).select("id", "source", "fused", "dense", "final", place.alias("place"))
 
 
 @query(f"WITH {_VECTOR}, d AS ({_DENSE} ORDER BY dense DESC, id LIMIT 20) SELECT max(dense) AS best, max(dense) < 0.65 AS no_strong_match FROM d WHERE id > 0")
@@ -73,19 +75,22 @@ def no_strong_match(t):
     return top.agg(F.max("dense").alias("best"), (F.max("dense") < 0.65).alias("no_strong_match"))
 
 
-@query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rank
-            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
-          m AS (SELECT q, min(CASE WHEN hit THEN rank END) AS first_hit FROM s WHERE rank <= 8 GROUP BY 1)
-          SELECT count(*) AS queries, CAST(count(*) FILTER (first_hit <= 3) AS BIGINT) AS hit3, CAST(count(*) FILTER (first_hit <= 8) AS BIGINT) AS hit8 FROM m""")
+@query("""WITH s AS (SELECT a.vec_id AS q, a.label AS wanted, a.label = b.label AS hit, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score, b.vec_id AS id
+            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+          r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s),
+          m AS (SELECT q, wanted, min(CASE WHEN hit THEN rank END) AS first_hit, max(score) AS best FROM r WHERE rank <= 8 GROUP BY 1, 2)
+          SELECT CAST(count(*) FILTER (wanted <> 9) AS BIGINT) AS queries, CAST(count(*) FILTER (wanted <> 9 AND first_hit <= 3) AS BIGINT) AS hit3, CAST(count(*) FILTER (wanted <> 9 AND first_hit <= 8) AS BIGINT) AS hit8,
+                 CAST(count(*) FILTER (wanted = 9) AS BIGINT) AS negatives, CAST(count(*) FILTER (wanted = 9 AND best < 0.65) AS BIGINT) AS negatives_passed FROM m""")
 def graded_eval(t):
-    """A stated query set against all rows."""
-    rows = t.embeddings
-    asked = rows.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.col("label").alias("wanted"))
-    pairs = rows.join(asked, F.col("vec_id") != F.col("q"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    scored = pairs.select("q", "vec_id", (F.col("label") == F.col("wanted")).alias("hit"), F.round(r.cosine(F.col("embedding"), F.col("v")), 9).alias("score"))
-    first = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 8").groupBy("q").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("f"))
-    return first.agg(F.count("*").alias("queries"), F.count_if(F.col("f") <= 3).alias("hit3"), F.count_if(F.col("f") <= 8).alias("hit8"))
+    """Every row with an id divisible by 20 against all rows; label 9 stands for queries that nothing should answer well."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    top = r.nearest_labels(rows, rows.where("id % 20 = 0"), 8)
+    m = top.groupBy("q", "wanted").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("rank"))).alias("f"), F.max("score").alias("best"))
+    real = F.col("wanted") != 9
+    return m.agg(
+        F.count_if(real).alias("queries"), F.count_if(real & (F.col("f") <= 3)).alias("hit3"), F.count_if(real & (F.col("f") <= 8)).alias("hit8"),
+        F.count_if(~real).alias("negatives"), F.count_if(~real & (F.col("best") < 0.65)).alias("negatives_passed"),
+    )
 
 
 # graph: customers and suppliers are nodes, an order line is a fact between them
