@@ -45,15 +45,17 @@ def packed(pieces: list[str], most: int, overlap: int, cost: int) -> Iterator[tu
 
 
 def by_lines(text: str, most: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(first line, last line, chunk), lines counted from 1; blank texts have none."""
+    """(first line, last line, chunk), lines counted from 0; blank texts have none."""
     if not text.strip():
         return []
     lines = text.split("\n")
-    return [(a + 1, b + 1, "\n".join(lines[a : b + 1])) for a, b in packed(lines, most, overlap, 1)]
+    return [(a, b, "\n".join(lines[a : b + 1])) for a, b in packed(lines, most, overlap, 1)]
 
 
 def by_heads(text: str, head: re.Pattern, most: int, overlap: int) -> list[tuple[int, int, str]]:
     """Pieces begin where ``head`` matches and are packed whole."""
+    if not text.strip():
+        return []
     pieces = [p.strip() for p in head.split(text) if p.strip()]
     return [(0, 0, "\n\n".join(pieces[a : b + 1])) for a, b in packed(pieces, most, overlap, 2)]
 
@@ -71,12 +73,55 @@ def messages(text: str, most: int) -> list[str]:
     return out if len(out) == 1 else [f"{p} ({i}/{len(out)})" for i, p in enumerate(out, 1)]
 
 
+def by_sections(text: str, most: int, overlap: int) -> list[tuple[int, int, str]]:
+    """Sections that fit are a chunk each; others are packed by lines."""
+    out = []
+    for piece in (p.strip() for p in HEADS["sections"].split(text) if p.strip()):
+        out += [(0, 0, piece)] if len(piece) <= most else [(0, 0, c) for _, _, c in by_lines(piece, most, overlap)]
+    return out
+
+
 def _cutter(strategy: str, most: int, overlap: int) -> Callable[[str], list[tuple[int, int, str]]]:
     if strategy == "lines":
         return lambda t: by_lines(t, most, overlap)
+    if strategy == "sections":
+        return lambda t: by_sections(t, most, overlap)
     return lambda t: by_heads(t, HEADS[strategy], most, overlap)
 
 
+#: fixed values: (tokens, overlap, strategy) by source
+STRATEGIES = {
+    "imessage": (300, 30, "speaker"), "o365-mail": (400, 40, "lines"), "google-mail": (400, 40, "lines"), "o365-teams": (400, 40, "speaker"), "o365-sharepoint": (512, 50, "header"),
+    "fireflies": (600, 60, "sections"), "limitless": (600, 60, "speaker"), "jira": (512, 50, "header"), "linear": (512, 50, "header"), "confluence": (512, 50, "header"),
+    "bitbucket": (512, 50, "header"), "sessions": (600, 60, "turns"), "documents": (512, 50, "header"), "notes": (512, 50, "header"), "memory": (512, 50, "header"),
+    "default": (512, 50, "lines"),
+}
+
+
+def dispatched(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(key, source, n, start_line, end_line, chunk): each text by its source's strategy and size."""
+    cutters = {s: _cutter(how, tokens * PER_TOKEN, overlap * PER_TOKEN) for s, (tokens, overlap, how) in STRATEGIES.items()}
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, s, n, *c) for k, t, s in zip(pdf[key], pdf[text], pdf[source], strict=True) for n, c in enumerate(cutters.get(s, cutters["default"])(FRONT.sub("", t or "")))]
+            yield pd.DataFrame(rows, columns=[key, "source", "n", "start_line", "end_line", "chunk"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text, source).mapInPandas(run, f"`{key}` {kind}, source string, n int, start_line int, end_line int, chunk string")
+
+
+def delivered(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """(key, n, part): texts as messages of at most ``most`` characters (numbers from 100 on may exceed it)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, n, p) for k, t in zip(pdf[key], pdf[text], strict=True) for n, p in enumerate(messages(t or "", most))]
+            yield pd.DataFrame(rows, columns=[key, "n", "part"])
+
+    return docs.select(key, text).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n int, part string")
+
+
 def chunked(docs: DataFrame, key: str, text: str, strategy: str = "lines", tokens: int = 512, overlap: int = 50) -> DataFrame:
     """(key, n, start_line, end_line, chunk) of each text; front matter is left out."""
     cut = _cutter(strategy, tokens * PER_TOKEN, overlap * PER_TOKEN)

@@ -179,3 +179,30 @@ def bulk_mail(address: Column, subject: Column, body: Column, allowed: tuple = (
     holds = lambda c, marks: reduce(lambda a, b: a | b, [F.lower(c).contains(m) for m in marks])
     weak = votes((F.size(labels) >= 3) & labels[0].isin(*BULK_LABELS), holds(subject, BULK_SUBJECTS), holds(body, BULK_FOOTERS))
     return F.when(safe, False).when(strong, True).otherwise(weak >= 2)
+
+
+#: fixed values: what makes a finding of a scan noise, and the classes that gate at any severity
+PLACEHOLDER_ADDRESS = r"(?i)@(?:[A-Za-z0-9\-]+\.)*example\.(?:com|net|org)$|^(?:noreply|no-reply|do-not-reply|donotreply|your[-_.]?email)\b"
+NO_LITERAL = r"(?i)[()\[\]{}$]|[A-Za-z_]\w*\.[A-Za-z_]|\b(?:env|getenv|environ|os|self|resp|req|creds?|flow|token_getter|tempfile|path|strftime|process\.env|get|json)\b|changeme|xxxx|redacted|your[-_]|example|<[^>]*>|\.\.\."
+SAFE_BINARIES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".mp4", ".mov", ".webm", ".wav", ".mp3", ".m4a")
+HEURISTIC = ("Secret-like key=value assignment", "High-entropy secret assignment")
+ALWAYS_GATE = ("machine_specific",)
+
+
+def noise() -> Column:
+    """Whether a finding (class, rule, found, file, context) is sanctioned noise."""
+    kind, found = F.col("class"), F.col("found")
+    value = F.regexp_extract(found, r"[=:]\s*['\"]?(.*?)['\"]?$", 1)
+    extension = F.lower(F.regexp_extract(found, r"\.[^.]*$", 0))
+    return (
+        F.when(kind == "email", found.rlike(PLACEHOLDER_ADDRESS))
+        .when((kind == "credential") & F.col("rule").isin(*HEURISTIC), value.rlike(NO_LITERAL))
+        .when(kind == "binary_unverified", extension.isin(*SAFE_BINARIES))
+        .when(kind == "person_name", F.upper("file").startswith("LICENSE") & F.lower("context").contains("copyright"))
+        .otherwise(False)
+    )
+
+
+def gates(least: tuple = ("high",)) -> Column:
+    """Whether a finding fails the gate."""
+    return ~noise() & (F.col("severity").isin(*least) | F.col("class").isin(*ALWAYS_GATE))

@@ -39,27 +39,6 @@ def two_sided_sync(t):
     return a.join(b, "k", "full_outer").select("k", action.alias("action"))
 
 
-@query("""WITH m AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS since, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS until, o_orderkey % 7 = 0 AS volatile, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1 END AS link FROM orders)
-          SELECT m.id, CASE WHEN m.until < DATE '1997-06-01' THEN 'EXPIRED' WHEN m.link IS NOT NULL AND x.id IS NULL THEN 'DANGLING' WHEN m.volatile AND date_diff('day', m.since, DATE '1997-06-01') > 90 THEN 'AGING' ELSE 'OK' END AS state FROM m LEFT JOIN m x ON m.link = x.id""")
-def memory_audit(t):
-    k, today = F.col("o_orderkey"), F.lit("1997-06-01").cast("date")
-    since = F.to_date("o_orderdate")
-    m = t.orders.select(k.alias("id"), since.alias("since"), F.when(k % 3 == 0, F.date_add(since, 400)).alias("until"), (k % 7 == 0).alias("volatile"), F.when(k % 11 == 0, k + 1).alias("link"))
-    x = m.select(F.col("id").alias("link"), F.lit(True).alias("there"))
-    state = F.when(F.col("until") < today, "EXPIRED").when(F.col("link").isNotNull() & F.col("there").isNull(), "DANGLING").when(F.col("volatile") & (F.datediff(today, "since") > 90), "AGING").otherwise("OK")
-    return m.join(x, "link", "left").select("id", state.alias("state"))
-
-
-@query("""WITH s AS (SELECT doc_id, doc_id % 120 AS age, source, md5(text) AS h FROM documents), d AS (SELECT doc_id, md5(text || CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 5 = 0)
-          SELECT doc_id, CASE WHEN age < 30 THEN 'recent' WHEN source = 'src0' THEN 'excluded' WHEN d.h IS NULL THEN 'move' WHEN d.h <> s.h THEN 'collision' ELSE 'already there' END AS plan FROM s LEFT JOIN d USING (doc_id)""")
-def archive_plan(t):
-    k = F.col("doc_id")
-    s = t.documents.select("doc_id", (k % 120).alias("age"), "source", F.md5("text").alias("h"))
-    d = t.documents.where(k % 5 == 0).select("doc_id", F.md5(F.concat("text", F.when(k % 8 == 0, "x").otherwise(""))).alias("g"))
-    plan = F.when(F.col("age") < 30, "recent").when(F.col("source") == "src0", "excluded").when(F.col("g").isNull(), "move").when(F.col("g") != F.col("h"), "collision").otherwise("already there")
-    return s.join(d, "doc_id", "left").select("doc_id", plan.alias("plan"))
-
-
 @query("""WITH m AS (SELECT o_custkey, min(o_orderkey) AS mk FROM orders GROUP BY 1), x AS (SELECT m.o_custkey, o.o_orderpriority AS p FROM m JOIN orders o ON o.o_orderkey = m.mk)
           SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN nullif(CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END, '') END, p) AS priority FROM orders LEFT JOIN x USING (o_custkey)""")
 def inherited_fields(t):
@@ -107,9 +86,3 @@ def last_messages(t):
 def set_difference(t):
     fr = t.documents.where("lang = 'fr'").select("source").distinct()
     return t.documents.join(fr, "source", "left_semi").select("source", "doc_id").subtract(t.documents.where("n_chars > 3000").select("source", "doc_id"))
-
-
-@query("""SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n, round(sum(o_totalprice) / pow(10, 2), 4) AS major FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1""")
-def monthly_minor_units(t):
-    rows = t.orders.where(F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'"))
-    return rows.groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice") / F.pow(F.lit(10), F.lit(2)), 4).alias("major"))

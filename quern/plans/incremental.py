@@ -68,13 +68,13 @@ def high_water_mark(t):
     return t.events.join(marks, "user_id", "left").where("mark is null or ts > mark").select("event_id", "user_id")
 
 
-@query("""WITH o AS (SELECT doc_id AS k, md5(text) AS h FROM documents WHERE doc_id % 3 = 0),
-          n AS (SELECT doc_id + CASE WHEN doc_id % 6 = 0 THEN 1000000 ELSE 0 END AS k, md5(text) AS h FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH o AS (SELECT doc_id AS k, md5(text) AS h FROM documents),
+          n AS (SELECT doc_id + CASE WHEN doc_id % 6 = 0 THEN 1000000 ELSE 0 END AS k, md5(text) AS h FROM documents),
           g AS (SELECT h, min(k) AS was FROM o WHERE k NOT IN (SELECT k FROM n) GROUP BY h),
           c AS (SELECT h, min(k) AS now FROM n WHERE k NOT IN (SELECT k FROM o) GROUP BY h)
           SELECT was, now FROM g JOIN c USING (h)""")
 def move_detection(t):
-    d = t.documents.where("doc_id % 3 = 0")
+    d = t.documents
     old = d.select(F.col("doc_id").alias("k"), F.md5("text").alias("h"))
     new = d.select((F.col("doc_id") + F.when(F.col("doc_id") % 6 == 0, 1000000).otherwise(0)).alias("k"), F.md5("text").alias("h"))
     return change.moves(old, new, "k", "h")
@@ -129,12 +129,3 @@ def month_windows(t):
     start = F.lit("2024-01-01").cast("date")
     months = F.sequence(start, F.add_months(start, (F.col("c_custkey") % 4).cast("int")), F.expr("interval 1 month"))
     return t.customer.select("c_custkey", F.explode(months).alias("month"))
-
-
-@query("""WITH s AS (SELECT c_custkey AS job, CASE WHEN c_custkey % 3 = 0 THEN 'daily' ELSE 'interval' END AS kind, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 50 END AS hours, c_custkey % 11 = 0 AS forced FROM customer)
-          SELECT job, CASE WHEN forced THEN 'forced' WHEN hours IS NULL THEN 'never' WHEN kind = 'daily' AND hours >= 24 THEN 'due' WHEN kind = 'interval' AND hours >= 4 THEN 'due' ELSE 'wait' END AS state FROM s""")
-def schedule_due(t):
-    hours = F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 50)
-    daily = F.col("c_custkey") % 3 == 0
-    state = F.when(F.col("c_custkey") % 11 == 0, "forced").when(hours.isNull(), "never").when(hours >= F.when(daily, 24).otherwise(4), "due").otherwise("wait")
-    return t.customer.select(F.col("c_custkey").alias("job"), state.alias("state"))

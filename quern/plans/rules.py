@@ -104,36 +104,7 @@ def bulk_mail(t):
     return t.customer.select("c_custkey", who["local"].alias("local"), who["domain"].alias("domain"), rules.bulk_mail(address, subject, body, ("friend.example",)).alias("bulk"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'principal' WHEN p_type LIKE '%STEEL%' THEN 'infra' WHEN p_type LIKE 'PROMO%' AND p_size > 20 THEN 'team' WHEN p_size < 5 THEN 'pre' ELSE 'other' END AS class FROM part""")
-def ordered_classes(t):
-    kind, size = F.col("p_type"), F.col("p_size")
-    found = rules.first_rule([("principal", F.col("p_brand") == "Brand#11"), ("infra", kind.contains("STEEL")), ("team", kind.startswith("PROMO") & (size > 20)), ("pre", size < 5)], "other")
-    return t.part.select("p_partkey", found.alias("class"))
-
-
 @query("""SELECT event_id, CASE WHEN event_type = 'view' AND CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN 'dropped' ELSE 'delivered' END AS fate FROM events""")
 def no_op_filter(t):
     no_op = (F.col("event_type") == "view") & (F.get_json_object("props", "$.k").cast("long") % 2 == 0)
     return t.events.select("event_id", F.when(no_op, "dropped").otherwise("delivered").alias("fate"))
-
-
-@query("""WITH p AS (SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM orders)
-          SELECT o_orderkey FROM p WHERE o_totalprice > 100000 AND o_totalprice > coalesce(top, 0)""")
-def growth_alerts(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return t.orders.withColumn("top", F.max("o_totalprice").over(w)).where("o_totalprice > 100000 and o_totalprice > coalesce(top, 0)").select("o_orderkey")
-
-
-@query("""SELECT l.doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'PASS' WHEN quality = 0 THEN 'FAIL' ELSE 'SKIP' END AS verdict, n_chars >= 500 AS long_enough, contains(text, chr(10)) AS has_lines
-          FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
-def document_checks(t):
-    verdict = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "PASS").when(F.col("quality") == 0, "FAIL").otherwise("SKIP")
-    return t.labels.join(t.documents, "doc_id").select("doc_id", verdict.alias("verdict"), (F.col("n_chars") >= 500).alias("long_enough"), F.col("text").contains("\n").alias("has_lines"))
-
-
-@query(r"""SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+')) AS phrase FROM conversations WHERE role = 'user' AND length(text) BETWEEN 10 AND 4000""")
-def capture_phrases(t):
-    rows = t.conversations.where("role = 'user'").where(F.length("text").between(10, 4000))
-    return rows.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [a-z]+"), F.lit(0))).alias("phrase"))

@@ -119,13 +119,6 @@ def regression_alarm(t):
     return d.withColumn("med", F.expr("percentile(hits, 0.5)").over(w)).where("med - hits >= 2").select("event_type", "day", "hits", "med")
 
 
-@query("""WITH r AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_id FROM events)
-          SELECT event_id FROM r WHERE value < 0.15 * 100 AND before < 0.15 * 100""")
-def stop_rule(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.withColumn("before", F.lag("value").over(w)).where("value < 15 and before < 15").select("event_id")
-
-
 @query("""WITH b AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id FROM b WHERE p IS NULL OR epoch(ts) - epoch(p) > 3600""")
 def ttl_dedup(t):
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
@@ -137,10 +130,3 @@ def ttl_dedup(t):
 def beyond_newest(t):
     w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
     return t.events.withColumn("n", F.row_number().over(w)).where("n > 14").select("event_id")
-
-
-@query("""SELECT l_orderkey, l_linenumber, CAST(unnest(generate_series(CAST(l_shipdate AS TIMESTAMP), CAST(l_shipdate AS TIMESTAMP) + INTERVAL 1 HOUR * (CAST(l_quantity AS INTEGER) - 1), INTERVAL 2 HOUR)) AS TIMESTAMP) AS piece FROM lineitem""")
-def split_ranges(t):
-    hours = F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int") - 1)
-    pieces = F.sequence(F.col("l_shipdate"), F.col("l_shipdate") + hours, F.expr("interval 2 hours"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.explode(pieces).alias("piece"))

@@ -143,12 +143,14 @@ def size_labels(t):
     return t.documents.select("doc_id", x.size_label(F.col("n_chars") * 100).alias("size"), shown.alias("attachment"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'mail/2024-03/x.md' WHEN 1 THEN 'notes/2024-05-06-plan.md' WHEN 2 THEN 'misc/readme.md' ELSE 'mail/2024-03/2024-03-09.md' END AS path, CASE WHEN doc_id % 5 = 0 THEN '2023-12-31T10:00:00Z' END AS stated FROM documents)
-  SELECT doc_id, coalesce(CAST(substr(stated, 1, 10) AS DATE), TRY_CAST(nullif(regexp_extract(path, '(\d{4}-\d{2}-\d{2})[^/]*$', 1), '') AS DATE), TRY_CAST(CASE WHEN regexp_extract(path, '/(\d{4}-\d{2})/[^/]*$', 1) <> '' THEN regexp_extract(path, '/(\d{4}-\d{2})/[^/]*$', 1) || '-01' END AS DATE)) AS day FROM p""")
+@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'mail/2024-03/x.md' WHEN 1 THEN 'notes/2024-05-06-plan.md' WHEN 2 THEN 'misc/readme.md' ELSE 'mail/2024-03/2024-03-09.md' END AS path, CASE WHEN doc_id % 5 = 0 THEN '2023-12-31T10:00:00Z' WHEN doc_id % 7 = 0 THEN '2023-11-30' END AS stated FROM documents)
+  SELECT doc_id, coalesce(CAST(substr(stated, 1, 10) AS DATE), TRY_CAST(nullif(regexp_extract(path, '(?:^|/)(\d{4}-\d{2}-\d{2})[^/]*$', 1), '') AS DATE), TRY_CAST(CASE WHEN regexp_extract(path, '/(\d{4}-\d{2})/[^/]*$', 1) <> '' THEN regexp_extract(path, '/(\d{4}-\d{2})/[^/]*$', 1) || '-01' END AS DATE)) AS day FROM p""")
 def path_dates(t):
     k = F.col("doc_id") % 4
     path = F.when(k == 0, "mail/2024-03/x.md").when(k == 1, "notes/2024-05-06-plan.md").when(k == 2, "misc/readme.md").otherwise("mail/2024-03/2024-03-09.md")
-    return t.documents.select("doc_id", x.path_date(path, F.when(F.col("doc_id") % 5 == 0, "2023-12-31T10:00:00Z")).alias("day"))
+    # of a note's dates the first that is stated: date, updated, modified, created
+    stated = F.coalesce(F.when(F.col("doc_id") % 5 == 0, "2023-12-31T10:00:00Z"), F.lit(None).cast("string"), F.when(F.col("doc_id") % 7 == 0, "2023-11-30"))
+    return t.documents.select("doc_id", x.path_date(path, stated).alias("day"))
 
 
 @query(r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS part FROM documents""")

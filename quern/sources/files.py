@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +14,11 @@ from pyspark.sql import functions as F
 PROMOTED = ("subject", "from", "participants", "title", "speakers", "assignee", "status", "priority", "project", "space")
 
 
-def markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = (), namespace: str = "") -> DataFrame:
-    """(file_path, text, modified) of all Markdown files below root; hidden ones and skipped prefixes are left out."""
+def markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = (), namespace: str = "", globs: tuple[str, ...] = (), source: str = "") -> DataFrame:
+    """(file_path, text, modified) of all Markdown files below root; hidden ones, skipped prefixes and names that match a glob are left out.
+
+    ``source``: only files below this folder; ``namespace`` goes in front of the paths, so several roots can be united.
+    """
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = root if "://" in root else f"file://{root}"
     path = F.regexp_replace(F.col("_metadata.file_path"), "^" + base.rstrip("/").replace("file:///", "file:/+") + "/", "")
@@ -18,9 +26,42 @@ def markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = (), namespa
     rows = rows.where(~F.col("file_path").rlike(r"(^|/)\."))
     for prefix in skip:
         rows = rows.where(~F.col("file_path").startswith(prefix))
+    name = F.substring_index("file_path", "/", -1)
+    for glob in globs:
+        rows = rows.where(~name.rlike("^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"))
+    if source:
+        rows = rows.where(F.col("file_path").startswith(source.rstrip("/") + "/"))
     return rows.withColumn("file_path", F.concat(F.lit(namespace), "file_path"))
 
 
+def path_parts(path: Column, sources: dict[str, str], channels: dict[str, int]) -> dict[str, Column]:
+    """source (by the first two parts, then the first), connector (the first) and channel (the part that the source has it in)."""
+    known = F.create_map(*[F.lit(v) for pair in sources.items() for v in pair])
+    parts = F.split(path, "/")
+    source = F.coalesce(F.try_element_at(known, F.concat_ws("/", F.get(parts, 0), F.get(parts, 1))), F.try_element_at(known, F.get(parts, 0)), F.lit("default"))
+    channel = F.lit(None).cast("string")
+    for name, at in channels.items():
+        channel = F.when(source == name, F.when(F.size(parts) > at, F.get(parts, at))).otherwise(channel)
+    return {"source": source, "connector": F.get(parts, 0), "channel": channel}
+
+
+def write_whole(rows: DataFrame, root: str) -> None:
+    """Each (file_path, text) as a file below root: written under a temporary name of its attempt, then renamed, so no reader sees half a file."""
+
+    def put(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs.create_dir(f"{base}/{path}".rpartition("/")[0])
+                with fs.open_output_stream(f"{base}/{path}.{attempt}.tmp") as f:
+                    f.write((text or "").encode())
+                fs.move(f"{base}/{path}.{attempt}.tmp", f"{base}/{path}")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    rows.select("file_path", "text").mapInArrow(put, "n long").agg(F.sum("n")).first()  # one row
+
+
 def front_matter(text: Column) -> Column:
     """The leading block as a map of raw strings."""
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(\n|\z)", 1)
@@ -54,10 +95,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def is_binary(content: Column) -> Column:
     """A NUL byte, or over 30 % of the first 8192 bytes neither printable ASCII nor one of \\b \\t \\n \\f \\r."""
-    head = F.hex(F.substring(content, 1, 8192))
-    odd = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(head)), F.lit(2)), lambda i: F.substr(head, i, F.lit(2))), lambda b: b.rlike("^(0[0-7BEF]|1.|7F|[89A-F].)$")))
-    size = F.length(head) / 2
-    return F.when(size == 0, False).otherwise(head.rlike("^(..)*00") | (odd / size > 0.3))
+    head = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")  # a character a byte
+    odd = F.length(F.regexp_replace(head, r"[\x20-\x7e\x08\t\n\f\r]+", ""))
+    return F.when(F.length(head) == 0, False).otherwise(head.rlike(r"\x00") | (odd / F.length(head) > 0.3))
 
 
 def by_day(rows: DataFrame, path: str, at: str) -> None:

@@ -26,8 +26,8 @@ def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.from_json(column, EVENT).alias("e"), column).select("e.*", column)
 
 
-def received(bodies: DataFrame) -> DataFrame:
-    """(ts, content, event_type, source) of posted bodies (ts, path, body): JSON or plain text; empty strings count as absent."""
+def received(bodies: DataFrame, *keep: str) -> DataFrame:
+    """(ts, content, event_type, source, and the columns to keep) of posted bodies (ts, path, body): JSON or plain text; empty strings count as absent."""
     j = lambda name: F.nullif(F.get_json_object("body", f"$.{name}"), F.lit(""))
     path = F.nullif(F.regexp_replace("path", "^/+", ""), F.lit(""))
     return bodies.select(
@@ -35,6 +35,7 @@ def received(bodies: DataFrame) -> DataFrame:
         F.coalesce(j("message"), j("content"), j("text"), F.col("body")).alias("content"),
         F.coalesce(j("event_type"), j("type"), F.lit("webhook")).alias("event_type"),
         F.coalesce(j("source"), path, F.lit("unknown")).alias("source"),
+        *keep,
     )
 
 
@@ -81,3 +82,34 @@ def pruned(rows: DataFrame, now, days: int = 7) -> DataFrame:
 def run_all(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there and end; the sink is exactly once by its checkpoint."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def numbered(rows: DataFrame, order: list[str], line: str, most: int = 10 << 20) -> DataFrame:
+    """Rows of a log with file and seq: a file ends once ``most`` bytes are written, and seq begins anew in each.
+
+    One log is one sequence; ``order`` must tell its rows apart. Bytes are added up by windows over the log's key.
+    """
+    from pyspark.sql import Window
+
+    whole = Window.partitionBy("log").orderBy(*order)
+    size = F.octet_length(line) + 1
+    before = F.coalesce(F.sum(size).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("file", F.floor(before / most).cast("long"))
+    return rows.withColumn("seq", (F.row_number().over(Window.partitionBy("log", "file").orderBy(*order)) - 1).cast("long"))
+
+
+def unseen(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """Rows (file, seq) behind the last seq seen of their file; a file not seen before counts whole."""
+    return rows.join(last.select("file", F.col("seq").alias("_last")), "file", "left").where("_last is null or seq > _last").drop("_last")
+
+
+def leases(beats: DataFrame, now, stale: int = 120) -> DataFrame:
+    """(queue, holder, live) of heartbeats (queue, holder, at): the newest beat holds the lease, until it is stale."""
+    last = beats.groupBy("queue").agg(F.max(F.struct("at", "holder")).alias("l"))
+    age = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("l.at").cast("timestamp"))
+    return last.select("queue", F.col("l.holder").alias("holder"), (age <= stale).alias("live"))
+
+
+def run_every(stream: DataFrame, path: str, checkpoint: str, seconds: int = 2):
+    """A query that polls by micro-batches until it is stopped."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
