@@ -255,10 +255,10 @@ def totals_row(t):
     return t.documents.rollup("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("mean"))
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), l AS (SELECT day, n, lag(n) OVER (ORDER BY day) AS before FROM d)
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), l AS (SELECT day, n, lag(n) OVER (ORDER BY day) AS before FROM d)
           SELECT day, n, before FROM l WHERE n < 0.8 * before""")
 def day_over_day_drop(t):
-    d = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    d = t.events.where("event_type = 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return d.withColumn("before", F.lag("n").over(Window.orderBy("day"))).where("n < 0.8 * before").select("day", "n", "before")  # a row a day
 
 

@@ -42,8 +42,8 @@ def _sheets(content: bytes) -> str:
 
 def _rtf(content: bytes) -> str:
     text = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", content.decode("latin-1"))
-    text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1252", "replace"), text)
-    return re.sub(r"[{}]|\\[a-z]+-?\d* ?", "", re.sub(r"\\(?:par|line)\b ?", "\n", text)).strip()
+    text = re.sub(r"[{}]|\\[a-z]+-?\d* ?", "", re.sub(r"\\(?:par|line)\b ?", "\n", text)).strip()
+    return re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1252", "replace"), text)
 
 
 def _pdf(content: bytes) -> str:
@@ -51,7 +51,7 @@ def _pdf(content: bytes) -> str:
     out = []
     for raw in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
         try:
-            raw = zlib.decompress(raw)
+            raw = zlib.decompressobj().decompress(raw)  # a stream may lose its last byte to the line break before its end
         except zlib.error:
             pass
         for shown in re.findall(rb"\[(.*?)\]\s*TJ|(\((?:\\.|[^\\)])*\))\s*Tj", raw, re.S):

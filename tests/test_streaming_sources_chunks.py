@@ -66,7 +66,7 @@ def test_replay_prune_and_bodies(spark):
 
 
 def test_line_packing_by_hand():
-    assert chunks.by_lines("aaa\nbbb\nccc\ndd", 10, 4) == [(1, 2, "aaa\nbbb"), (2, 3, "bbb\nccc"), (3, 4, "ccc\ndd")]
+    assert chunks.by_lines("aaa\nbbb\nccc\ndd", 10, 4) == [(0, 1, "aaa\nbbb"), (1, 2, "bbb\nccc"), (2, 3, "ccc\ndd")]
     assert chunks.by_lines(" \n ", 10, 4) == []
     assert [c for _, _, c in chunks.by_lines("x" * 30 + "\nab", 10, 0)] == ["x" * 30, "ab"]
 
@@ -91,6 +91,11 @@ def test_heads_and_messages():
     parts = chunks.messages("word " * 50, 100)
     assert all(len(p) <= 100 for p in parts) and parts[0].endswith(f"(1/{len(parts)})")
     assert chunks.messages("short", 100) == ["short"]
+    assert chunks.messages("a" * 55 + "\n" + "b" * 60, 100) == ["a" * 55 + " (1/2)", "b" * 60 + " (2/2)"]
+    assert chunks.messages("a" * 44 + " " + "b" * 60, 100) == ["a" * 44 + " " + "b" * 45 + " (1/2)", "b" * 15 + " (2/2)"]  # a space before the middle is no place to cut
+    assert chunks.messages("a" * 95 + "    ", 100) == ["a" * 95 + "    "]
+    sections = "## A\none\n## B\n" + "\n".join(["x" * 8] * 4)
+    assert [c for _, _, c in chunks.by_sections(sections, 20, 0)] == ["## A\none", "## B\nxxxxxxxx", "xxxxxxxx\nxxxxxxxx", "xxxxxxxx"]
 
 
 def test_markdown_tree(spark, tmp_path):
@@ -107,9 +112,9 @@ def test_markdown_tree(spark, tmp_path):
 def test_json_lines_binaries_and_days(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n{"a": \n{"a": 2}\n')
     assert sorted(r["a"] for r in files.json_lines(spark, str(tmp_path / "l.jsonl"), "a long").collect()) == [1, 2]
-    data = [(0, b"plain text\n"), (1, b"a\x00b"), (2, b""), (3, bytes([1, 2, 3, 65])), (4, "é".encode() * 50)]
+    data = [(0, b"plain text\n"), (1, b"a\x00b"), (2, b""), (3, bytes([1, 2, 3, 65])), (4, "é".encode() * 50), (5, b"tab\tback\x08" * 9)]
     rows = spark.createDataFrame([(i, bytearray(b)) for i, b in data], "i int, content binary")
-    assert {r["i"]: r["b"] for r in rows.select("i", files.is_binary(F.col("content")).alias("b")).collect()} == {0: False, 1: True, 2: False, 3: True, 4: False}
+    assert {r["i"]: r["b"] for r in rows.select("i", files.is_binary(F.col("content")).alias("b")).collect()} == {0: False, 1: True, 2: False, 3: True, 4: True, 5: False}
     days = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 2))], "x int, at timestamp")
     files.by_day(days, str(tmp_path / "d"), "at")
     files.by_day(days.where("x = 2").withColumn("x", F.lit(9)), str(tmp_path / "d"), "at")
