@@ -1,18 +1,25 @@
 """Exact top-k by inner product with KD-trees.
 
-Vectors are dealt into shards of about ``SHARD`` rows.  Each shard builds a
-KD-tree: median splits of the widest dimension, with the tight bounding box of
-every node.  A query visits nodes best bound first (the greatest inner product
-that a box allows) until no bound reaches its kth score.  The first shard is
-searched before the others, and the kth scores found there go to them with the
-queries, so they begin with a bound.  Queries meet every shard in blocks.
+A coarse tree of median splits, fitted to at most ``SAMPLE`` vectors, deals all
+vectors into shards of about ``SHARD`` rows by place; shards that still hold
+more (equal vectors) are split by hash.  Each shard builds a KD-tree: median
+splits of the widest dimension, with the tight bounding box of every node.  A
+query visits nodes best bound first (the greatest inner product that a box
+allows) until no bound reaches its kth score.
+
+Queries travel in three rounds and take their kth score along: first to the
+shard where they lie, then to the ``NEXT`` shards whose boxes promise most, at
+last to all others whose boxes still reach the kth score found.  The boxes that
+decide this are those of at most ``BOXES`` nodes of the coarse tree, so they are
+small whatever the data.  In a shard queries are dealt into blocks, a task each.
 
 Components are floor(256 * x) and scores integers, computed exactly.
 
 Cases: vectors null, empty, or with null or non-finite components take no part,
 nor do rows without vec_id; rows repeated in full count once; all rows of the
-query's vec_id are its own; vectors only meet vectors of their dimension.
-Scores must fit a long: components stay below 2^25 or so.
+query's vec_id are its own; vectors only meet vectors of their dimension; an
+empty table gives no rows; other columns are not read. Scores must fit a long:
+components stay below 2^25 or so.
 """
 
 from __future__ import annotations
@@ -29,6 +36,11 @@ from .vectors import groups, matrix, ranked, vectors
 
 SHARD = 16384
 LEAF = 64
+SAMPLE = 20_000
+NEXT = 4
+BOXES = 4096
+BLOCK = 4096
+LEAST = 2048  # rows of a shard that is small for the sake of more tasks
 
 
 class Tree:
@@ -93,9 +105,9 @@ def numbers(*parts: np.ndarray) -> type:
 def _searched(k: int):
     def run(batches):
         key, held, tree, rows = None, [], None, None
-        for (dim, shard, kind), part in groups(batches, ["dim", "shard", "kind"]):
-            if (dim, shard) != key:
-                key, held, tree = (dim, shard), [], None
+        for (dim, shard, block, kind), part in groups(batches, ["dim", "shard", "block", "kind"]):
+            if (dim, shard, block) != key:
+                key, held, tree = (dim, shard, block), [], None
             if kind == 0:
                 held.append(part)
                 continue
@@ -122,21 +134,138 @@ def _searched(k: int):
     return run
 
 
+class Planes:
+    """A coarse tree of median splits: depth levels, nodes in heap order; a row falls to one of 2 ** depth leaves."""
+
+    def __init__(self, sample: np.ndarray, depth: int) -> None:
+        self.depth = depth
+        self.axis, self.cut = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
+        held = {0: sample}
+        for node in range(len(self.axis)):
+            rows = held.pop(node)
+            if len(rows):
+                self.axis[node] = int(np.ptp(rows, axis=0).argmax())
+                self.cut[node] = np.median(rows[:, self.axis[node]])
+            right = rows[:, self.axis[node]] >= self.cut[node]
+            held |= {2 * node + 1: rows[~right], 2 * node + 2: rows[right]}
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.axis[node]] >= self.cut[node])
+        return node - ((1 << self.depth) - 1)
+
+
+def _placed(planes: dict):
+    def run(batches):
+        for (dim,), part in groups(batches, ["dim"]):
+            leaf = planes[dim].leaf(matrix(part.column("v")))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf)], [*part.schema.names, "leaf"])
+
+    return run
+
+
+def _boxes(shift: dict):
+    """The box of each task's rows of a node: (dim, node, low, high)."""
+
+    def run(batches):
+        found: dict = {}
+        for (dim,), part in groups(batches, ["dim"]):
+            x, node = matrix(part.column("v")), np.asarray(part.column("leaf")) >> shift[dim]
+            for n in np.unique(node).tolist():
+                own = x[node == n]
+                low, high = own.min(axis=0), own.max(axis=0)
+                if (dim, n) in found:
+                    low, high = np.minimum(low, found[dim, n][0]), np.maximum(high, found[dim, n][1])
+                found[dim, n] = (low, high)
+        if found:
+            keys = list(found)
+            lists = [pa.array([found[k][i].tolist() for k in keys], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), *lists], ["dim", "node", "low", "high"])
+
+    return run
+
+
+def _sent(boxes: dict, subs: dict, shift: dict, last: bool):
+    """A row for each query and shard that it goes to: those of its best boxes, or (``last``) the others that reach its kth score; never its own."""
+
+    def run(batches):
+        for (dim,), part in groups(batches, ["dim"]):
+            nodes, low, high = boxes[dim]
+            x = matrix(part.column("v")).astype(float)
+            bound = np.maximum(x, 0) @ high.T + np.minimum(x, 0) @ low.T
+            rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+            floor, home = part.column("floor").to_pylist(), np.asarray(part.column("shard"))
+            to, at = [], []
+            for i in range(len(x)):
+                near = rank[i] < NEXT
+                # a bound in floats may fall short of the exact one by its rounding
+                reach = np.ones(len(nodes), bool) if floor[i] is None else bound[i] >= floor[i] - 1e-9 * (np.abs(bound[i]) + abs(floor[i]))
+                for n in nodes[(~near if last else near) & reach].tolist():
+                    own = subs[dim][n]
+                    own = own[own != home[i]]
+                    to.append(own)
+                    at.append(np.full(len(own), i))
+            if to:
+                at = pa.array(np.concatenate(at))
+                kept = [part.column(part.schema.get_field_index(c)).take(at) for c in ("vec_id", "query", "v", "dim", "floor")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(to))], ["vec_id", "query", "v", "dim", "floor", "shard"])
+
+    return run
+
+
 def top_k(entries: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for each query row; both tables: (vec_id, embedding, ...)."""
     coded = lambda rows: vectors(rows).select("vec_id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"), "dim").distinct()
+    shape = "vec_id long, v array<long>, dim int"
     rows, asked = written(coded(entries), "entries"), written(coded(queries).withColumn("query", F.xxhash64("v")), "queries")
-    shards = max(1, -(-rows.count() // SHARD))
-    dealt = rows.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("query"), "v", F.lit(None).cast("long").alias("floor"))
-
-    def searched(part: DataFrame, asking: DataFrame) -> DataFrame:
-        both = part.union(asking.select("dim", "shard", F.lit(1), F.col("vec_id"), "query", "v", "floor"))
-        both = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
-        return both.mapInArrow(_searched(k), "query_id long, query long, vec_id long, score long")
-
-    first = written(searched(dealt.where("shard = 0"), asked.withColumn("shard", F.lit(0).cast("long")).withColumn("floor", F.lit(None).cast("long"))), "first")
-    if shards == 1:
-        return ranked(first, k, F.desc("score"))
-    floors = first.groupBy("query_id", "query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).select(F.col("query_id").alias("vec_id"), "query", F.when(F.col("n") >= k, F.col("floor")).alias("floor"))
-    again = asked.join(floors, ["vec_id", "query"], "left").withColumn("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long"))))
-    return ranked(first.union(searched(dealt.where("shard > 0"), again)), k, F.desc("score"))
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row a dimension
+    asked, blocks = asked.where(F.col("dim").isin(list(sizes))), max(1, -(-asked.count() // BLOCK))
+    planes = {}
+    for dim, n in sizes.items():
+        got = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v").toArrow()
+        shards = max(-(-n // SHARD), min(16, n // LEAST), 1)
+        planes[dim] = Planes(matrix(got["v"].combine_chunks()), (shards - 1).bit_length())
+    placed = written(rows.mapInArrow(_placed(planes), shape + ", leaf long"), "placed")
+    shift = {dim: max(0, p.depth - BOXES.bit_length() + 1) for dim, p in planes.items()}
+    # leaves with more rows than a shard (equal vectors) are split by hash: a row a leaf on the driver, one in SHARD rows of the table
+    split = [(r["dim"], r["leaf"], -(-r["n"] // (2 * SHARD))) for r in placed.groupBy("dim", "leaf").agg(F.count("*").alias("n")).collect()]
+    spread = F.broadcast(entries.sparkSession.createDataFrame(split, "dim int, leaf long, subs long"))
+    subs: dict = {dim: {} for dim in planes}
+    for dim, leaf, n in split:
+        subs[dim].setdefault(leaf >> shift[dim], []).extend((leaf << 20) + s for s in range(n))
+    subs = {dim: {node: np.array(x) for node, x in own.items()} for dim, own in subs.items()}
+    cells = placed.mapInArrow(_boxes(shift), "dim int, node long, low array<long>, high array<long>").select("dim", "node", F.posexplode(F.arrays_zip("low", "high")).alias("i", "x"))
+    cells = cells.groupBy("dim", "node", "i").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    boxes: dict = {dim: {} for dim in planes}
+    for r in cells.groupBy("dim", "node").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("b")).collect():  # BOXES rows a dimension at most
+        boxes[r["dim"]][r["node"]] = [(b["low"], b["high"]) for b in r["b"]]
+    boxes = {dim: (np.array(list(own)), *np.array(list(own.values()), float).transpose(2, 0, 1)) for dim, own in boxes.items()}
+
+    block = F.pmod("query", F.lit(blocks))
+    home = lambda key: ((F.col("leaf") * (1 << 20)) + F.pmod(key, F.col("subs"))).alias("shard")
+    shards = placed.join(spread, ["dim", "leaf"]).select("dim", home(F.xxhash64("vec_id", "v")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("query"), "v", F.lit(None).cast("long").alias("floor"))
+
+    def searched(asking: DataFrame, name: str) -> DataFrame:
+        both = shards.join(asking.select("dim", "shard", block.alias("block")).distinct(), ["dim", "shard", "block"], "left_semi")
+        both = both.select(shards.columns).union(asking.select("dim", "shard", block, F.lit(1), F.col("vec_id"), "query", "v", "floor"))
+        both = both.repartition("dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
+        return written(both.mapInArrow(_searched(k), "query_id long, query long, vec_id long, score long"), name)
+
+    def floored(found: DataFrame) -> DataFrame:
+        """The queries at home with the kth score found up to now."""
+        best = ranked(found, k, F.desc("score"), "query").groupBy("query_id", "query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        best = best.select(F.col("query_id").alias("vec_id"), "query", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+        return at_home.drop("floor").join(best, ["vec_id", "query"], "left").select("vec_id", "query", "v", "dim", "floor", "shard")
+
+    if not sizes:
+        return ranked(shards.select(F.col("id").alias("query_id"), "query", F.col("id").alias("vec_id"), F.col("floor").alias("score")), k, F.desc("score"))
+    own = asked.mapInArrow(_placed(planes), shape + ", query long, leaf long").join(spread, ["dim", "leaf"], "left").withColumn("subs", F.coalesce("subs", F.lit(1).cast("long")))
+    at_home = written(own.select("vec_id", "query", "v", "dim", F.lit(None).cast("long").alias("floor"), home(F.col("query"))), "home")
+    asking = "vec_id long, query long, v array<long>, dim int, floor long, shard long"
+    found = searched(at_home, "first")
+    if sum(len(x) for dim in subs.values() for x in dim.values()) > 1:
+        for last in (False, True):
+            sent = written(floored(found).mapInArrow(_sent(boxes, subs, shift, last), asking), "sent")
+            found = found.union(searched(sent, "others" if last else "next"))
+    return ranked(found, k, F.desc("score"))

@@ -40,9 +40,9 @@ def groups(batches, keys: list[str]):
             yield tuple(int(c[i]) for c in columns), batch.slice(i, j - i)
 
 
-def ranked(found: DataFrame, k: int, best_first: Column) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of each query, ties to smaller vec_id."""
+def ranked(found: DataFrame, k: int, best_first: Column, *more: str) -> DataFrame:
+    """(query_id, rank, vec_id, score, and the columns asked for): the k best of each query, ties to smaller vec_id."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id", "query").orderBy(best_first, "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *more)

@@ -69,7 +69,7 @@ def test_multi_index_recall_and_scores(rows, monkeypatch, sub):
     monkeypatch.setattr(multi_index, "PART", sub)
     v = [(i, np.array(e)) for i, e in sound(rows) if any(e)]
     got = defaultdict(list)
-    for r in multi_index.nearest(rows, rows.where("vec_id % 100 = 0"), least=100).collect():
+    for r in multi_index.nearest(rows, rows.where("vec_id % 100 = 0")).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hits = total = 0
     for q, x in v:
@@ -134,3 +134,29 @@ def test_shards_are_sorted_and_damage_is_seen(spark, tmp_path):
 def test_empty_archive(spark, tmp_path):
     assert warc.write(pages(spark).limit(0), f"file://{tmp_path}/e").count() == 0
     assert not warc.read(spark, f"file://{tmp_path}/e").collect()
+
+
+@pytest.mark.parametrize(("n", "clustered"), [(2_000, False), (20_000, True), (20_000, False), (50_000, True)])
+def test_recall_at_the_registered_settings(n, clustered):
+    """The walks of the operator in one process, at its own settings: recall, and the share of entries passed."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    if clustered:
+        x = 3 * rng.normal(size=(200, 64))[rng.integers(0, 200, n)] + x
+    books = multi_index.Books(x[:20_000], int(np.clip(np.sqrt(n) / 1.6, 4, 256)))
+    a, b = books.distances(x)
+    cell = a.argmin(axis=1) * b.shape[1] + b.argmin(axis=1)
+    counts, k, hits, passed, asked = np.bincount(cell, minlength=a.shape[1] * b.shape[1]), 10, 0, 0, range(0, n, n // 50)
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        cells = multi_index.walk(a[q], b[q], counts, multi_index.FIRST * k)
+        for most in (multi_index.MIDWAY * k, multi_index.MISSED * k):
+            kth = np.sort(d[np.isin(cell, cells)])[k - 1]
+            more = multi_index.walk(a[q], b[q], counts, np.inf, multi_index.reach(a[q], b[q], counts, books, kth, most))
+            cells = max(cells, more, key=len)
+        seen = np.isin(cell, cells)
+        hits += seen[np.argsort(d)[:k]].sum()
+        passed += seen.mean()
+    assert hits / len(asked) / k >= 0.9
+    assert not clustered or passed / len(asked) < 0.2
