@@ -2,7 +2,8 @@
 
 A forward Viterbi pass gives the best score of every prefix; these scores are
 the exact heuristic of a backward A* search over the piece lattice, which
-therefore yields segmentations best first.  Pieces never cross certain
+therefore yields segmentations best first.  Scores are those of
+``piece_model``: log probabilities of the pieces.  Pieces never cross certain
 character pairs, so a text falls into independent segments: each distinct
 segment is searched once per worker (up to ``MEMO`` units are remembered), and
 the n best of a text are the n best sums over its segments.
@@ -13,7 +14,6 @@ front, decoded to nothing; texts of any length are segmented whole.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 from array import array
@@ -25,15 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._words import pieces
-from .piece_model import MODEL, PieceModel, piece_model
+from .piece_model import MODEL, PieceModel, piece_model, uncollected
 
 MEMO = 1_000_000
+LONG = 2048  # characters of a lattice that is kept whole
 
 _first = itemgetter(0)
 
 
 def search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best (score, ids) of one lattice, best first."""
+    if len(text) > LONG:
+        return far_search(model, text, n)
     size, prefix = len(text), model.prefix
     best = [0.0] + [-np.inf] * size
     into: list[list] = [[] for _ in range(size + 1)]  # (score up to here, start, edge)
@@ -81,6 +84,58 @@ def search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int,
     return found
 
 
+def far_search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """``search`` for long lattices: only the best scores of prefixes are kept; the edges into a node are found anew when it is visited."""
+    size, prefix, most = len(text), model.prefix, model.longest
+    best = array("d", [0.0]) + array("d", [-np.inf]) * size
+
+    def edges_from(i: int):
+        alone = False
+        for j in range(i + 1, size + 1):
+            edge = prefix.get(text[i:j])
+            if edge is None:
+                break
+            if edge:
+                alone = alone or j == i + 1
+                yield j, edge
+        if not alone:
+            yield i + 1, model.edge(text[i])
+
+    def edges_into(j: int) -> list:
+        found = []
+        for i in range(max(0, j - most), j):
+            edge = prefix.get(text[i:j])
+            if not edge and j == i + 1:
+                edge = model.edge(text[i])
+            if edge:
+                found.append((best[i] + edge[0], i, edge))
+        found.sort(key=_first, reverse=True)
+        return found
+
+    for i in range(size):
+        for j, edge in edges_from(i):
+            best[j] = max(best[j], best[i] + edge[0])
+    found, made, heap = [], 0, [(-best[size], 0, size, 0, 0.0, None)]
+    while heap and len(found) < n:
+        _, _, j, k, behind, path = heapq.heappop(heap)
+        while j:
+            edges = edges_into(j)
+            if k + 1 < len(edges):
+                made += 1
+                heapq.heappush(heap, (-(edges[k + 1][0] + behind), made, j, k + 1, behind, path))
+                if len(heap) > 4 * n:  # only the n best can come out
+                    heap = heapq.nsmallest(n, heap)
+                    heapq.heapify(heap)
+            _, i, edge = edges[k]
+            behind, path, j, k = behind + edge[0], (edge[1], path), i, 0
+        ids = array("i")
+        while path is not None:
+            ids.extend(path[0])
+            path = path[1]
+        found.append((behind, tuple(ids)))
+    return found
+
+
 def combined(parts: list[list[tuple]], n: int) -> list[tuple]:
     """The n best sums of one choice from each list (each best first)."""
     top = parts[0][:n]
@@ -170,7 +225,10 @@ def _lists(raws: list[bytes]) -> pa.ListArray:
 
 def _encoded(path: str, n: int, fields: list[str], whole: bool):
     def run(batches):
-        gc.disable()  # what is remembered holds no cycles; walking it again and again took most of the time
+        with uncollected():  # what is remembered holds no cycles
+            yield from encode(batches)
+
+    def encode(batches):
         model = piece_model(path)
         if (path, n) not in _SEGMENTERS:
             _SEGMENTERS[path, n] = Segmenter(model, n)

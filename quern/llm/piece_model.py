@@ -4,16 +4,26 @@ Texts are taken as they are, with one space put in front; a piece's "▁" is a
 space.  A character without a piece of its own costs ``unknown`` and is encoded
 as its UTF-8 bytes, so decoding gives every text back exactly, a literal "▁"
 included.
+
+A model of merges has no probabilities but the ranks of its merges.  Its pieces
+then get those of Zipf's law over these ranks, in proportion to 1 / (rank +
+``SHIFT``) and summing to one, so that sums of their logarithms are unigram
+scores.  (Nothing is fitted: tokenizers are never trained here.)
 """
 
 from __future__ import annotations
 
+import gc
+import math
+import os
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 
 import sentencepiece
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = os.environ.get("QUERN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+SHIFT = 10
 
 #: Pre-tokens: a word with the spaces before it, or the spaces at the end. A model's own ``unit`` cuts finer where its pieces allow.
 UNIT = re.compile(" *[^ ]+| +")
@@ -37,6 +47,10 @@ class PieceModel:
                 text = piece.replace("▁", " ")
                 self.score[text], self.id[text] = sp.get_score(i), i
                 self.bytes.append(text.encode())
+        if all(s == int(s) for s in self.score.values()):  # ranks of merges: the model has no probabilities of its own
+            ranks = {p: -s for p, s in self.score.items() if s > -1e8}
+            scale = math.log(sum(1 / (r + SHIFT) for r in ranks.values()))
+            self.score = {p: -math.log(ranks[p] + SHIFT) - scale if p in ranks else s for p, s in self.score.items()}
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10  # some runs of spaces have -1e9
         self.longest = max(map(len, self.score))
         #: every beginning of a piece: its (score, ids), or () where it is no piece itself
@@ -72,3 +86,15 @@ class PieceModel:
 @lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
+
+
+@contextmanager
+def uncollected():
+    """Without the cyclic garbage collector, which would walk large tables again and again; it is as before afterwards."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

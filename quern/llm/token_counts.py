@@ -6,15 +6,20 @@ that spells it), with the number of pieces on that way, computed once however
 many pre-tokens share the prefix; a node also carries the pieces still open
 there.  Terminal nodes thus hold the counts of whole pre-tokens, and a text's
 count is the sum over its pre-tokens.  A worker's trie is bounded by ``NODES``
-and begins anew beyond that, which changes no count.
+and begins anew beyond that, which changes no count; pre-tokens of more than
+``LONG`` characters pass the same recursion without being inserted.
+
+Scores are those of ``piece_model``: log probabilities of the pieces.  The
+counts are those of the likeliest segmentation; a model of merges encodes by its
+merges, so its own encoder may count a little otherwise.
 
 Cases: a null text counts as the empty one, which is the single space in
-front; equal scores go to the way with fewer pieces.
+front; equal scores go to the way with fewer pieces; rows may repeat, doc_id may
+be of any type, other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 from array import array
 
 import numpy as np
@@ -23,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._words import pieces
-from .piece_model import MODEL, UNIT, PieceModel, piece_model
+from .piece_model import MODEL, UNIT, PieceModel, piece_model, uncollected
 
 NODES = 1_000_000
+LONG = 1024
 
 
 class Trie(dict):
@@ -55,6 +61,8 @@ class Trie(dict):
         self.open: list[tuple] = [((0, 0.0, 0),)]  # (place in the pieces' trie, score and count before the piece)
 
     def __missing__(self, token: str) -> int:
+        if len(token) > LONG:
+            return self._alone(token)
         child, at = self.child, 0
         for c in token:
             to = child.get((at, c))
@@ -64,6 +72,17 @@ class Trie(dict):
         self[token] = at
         return at
 
+    def _alone(self, token: str) -> int:
+        """The terminal node of a long pre-token that nothing else shares: the way to it is given up as it is gone."""
+        first, at = len(self.score), 0
+        for c in token:
+            to = self._grow(at, c)
+            del self.child[at, c]
+            if at >= first:
+                self.open[at] = ()
+            at = to
+        return at
+
     def _grow(self, at: int, c: str) -> int:
         edges, ends = self.edges, self.ends
         best, count, going = -np.inf, 0, []
@@ -91,7 +110,10 @@ _TRIES: dict[str, Trie] = {}  # of a worker process, over all its tasks
 
 def _counted(path: str):
     def run(batches):
-        gc.disable()  # the trie holds no cycles
+        with uncollected():  # the trie holds no cycles
+            yield from count(batches)
+
+    def count(batches):
         if path not in _TRIES:
             _TRIES[path] = Trie(piece_model(path))
         trie = _TRIES[path]
@@ -99,12 +121,18 @@ def _counted(path: str):
             for part in pieces(batch, "text", 1 << 20):
                 units, tokens, scores = [], [], []
                 for text in part.column("text").to_pylist():
-                    if len(trie.score) > NODES:
-                        trie.start()
-                    nodes = np.fromiter(map(trie.__getitem__, UNIT.findall(" " + (text or ""))), np.int64)
-                    units.append(len(nodes))
-                    tokens.append(int(np.frombuffer(trie.count, np.int64)[nodes].sum()))
-                    scores.append(float(np.frombuffer(trie.score)[nodes].sum()))
+                    n, sum_, score = 0, 0, 0.0
+                    found = UNIT.findall(" " + (text or ""))
+                    for a in range(0, len(found), 1 << 16):  # so that one long text, too, meets the bound
+                        if len(trie.score) > NODES:
+                            trie.start()
+                        nodes = np.fromiter(map(trie.__getitem__, found[a : a + (1 << 16)]), np.int64)
+                        n += len(nodes)
+                        sum_ += int(np.frombuffer(trie.count, np.int64)[nodes].sum())
+                        score += float(np.frombuffer(trie.score)[nodes].sum())
+                    units.append(n)
+                    tokens.append(sum_)
+                    scores.append(score)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(units, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "score"])
 
     return run
