@@ -18,9 +18,12 @@ its word sequence starts at two places at least.
    where automata of all phrases for all documents would grow as the square.
 4. Removing.  Every word covered by a recurring window goes.
 
-Windows and segments are compared by 64-bit hashes of their words, phrases by
+Segments are compared by 64-bit hashes within one phrase, windows by two such hashes
+(128 bits) of their words, phrases by
 their bytes.  Cases: null, blank and short texts have no window; repeated rows
-are occurrences like any other; windows judged are those of the input.
+are occurrences like any other; windows judged are those of the input; an empty
+table gives no rows; columns that clash with those added are refused, whatever
+their case.
 """
 
 from __future__ import annotations
@@ -32,22 +35,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import row_key, written
+from ._scratch import row_key, unclashing, written
 from ._words import Words, mix, pieces, shingles
 
 PHRASE = 4
 BUNDLE_BYTES = 2 << 20
+HOT, HOT_KEYS = 5_000, 100_000
 
 
 class Anchors:
     """Anchor occurrences of a batch: at[i] is the first word of the phrase; its windows start at low[i] to high[i]."""
 
-    def __init__(self, w: Words, window: int) -> None:
+    def __init__(self, w: Words, window: int, sure: bool = False) -> None:
         h = w.hashes()
         span = window - PHRASE + 1
         none = np.zeros(0, np.int64)
         self.at = self.low = self.high = none
-        self.segment = self.windows = np.zeros(0, np.uint64)
+        self.segment = self.windows = self.second = np.zeros(0, np.uint64)
         if len(h) < window:
             return
         best, pos = shingles(h, PHRASE), None
@@ -60,6 +64,8 @@ class Anchors:
             best = np.minimum(best[left], best[right])
             have += step
         self.windows = shingles(h, window)
+        if sure:
+            self.second = shingles(mix(h ^ np.uint64(0xA5A5A5A5DEADBEEF)), window)
         count = np.maximum(w.counts() - window + 1, 0)
         total = int(count.sum())
         if not total:
@@ -135,7 +141,7 @@ def _located(window: int):
         unpack = zstandard.ZstdDecompressor().decompress
         texts = [unpack(x.as_buffer()) for x in rows.column("data")]
         w = Words(pa.array(texts, pa.binary()))
-        a = Anchors(w, window)
+        a = Anchors(w, window, sure=True)
         ends = w.start + w.length
         out = []
         for i, text in enumerate(texts):
@@ -156,12 +162,12 @@ def _located(window: int):
             whole, open_ = k[~split], k[split]
             x, y = merged(a.low[whole] - lo, a.high[whole] + window - lo) if len(whole) else (whole, whole)
             starts = np.concatenate([np.arange(a.low[j], a.high[j] + 1) for j in open_]) if len(open_) else open_
-            out.append((rows.column("k1")[i], rows.column("k2")[i], np.stack([x, y]).astype("<i8").tobytes(), a.windows[starts].view(np.int64), starts - lo))
+            out.append((rows.column("k1")[i], rows.column("k2")[i], np.stack([x, y]).astype("<i8").tobytes(), a.windows[starts].view(np.int64), a.second[starts].view(np.int64), starts - lo))
         if out:
-            k1, k2, whole, hashes, starts = zip(*out, strict=True)
+            k1, k2, whole, hashes, seconds, starts = zip(*out, strict=True)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32)
             listed = lambda x: pa.ListArray.from_arrays(ends, np.concatenate(x).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in k1], pa.int64()), pa.array([x.as_py() for x in k2], pa.int64()), pa.array(whole, pa.binary()), listed(hashes), listed(starts)], ["k1", "k2", "whole", "hashes", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in k1], pa.int64()), pa.array([x.as_py() for x in k2], pa.int64()), pa.array(whole, pa.binary()), listed(hashes), listed(seconds), listed(starts)], ["k1", "k2", "whole", "hashes", "seconds", "starts"])
 
     def run(batches):
         bundle, automaton, ready = None, None, False
@@ -205,10 +211,15 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         packed.select("bundle", F.lit(1), "k1", "k2", "data", F.lit(False))
     )
     dealt = both.repartition("bundle").sortWithinPartitions("bundle", "kind")
-    found = written(dealt.mapInArrow(_located(window), "k1 long, k2 long, whole binary, hashes array<long>, starts array<long>"), "located")
-    windows = found.where("size(hashes) > 0").select("k1", "k2", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("k1", "k2", "x.hashes", "x.starts")
-    again = windows.groupBy("hashes").agg(F.count("*").alias("n")).where("n > 1").select("hashes")
-    marks = windows.join(again, "hashes").select("k1", "k2", F.lit(None).cast("binary").alias("whole"), F.col("starts").alias("start"))
+    found = written(dealt.mapInArrow(_located(window), "k1 long, k2 long, whole binary, hashes array<long>, seconds array<long>, starts array<long>"), "located")
+    key = ["hashes", "seconds"]
+    windows = found.where("size(hashes) > 0").select("k1", "k2", F.explode(F.arrays_zip("hashes", "seconds", "starts")).alias("x")).select("k1", "k2", "x.hashes", "x.seconds", "x.starts")
+    again = written(windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "again")
+    # windows that recur so often that they would fill a task go by broadcast: no more than HOT_KEYS can
+    often = max(HOT, (again.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(again.where(F.col("n") >= often).select(*key))
+    some = windows.join(hot, key, "left_anti").join(again.where(F.col("n") < often).select(*key), key)
+    marks = windows.join(hot, key, "left_semi").select("k1", "k2", "starts").union(some.select("k1", "k2", "starts")).select("k1", "k2", F.lit(None).cast("binary").alias("whole"), F.col("starts").alias("start"))
     return found.select("k1", "k2", "whole", F.lit(None).cast("long").alias("start")).union(marks).groupBy("k1", "k2").agg(F.max("whole").alias("whole"), F.collect_set("start").alias("starts"))
 
 
@@ -244,9 +255,7 @@ def _removed(window: int, fields: list[str]):
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """docs (doc_id, text, ...) with n_words, n_removed and kept_words: what is left, joined by single spaces."""
-    for name in ("n_words", "n_removed", "kept_words", "k1", "k2", "whole", "starts"):
-        if name in docs.columns:
-            raise ValueError(f"docs already has a column {name}")
+    unclashing(docs.columns, "n_words", "n_removed", "kept_words", "k1", "k2", "whole", "starts")
     text = docs.withColumn("text", F.col("text").cast("string"))
     marks = repeated_spans(text.select("doc_id", "text"), window)
     rows = text.select("*", *row_key("doc_id", "text")).join(marks, ["k1", "k2"], "left")
