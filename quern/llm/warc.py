@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Rows are range-sorted by page_id into shards of about ``shard_bytes``; each
-shard rolls to its next file once one holds ``roll_bytes`` compressed.  Headers
+Rows are range-sorted by (page_id, digest) into shards of about ``shard_bytes``,
+whose bounds are byte quantiles of sampled keys; each shard is one task and rolls to its next file once one holds ``roll_bytes`` compressed.  Headers
 and digests are made anew from the payload, gzip members carry no time, and
 record ids derive from id and digest, so the same rows always give the same
 files.  A file is written under a temporary name of its task attempt and moved
@@ -14,8 +14,8 @@ page_id holds the payload; the others are revisits that name it.
 Cases: a null payload is the empty one; null ids sort first, and among equal
 payloads without any id all are responses; rows that repeat the smallest id are
 responses too; control characters and spaces in URLs are percent-encoded, a
-null URL is left out; an empty table gives no file.  One page_id stays in one
-shard.
+null URL is left out; an empty table gives no file.  Rows equal in id and
+payload stay in one shard.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SAMPLED = 20  # keys a shard that bounds are drawn from
 MANIFEST = "file string, records long, bytes long, sha256 string"
 
 
@@ -56,6 +57,21 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def order_key(page_id: Column, digest: Column) -> Column:
+    """Text that sorts as (page_id, digest), null ids first; the digest counts with its first 16 characters."""
+    flipped = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(page_id.isNull(), "0").otherwise(F.concat(F.lit("1"), flipped)), F.substring(digest, 1, 16))
+
+
+def place_of(key: Column, bounds: list[str], step: int = 256) -> Column:
+    """How many of the sorted bounds are not beyond the key, looked up in two steps."""
+    if not bounds:
+        return F.lit(0)
+    up_to = lambda among: F.size(F.filter(among, lambda b: b <= key))
+    coarse = up_to(F.lit(bounds[step - 1 :: step]).cast("array<string>")) if len(bounds) >= step else F.lit(0)
+    return coarse * step + up_to(F.slice(F.lit(bounds), coarse * step + 1, F.lit(step)))
+
+
 class Roller:
     """Files of one shard."""
 
@@ -115,18 +131,20 @@ def write(pages: DataFrame, folder: str, least: int = 100, shard_bytes: int = 32
     sized = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
     total, count = sized.agg(F.sum("n"), F.count("*")).first()
     shards = max(1, -(-(total or 0) // shard_bytes))
-    # bounds between shards: from ids of least hash, about 20,000 whatever the size, so they depend on the ids alone
-    every = max(1, count // 20_000)
-    ids = np.sort(np.array([r[0] for r in rows.where("page_id is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id").collect()], np.int64))
-    bounds = sorted({int(ids[len(ids) * i // shards]) for i in range(1, shards)}) if len(ids) else []
-    shard = F.coalesce(F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b <= F.col("page_id"))), F.lit(0)) if bounds else F.lit(0)
+    # bounds between shards: byte quantiles over keys (id, digest) of least hash, SAMPLED a shard, so they depend on the rows alone
+    key = order_key(F.col("page_id"), F.col("digest"))
+    every = max(1, count // (SAMPLED * shards + 20_000))
+    drawn = sized.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(every)) == 0).groupBy(key.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").collect() if shards > 1 else []
+    upto = np.cumsum([r["n"] for r in drawn])
+    bounds = sorted({drawn[int(np.searchsorted(upto, upto[-1] * i / shards))]["key"] for i in range(1, shards)}) if drawn else []
+    shards, shard = len(bounds) + 1, place_of(key, bounds)
     large = sized.where(F.col("n") >= least)
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1 and refers_to is not null").select("digest", "refers_to")
     told = large.select("page_id", "digest").join(first, "digest").where("not page_id <=> refers_to").distinct()
     both = told.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html")).union(
         rows.select("page_id", F.sha2("html", 256), F.lit(1), F.lit(None).cast("long"), "url", F.col("html").cast("binary"))
     )
-    both = both.select(shard.alias("shard"), "*").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    both = both.select(shard.alias("shard"), "*").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     made, root = pafs.FileSystem.from_uri(folder)
     made.create_dir(root)
     both.mapInArrow(_written(folder, roll_bytes, date), MANIFEST).write.parquet(f"{folder}/_manifest")
