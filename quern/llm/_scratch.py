@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is made only where none is set (tests)."""
+    """The shared folder; a local one is made only where none is set and all work is done on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -54,6 +56,12 @@ def _clear() -> None:
             return
 
 
+def unclashing(columns: list[str], *own: str) -> None:
+    """Refuses a table whose columns, case folded, are those that an operator adds or works with."""
+    if clash := {c.lower() for c in columns} & {c.lower() for c in own}:
+        raise ValueError(f"the table already has columns {sorted(clash)}")
+
+
 def row_key(*cols: str) -> list:
     """Two 64-bit hashes of a row's columns, null-safe, as key columns k1, k2."""
     given = [F.col(c) for c in cols]

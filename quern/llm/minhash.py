@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import written
+from ._scratch import unclashing, written
 from ._words import Words, mix, pieces, shingles
 from .components import components, roots
 from .vectors import groups
@@ -301,9 +301,13 @@ def _grouped(docs: DataFrame, n: int = 5, similarity: int = 75, permutations: in
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One row of docs for each group, of its least doc_id (null ids last), and each text without words once; all columns stay."""
+    """One row of docs for each group, of its least doc_id (null ids last), and each text without words once; all columns stay.
+
+    Columns named _t, _d or _n are refused.
+    """
     from pyspark.sql import Window
 
+    unclashing(docs.columns, "_t", "_d", "_n")
     rows = _grouped(docs, **how)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("r")
     kept = rows.where("component is not null").groupBy("component").agg(first).select("r.doc_id", "r.tkey").union(rows.where("component is null").select("doc_id", "tkey"))

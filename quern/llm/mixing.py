@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._scratch import row_key, written
+from ._scratch import row_key, unclashing, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_DOCS = 50_000
@@ -119,8 +119,12 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, repeats: float
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mixture has them: a row for each appearance, with the columns of docs."""
+    """docs as the mixture has them: a row for each appearance, with the columns of docs.
+
+    Columns named k1, k2, _0, _1, _times, _same, _nth, _own or _copy are refused.
+    """
     names = docs.columns
+    unclashing(names, "k1", "k2", "_0", "_1", "_times", "_same", "_nth", "_own", "_copy")
     once = mixture(docs, **how).groupBy("k1", "k2").agg(F.count("*").alias("_times"))  # of all repeated rows together
     keyed = docs.select("*", *[c.alias(f"_{i}") for i, c in enumerate(row_key("doc_id", "text"))])
     same = F.count("*").over(Window.partitionBy("_0", "_1"))
