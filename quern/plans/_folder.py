@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 def new_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not shared and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir names no shared folder")
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quern-')).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
