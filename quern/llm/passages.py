@@ -217,9 +217,10 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     again = written(windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "again")
     # windows that recur so often that they would fill a task go by broadcast: no more than HOT_KEYS can
     often = max(HOT, (again.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = F.broadcast(again.where(F.col("n") >= often).select(*key))
-    some = windows.join(hot, key, "left_anti").join(again.where(F.col("n") < often).select(*key), key)
-    marks = windows.join(hot, key, "left_semi").select("k1", "k2", "starts").union(some.select("k1", "k2", "starts")).select("k1", "k2", F.lit(None).cast("binary").alias("whole"), F.col("starts").alias("start"))
+    hot = F.broadcast(again.where(F.col("n") >= often).select(*key, F.lit(True).alias("hot")))
+    told = windows.join(hot, key, "left")
+    some = told.where("hot is null").join(again.where(F.col("n") < often).select(*key), key)
+    marks = told.where("hot").select("k1", "k2", "starts").union(some.select("k1", "k2", "starts")).select("k1", "k2", F.lit(None).cast("binary").alias("whole"), F.col("starts").alias("start"))
     return found.select("k1", "k2", "whole", F.lit(None).cast("long").alias("start")).union(marks).groupBy("k1", "k2").agg(F.max("whole").alias("whole"), F.collect_set("start").alias("starts"))
 
 
