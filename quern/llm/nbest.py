@@ -84,6 +84,48 @@ def search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int,
     return found
 
 
+def best_and_gap(model: PieceModel, text: str) -> tuple[float, float, array]:
+    """(best score, how much the second best costs more, ids of the best): the first expansion of ``search``.
+
+    What it would put on its heap along the best way are the exact scores of all others, so the greatest is the second best.
+    """
+    size, root = len(text), model.root
+    best, other = [0.0] + [-np.inf] * size, [-np.inf] * (size + 1)
+    came: list = [None] * (size + 1)  # (start, edge) of the best way into a node
+    for i in range(size):
+        b, below, j = best[i], root, i
+        while j < size:
+            at = below.get(text[j])
+            if at is None:
+                break
+            j += 1
+            edge, below = at
+            if edge:
+                s = b + edge[0]
+                if s > best[j]:
+                    other[j], best[j], came[j] = best[j], s, (i, edge)
+                elif s > other[j]:
+                    other[j] = s
+        at = root.get(text[i])
+        if not at or not at[0]:
+            edge = model.edge(text[i])
+            j, s = i + 1, b + edge[0]
+            if s > best[j]:
+                other[j], best[j], came[j] = best[j], s, (i, edge)
+            elif s > other[j]:
+                other[j] = s
+    second, behind, path, j = -np.inf, 0.0, [], size
+    while j:
+        second = max(second, other[j] + behind)
+        j, edge = came[j]
+        behind += edge[0]
+        path.append(edge[1])
+    ids = array("i")
+    for part in reversed(path):
+        ids.extend(part)
+    return best[size], best[size] - second, ids
+
+
 def far_search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """``search`` for long lattices: only the best scores of prefixes are kept; the edges into a node are found anew when it is visited."""
     size, prefix, most = len(text), model.prefix, model.longest
@@ -164,9 +206,13 @@ class Segmenter(dict):
     def __missing__(self, unit: str) -> int:
         parts = self.model.segments(unit)
         if len(parts) == 1:
-            found = search(self.model, unit, 2)
-            score, ids = found[0][0], array("i", found[0][1]).tobytes()
-            gap = score - found[1][0] if len(found) > 1 else np.inf
+            if len(unit) > LONG:
+                found = far_search(self.model, unit, 2)
+                score, ids = found[0][0], array("i", found[0][1]).tobytes()
+                gap = score - found[1][0] if len(found) > 1 else np.inf
+            else:
+                score, gap, ids = best_and_gap(self.model, unit)
+                ids = ids.tobytes()
         else:
             known = [self[p] for p in parts]
             score, gap, ids = sum(self.best[k] for k in known), min(self.gap[k] for k in known), b"".join(self.ids[k] for k in known)

@@ -56,6 +56,14 @@ class PieceModel:
         #: every beginning of a piece: its (score, ids), or () where it is no piece itself
         self.prefix: dict[str, tuple] = {p[:j]: () for p in self.score for j in range(1, len(p))}
         self.prefix |= {p: (s, (self.id[p],)) for p, s in self.score.items()}
+        #: the pieces as a trie of (edge, or () within a piece; what follows by character)
+        self.root: dict[str, tuple] = {}
+        for p in sorted(self.score):
+            below = self.root
+            for j, c in enumerate(p, 1):
+                if c not in below:
+                    below[c] = (self.prefix[p[:j]], {})
+                below = below[c][1]
         self.joined = {p[j : j + 2] for p in self.score for j in range(len(p) - 1)}
 
         # marks that no piece holds behind another character, so a unit ends before them

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._words import pieces
-from .piece_model import MODEL, UNIT, PieceModel, piece_model, uncollected
+from .piece_model import MODEL, PieceModel, piece_model, uncollected
 
 NODES = 1_000_000
 LONG = 1024
@@ -40,17 +40,7 @@ class Trie(dict):
     def __init__(self, model: PieceModel) -> None:
         super().__init__()
         self.unknown = model.unknown
-        self.edges: dict[tuple[int, str], int] = {}  # the pieces' own trie
-        self.ends = [None]
-        for piece, score in model.score.items():
-            at = 0
-            for c in piece:
-                to = self.edges.get((at, c))
-                if to is None:
-                    to = self.edges[at, c] = len(self.ends)
-                    self.ends.append(None)
-                at = to
-            self.ends[at] = score
+        self.root = model.root
         self.alone = {c for c in model.score if len(c) == 1}
         self.start()
 
@@ -58,7 +48,7 @@ class Trie(dict):
         self.clear()
         self.child: dict[tuple[int, str], int] = {}
         self.score, self.count = array("d", [0.0]), array("q", [0])
-        self.open: list[tuple] = [((0, 0.0, 0),)]  # (place in the pieces' trie, score and count before the piece)
+        self.open: list[tuple] = [((self.root, 0.0, 0),)]  # (what follows in the pieces' trie, score and count before the piece)
 
     def __missing__(self, token: str) -> int:
         if len(token) > LONG:
@@ -84,20 +74,22 @@ class Trie(dict):
         return at
 
     def _grow(self, at: int, c: str) -> int:
-        edges, ends = self.edges, self.ends
         best, count, going = -np.inf, 0, []
-        for place, score, n in self.open[at]:
-            to = edges.get((place, c))
+        for below, score, n in self.open[at]:
+            to = below.get(c)
             if to is not None:
-                going.append((to, score, n))
-                s = ends[to]
-                if s is not None and (score + s > best or score + s == best and n + 1 < count):
-                    best, count = score + s, n + 1
+                edge, after = to
+                if after:
+                    going.append((after, score, n))
+                if edge:
+                    s = score + edge[0]
+                    if s > best or s == best and n + 1 < count:
+                        best, count = s, n + 1
         if c not in self.alone:
             score, n = self.score[at] + self.unknown, self.count[at] + len(c.encode())
             if score > best:
                 best, count = score, n
-        going.append((0, best, count))
+        going.append((self.root, best, count))
         self.child[at, c] = to = len(self.score)
         self.score.append(best)
         self.count.append(count)
@@ -116,13 +108,13 @@ def _counted(path: str):
     def count(batches):
         if path not in _TRIES:
             _TRIES[path] = Trie(piece_model(path))
-        trie = _TRIES[path]
+        trie, unit = _TRIES[path], piece_model(path).unit
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 units, tokens, scores = [], [], []
                 for text in part.column("text").to_pylist():
                     n, sum_, score = 0, 0, 0.0
-                    found = UNIT.findall(" " + (text or ""))
+                    found = unit.findall(" " + (text or ""))
                     for a in range(0, len(found), 1 << 16):  # so that one long text, too, meets the bound
                         if len(trie.score) > NODES:
                             trie.start()

@@ -62,6 +62,8 @@ def test_trie_agrees_with_the_lattice(monkeypatch):
             node, code = trie[unit], seg[unit]
             assert trie.score[node] == pytest.approx(seg.best[code])
             assert trie.count[node] <= seg.size[code]
+            two = search(model, unit, 2)
+            assert seg.best[code] == pytest.approx(two[0][0]) and seg.gap[code] == pytest.approx(two[0][0] - two[1][0] if len(two) > 1 else math.inf)
             every = ways(model, unit[:14])
             assert trie.count[trie[unit[:14]]] in {len(i) for s, i in every if s == pytest.approx(max(s for s, _ in every))}
 
