@@ -28,7 +28,7 @@ from ._words import pieces
 from .piece_model import MODEL, PieceModel, piece_model, uncollected
 
 MEMO = 1_000_000
-LONG = 2048  # characters of a lattice that is kept whole
+SHORT, LONG = 9, 2048  # characters of a unit that is not worth cutting, and of a lattice that is kept whole
 
 _first = itemgetter(0)
 
@@ -90,40 +90,43 @@ def best_and_gap(model: PieceModel, text: str) -> tuple[float, float, array]:
     What it would put on its heap along the best way are the exact scores of all others, so the greatest is the second best.
     """
     size, root = len(text), model.root
-    best, other = [0.0] + [-np.inf] * size, [-np.inf] * (size + 1)
-    came: list = [None] * (size + 1)  # (start, edge) of the best way into a node
-    for i in range(size):
-        b, below, j = best[i], root, i
-        while j < size:
-            at = below.get(text[j])
-            if at is None:
-                break
-            j += 1
+    least = -1e300
+    best, other = [0.0] + [least] * size, [least] * (size + 1)
+    start, ways = [0] * (size + 1), [()] * (size + 1)  # of the best way into a node: where its last edge starts, and its ids
+    for i, c in enumerate(text):
+        b = best[i]
+        at = root.get(c)
+        if at is None or not at[0]:
+            s, ids = model.edge(c)
+            s += b
+            j = i + 1
+            if s > best[j]:
+                other[j], best[j], start[j], ways[j] = best[j], s, i, ids
+            elif s > other[j]:
+                other[j] = s
+        j = i
+        while at is not None:
             edge, below = at
+            j += 1
             if edge:
                 s = b + edge[0]
                 if s > best[j]:
-                    other[j], best[j], came[j] = best[j], s, (i, edge)
+                    other[j], best[j], start[j], ways[j] = best[j], s, i, edge[1]
                 elif s > other[j]:
                     other[j] = s
-        at = root.get(text[i])
-        if not at or not at[0]:
-            edge = model.edge(text[i])
-            j, s = i + 1, b + edge[0]
-            if s > best[j]:
-                other[j], best[j], came[j] = best[j], s, (i, edge)
-            elif s > other[j]:
-                other[j] = s
-    second, behind, path, j = -np.inf, 0.0, [], size
+            if j == size or not below:
+                break
+            at = below.get(text[j])
+    second, path, j, whole = least, [], size, best[size]
     while j:
-        second = max(second, other[j] + behind)
-        j, edge = came[j]
-        behind += edge[0]
-        path.append(edge[1])
+        if other[j] > least:
+            second = max(second, other[j] + whole - best[j])
+        path.append(ways[j])
+        j = start[j]
     ids = array("i")
     for part in reversed(path):
         ids.extend(part)
-    return best[size], best[size] - second, ids
+    return whole, whole - second if second > least else np.inf, ids
 
 
 def far_search(model: PieceModel, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -204,7 +207,7 @@ class Segmenter(dict):
         self.ids: list[bytes] = []
 
     def __missing__(self, unit: str) -> int:
-        parts = self.model.segments(unit)
+        parts = [unit] if len(unit) <= SHORT else self.model.segments(unit)
         if len(parts) == 1:
             if len(unit) > LONG:
                 found = far_search(self.model, unit, 2)
