@@ -203,7 +203,7 @@ class Segmenter(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.best, self.size, self.gap = array("d"), array("q"), array("d")
+        self.best, self.size, self.gap, self.fits = array("d"), array("q"), array("d"), array("b")
         self.ids: list[bytes] = []
 
     def __missing__(self, unit: str) -> int:
@@ -219,6 +219,8 @@ class Segmenter(dict):
         else:
             known = [self[p] for p in parts]
             score, gap, ids = sum(self.best[k] for k in known), min(self.gap[k] for k in known), b"".join(self.ids[k] for k in known)
+        spelt = b"".join(map(self.model.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))  # decoded once for all texts that hold the unit
+        self.fits.append(spelt == unit.encode())
         self[unit] = at = len(self.best)
         self.best.append(score)
         self.gap.append(gap)
@@ -290,7 +292,7 @@ def _encoded(path: str, n: int, fields: list[str], whole: bool):
                     units, codes = seg.coded(text)
                     best = list(map(seg.ids.__getitem__, codes.tolist()))
                     top, changes = seg.scores(units, codes)
-                    raws, fits = [], model.decode(np.frombuffer(b"".join(best), "<i4").tolist()) == text
+                    raws, fits = [], "".join(units) == " " + text and bool(np.frombuffer(seg.fits, np.int8)[codes].all())
                     for change in changes:
                         way = best.copy() if change else best
                         for at, ids in change:  # the other units are those of the best way
