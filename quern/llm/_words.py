@@ -7,6 +7,8 @@ which a single space follows each word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,7 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 _CODE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,6 +154,13 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def released() -> None:
+    """Hands memory that is free back to the machine: workers live on from operator to operator."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
     """Slices of a batch with about ``most`` bytes of text each (one text at least)."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -160,3 +170,4 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    released()

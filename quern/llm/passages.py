@@ -41,6 +41,7 @@ from ._words import Words, mix, pieces, shingles
 PHRASE = 4
 BUNDLE_BYTES = 2 << 20
 HOT, HOT_KEYS = 5_000, 100_000
+PIECE = 2 << 20  # bytes of text at a time
 
 
 class Anchors:
@@ -91,7 +92,7 @@ def gathered(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array
 def _anchor_rows(window: int):
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 w = Words(part.column("text"))
                 a = Anchors(w, window)
                 if not len(a.at):
@@ -118,7 +119,7 @@ def _packed(batches):
     """Documents as one space-joined, compressed value each."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE):
             w = Words(part.column("text"))
             data = [pack(w.span(w.first[i], w.first[i + 1])) for i in range(len(part))]
             yield pa.RecordBatch.from_arrays([part.column("bundle"), part.column("k1"), part.column("k2"), pa.array(data, pa.binary())], ["bundle", "k1", "k2", "data"])
@@ -227,7 +228,7 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
 def _removed(window: int, fields: list[str]):
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 col = part.column("text")
                 w = Words(col)
                 gone = np.zeros(w.n + 1, np.int64)
