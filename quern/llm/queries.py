@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, lm, minhash, mixing, multi_index, nbest, passages, quality, token_counts, warc
+from . import centroids, kdtree, lm, minhash, mixing, multi_index, nbest, passages, quality, simhash, spelling, token_counts, warc
 from ._scratch import new_path, table
 
 
@@ -57,6 +57,22 @@ def op9_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its fingerprint and its group."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector: its cluster after ten rounds."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a word: its count, near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +86,9 @@ QUERIES = {
         op8_sentencepiece_nbest,
         op9_kdtree_top_k,
         op10_minhash_near_dedup,
+        op11_simhash_near_dedup,
+        op12_centroid_clustering,
+        op13_spelling_variants,
     )
 }
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
