@@ -91,6 +91,29 @@ QUERIES = {
         op13_spelling_variants,
     )
 }
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assignment and exact means, one after the other; a mean is floor(sum / count) for sums below zero too."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+             WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "f AS (SELECT v, sha256('3:' || vec_id) AS lot FROM v ORDER BY lot NULLS LAST, v LIMIT 8)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY lot NULLS LAST, v) - 1 AS c, v FROM f)",
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"d{t} AS (SELECT r, c, list_sum(list_transform(list_zip(v.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{t} AS k)")
+        steps.append(f"a{t} AS MATERIALIZED (SELECT r, min((d, c)) AS m FROM d{t} GROUP BY r)")
+        if t < rounds:
+            steps.append(f"e{t} AS (SELECT m[2] AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{t} JOIN v USING (r))")
+            steps.append(f"g{t} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{t} GROUP BY c, i)")
+            steps.append(f"n{t} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM g{t} GROUP BY c)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT k.c, coalesce(n.v, k.v) AS v FROM c{t} AS k LEFT JOIN n{t} AS n USING (c))")
+    steps.append(f"z AS (SELECT r, vec_id, CAST(m[2] AS INTEGER) AS cluster, CAST(m[1] AS BIGINT) AS distance FROM a{rounds} JOIN v USING (r))")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(k.v, ',')) AS centroid_sha256 FROM z JOIN c{rounds} AS k ON k.c = cluster"""
+
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,6 +153,23 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_centroid_clustering": _lloyd(10),
+    # CRC-32 byte by byte with its table of 256; near words share a pattern with one letter open, or one is the other less a letter
+    "op13_spelling_variants": """
+        WITH RECURSIVE t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(i))),
+        u AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+        d AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM u GROUP BY ALL),
+        b AS (SELECT w, n, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END FOR c IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, '')]) AS v FROM d),
+        h AS (SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), v), lambda a, x: xor(a // 256, t[CAST(xor(a, x) % 256 AS INTEGER) + 1])), 4294967295) AS h FROM b, t),
+        s AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM h),
+        k AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+        x AS MATERIALIZED (SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS z FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM k)),
+        p AS (SELECT q.word, r.word AS other, r.n AS m FROM x AS q JOIN x AS r ON q.i = r.i AND q.a = r.a AND q.z = r.z AND q.word <> r.word
+              UNION SELECT q.word, r.word, r.n FROM x AS q JOIN k AS r ON r.word = q.a || q.z UNION SELECT r.word, q.word, q.n FROM x AS q JOIN k AS r ON r.word = q.a || q.z),
+        o AS (SELECT word, count(*) AS n_near, max(m) AS best FROM p GROUP BY 1),
+        f AS MATERIALIZED (SELECT k.word, k.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 2 * k.n THEN (SELECT min(other) FROM p WHERE p.word = k.word AND p.m = best) END AS form, CASE WHEN best >= 2 * k.n THEN best END AS form_n FROM k LEFT JOIN o USING (word)),
+        e AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, e.root FROM f JOIN e ON f.form = e.word)
+        SELECT f.word, f.form, e.root, f.n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN e USING (word)""",
     "op10_minhash_near_dedup": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
