@@ -38,10 +38,15 @@ def since(rows: DataFrame, at: str, mark: Column, overlap_days: int, done: DataF
 
 
 def moves(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
-    """(was, now): keys that vanished whose content appears under a key not seen before; least keys pair up."""
-    gone = old.join(new.select(key), key, "left_anti").groupBy(digest).agg(F.min(key).alias("was"))
-    come = new.join(old.select(key), key, "left_anti").groupBy(digest).agg(F.min(key).alias("now"))
-    return gone.join(come, digest).select("was", "now")
+    """(was, now, change) of keys that vanished or are new: moved where the same content did both, else pruned or new.
+
+    Copies of one content pair up in the order of their keys; what is left over is pruned or new.
+    """
+    nth = F.row_number().over(Window.partitionBy(digest).orderBy(key))
+    gone = old.join(new.select(key), key, "left_anti").select(digest, F.col(key).alias("was"), nth.alias("nth"))
+    come = new.join(old.select(key), key, "left_anti").select(digest, F.col(key).alias("now"), nth.alias("nth"))
+    change = F.when(F.col("now").isNull(), "pruned").when(F.col("was").isNull(), "new").otherwise("moved")
+    return gone.join(come, [digest, "nth"], "full_outer").select("was", "now", change.alias("change"))
 
 
 def late_days(stored: DataFrame, fresh: DataFrame, at: str) -> DataFrame:

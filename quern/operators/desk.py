@@ -100,21 +100,29 @@ def direction(incoming: Column, answered: Column, seconds: Column) -> Column:
     return F.when(~answered & (seconds == 0), "missed").when(incoming, "in").otherwise("out")
 
 
-def at_rank(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], name: str, bins: int = 4096) -> DataFrame:
-    """(keys, name): the value at a rank (from 0) of the ordered values of each key.
+def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], bins: int = 4096) -> DataFrame:
+    """(keys, and a column a name): the values at ranks (from 0) of the ordered values of each key.
 
-    Values are counted in ``bins`` ranges of each key; only the range that holds the rank is ordered, so no task orders
-    all values of a key.
+    Values are counted in ``bins`` ranges of each key; only the ranges that hold a rank are ordered, so no task orders all
+    values of a key.
     """
-    rows = rows.where(F.col(value).isNotNull())
-    span = rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_n")).withColumn("_at", rank(F.col("_n")))
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
+    span = rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_n"))
     place = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0) * bins)).cast("int")
-    counted = rows.join(span, keys).withColumn("_bin", place).groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
+    binned = rows.join(span, keys).withColumn("_bin", place)
+    counted = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
     upto = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")))  # bins rows a key
-    wanted = upto.join(span, keys).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c"))).select(*keys, F.col("_bin").alias("_wanted"), (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_skip"))
-    inside = rows.join(span, keys).withColumn("_bin", place).join(wanted, keys).where("_bin = _wanted").groupBy(*keys, value, "_skip").agg(F.count("*").alias("_c"))
-    ranked = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy(value)))
-    return ranked.where((F.col("_skip") < F.col("_upto")) & (F.col("_skip") >= F.col("_upto") - F.col("_c"))).select(*keys, F.col(value).alias(name))
+    asked = span.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("_n")).alias("_at")) for name, rank in ranks.items()])).alias("_x")).select(*keys, "_x.*")
+    wanted = upto.join(asked, keys).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c"))).select(*keys, "_name", "_bin", (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_skip"))
+    inside = binned.join(wanted, [*keys, "_bin"]).groupBy(*keys, "_name", "_skip", value).agg(F.count("*").alias("_c"))
+    ranked = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy(value)))
+    found = ranked.where((F.col("_skip") < F.col("_upto")) & (F.col("_skip") >= F.col("_upto") - F.col("_c")))
+    return found.groupBy(*keys).pivot("_name", list(ranks)).agg(F.first(value))
+
+
+def at_rank(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], name: str, bins: int = 4096) -> DataFrame:
+    """(keys, name): the value at one rank."""
+    return at_ranks(rows, keys, value, {name: rank}, bins)
 
 
 def spent(rows: DataFrame, key: str, day: str, cost: str) -> DataFrame:
@@ -160,15 +168,42 @@ def verdict(base: Column, ablated: Column, n: Column, tolerance: float, loss: fl
     return F.when(n < least, "INCONCLUSIVE").when(ablated >= base - tolerance, "RETIRE").when(ablated < base - loss, "KEEP").otherwise("REVIEW")
 
 
-def watched(jobs: DataFrame, made: DataFrame, now: str) -> DataFrame:
-    """(job, kind, expected, state) of jobs (job, kind, hour) and their newest artefacts (job, made)."""
+GRACE, SLACK = 180, 30  # minutes
+
+
+def last_fire(now: Column) -> Column:
+    """The last run that a schedule (kind, hours, minute, weekday) expected three hours before ``now`` or earlier; null for intervals.
+
+    daily and weekdays (Saturday and Sunday go back to Friday) fire at hours[0]:minute, weekly on ``weekday`` (0 is Monday),
+    times at each of hours.
+    """
+    cutoff = now - F.make_dt_interval(mins=F.lit(GRACE))
+    day = F.date_trunc("day", cutoff).cast("timestamp_ntz")
+    fire = lambda hour: day + F.make_dt_interval(F.lit(0), hour, F.coalesce("minute", F.lit(0)))
+    back = lambda at, days: at - F.make_dt_interval(days)
+    by_cutoff = lambda at: F.when(at > cutoff, back(at, F.lit(1))).otherwise(at)
+    daily = by_cutoff(fire(F.get("hours", F.lit(0))))
+    weekly = back(daily, F.pmod(F.weekday(daily) - F.col("weekday"), F.lit(7)))
+    times = F.array_max(F.transform("hours", lambda h: by_cutoff(day + F.make_dt_interval(F.lit(0), h))))
+    return (
+        F.when(F.col("kind") == "daily", daily).when(F.col("kind") == "weekdays", back(daily, F.greatest(F.weekday(daily) - 4, F.lit(0))))
+        .when(F.col("kind") == "weekly", weekly).when(F.col("kind") == "times", times)
+    )
+
+
+def watched(jobs: DataFrame, made: DataFrame, fed: DataFrame, now: str) -> DataFrame:
+    """(job, kind, expected, state) of jobs (job, kind, hours, minute, weekday, every, gated), their newest artefacts (job, made) and the days (job, day) with input.
+
+    missing without any artefact, stale if the newest is older than the last expected run less half an hour, or than twice
+    ``every`` hours and the grace for an interval. A gated job without input on the expected day is ok.
+    """
     at = F.lit(now).cast("timestamp_ntz")
-    hours = lambda day: F.date_trunc("day", day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour"))
-    today = hours(at)
-    ready = F.when(today + F.expr("interval 3 hours") <= at, today).otherwise(today - F.expr("interval 1 day"))
-    monday = hours(F.date_trunc("week", at))
-    rows = jobs.withColumn("expected", F.when(F.col("kind") == "weekly", monday).otherwise(ready)).join(made, "job", "left")
-    state = F.when(F.col("made") >= F.col("expected") - F.expr("interval 30 minutes"), "ok").when(F.col("kind") == "data", "ok (no data)").when(F.col("made").isNull(), "never").otherwise("late")
+    rows = jobs.withColumn("expected", last_fire(at)).join(made, "job", "left").withColumn("_day", F.to_date("expected"))
+    rows = rows.join(fed.select("job", F.col("day").alias("_day"), F.lit(True).alias("_fed")).distinct(), ["job", "_day"], "left")
+    age = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("made").cast("timestamp"))) / 3.6e9
+    excused = F.coalesce(F.col("gated"), F.lit(False)) & F.col("expected").isNotNull() & F.col("_fed").isNull()
+    late = F.when(F.col("kind") == "interval", age > 2 * F.col("every") + GRACE / 60).otherwise(F.col("made") < F.col("expected") - F.make_dt_interval(mins=F.lit(SLACK)))
+    state = F.when(F.col("made").isNull(), F.when(excused, "ok").otherwise("missing")).when(late & ~excused, "stale").otherwise("ok")
     return rows.select("job", "kind", "expected", state.alias("state"))
 
 

@@ -107,6 +107,9 @@ _jsonl = lambda c, ok: F.forall(F.split(c, "\n"), lambda x: (F.trim(x) == "") |
 _json = lambda x: F.get_json_object(x, "$").isNotNull()
 _section = lambda c, p: F.regexp_extract(c, rf"(?sm)^{p}[^\n]*\n(.*?)(?=^#|\z)", 1)
 
+#: fixed values: marks of a text that was cut
+TRUNCATED = r"\[truncated\]|\[TRUNCATED\]|\.\.\.\s*\(truncated|…\s*\(truncated"
+
 CHECKS = {
     "file_exists": lambda f, p: F.coalesce(F.length(f["content"]) > 0, F.lit(False)),
     "file_fresh": lambda f, p: f["age_hours"] <= p["max_age_hours"],
@@ -121,7 +124,7 @@ CHECKS = {
     "regex_all": lambda f, p: _every([f["content"].rlike(f"(?m){x}") for x in p["patterns"]]),
     "regex_absent": lambda f, p: ~f["content"].rlike(f"(?m){p['pattern']}"),
     "no_em_dashes": lambda f, p: ~f["content"].contains("—"),
-    "no_truncation_markers": lambda f, p: ~f["content"].rlike(p.get("pattern", r"(?i)\[truncated\]|\.\.\. ?\[\+?\d+|\(truncated\)")),
+    "no_truncation_markers": lambda f, p: ~f["content"].rlike(p.get("pattern", TRUNCATED)),
     "counts_equal": lambda f, p: _count(f["content"], p["pattern_a"]) == _count(f["content"], p["pattern_b"]),
     "frontmatter_count_matches": lambda f, p: F.coalesce(_field(f["content"], p["field"]).try_cast("int") == _count(f["content"], p["pattern"]), F.lit(False)),
     "numbered_list_max": lambda f, p: f["content"].rlike(f"(?m)^{p['section']}") & (_count(_section(f["content"], p["section"]), r"^\d+\.\s") <= p["max"]),

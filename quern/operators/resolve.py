@@ -1,6 +1,7 @@
 """Who is who and what is the same: similarities, tiers, duplicate groups.
 
-The sequence ratio is Python's; it runs on blocked pairs only, batch by batch.
+The sequence ratio is Python's; it runs, batch by batch, on pairs that bounds
+of the ratio leave (``alike``). No pair at a threshold is lost.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import alike
+
 #: fixed values
 MERGE, REVIEW, SAME_TASK, SUBSET, PARTNER = 0.96, 0.75, 0.72, 0.85, 0.03
-COMMON = 1000
 
 
 def names_alike(a: str, b: str) -> float:
@@ -27,12 +29,15 @@ def names_alike(a: str, b: str) -> float:
     return max(SequenceMatcher(None, x, y).ratio(), part)
 
 
+def shared_tokens(p: set[str], q: set[str]) -> float:
+    """The better of Jaccard and weighted containment."""
+    both = len(p & q)
+    return max(both / len(p | q), SUBSET * both / min(len(p), len(q))) if p and q else 0.0
+
+
 def texts_alike(a: str, b: str, p: set[str], q: set[str]) -> float:
     """The best of sequence ratio, Jaccard and containment of the token sets."""
-    both = len(p & q)
-    jaccard = both / len(p | q) if p | q else 0.0
-    contained = SUBSET * both / min(len(p), len(q)) if p and q else 0.0
-    return max(SequenceMatcher(None, a, b).ratio(), jaccard, contained)
+    return max(SequenceMatcher(None, a, b).ratio(), shared_tokens(p, q))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -40,27 +45,30 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([names_alike(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def text_similarity(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
-    return pd.Series([texts_alike(x, y, set(v), set(w)) for x, y, v, w in zip(a, b, p, q, strict=True)], dtype="float64")
-
-
 def tier(score: Column) -> Column:
     return F.when(score >= MERGE, "merge").when(score >= REVIEW, "review").otherwise("create")
 
 
 def candidates(fresh: DataFrame, known: DataFrame, top: int = 3) -> DataFrame:
-    """(id, match, score) of fresh tasks (id, owner, counterparty, text, tokens) with open known ones of their owner that share a token."""
-    a = fresh.select("id", "owner", "counterparty", "text", "tokens", F.explode("tokens").alias("t"))
-    b = known.select(F.col("id").alias("match"), "owner", F.col("counterparty").alias("c"), F.col("text").alias("x"), F.col("tokens").alias("w"), F.explode("tokens").alias("t"))
-    pairs = a.join(b, ["owner", "t"]).where("id <> match").dropDuplicates(["id", "match"])
-    base = text_similarity("text", "x", "tokens", "w")
-    score = F.round(F.least(F.lit(1.0), base + F.when(F.col("counterparty") == F.col("c"), PARTNER).otherwise(0.0)), 3)
-    found = pairs.withColumn("score", score).where(F.col("score") >= SAME_TASK)
+    """(id, match, score) of fresh tasks (id, counterparty, text, tokens) with open known ones: the ``top`` best.
+
+    Fresh tasks are the stated queries. All known ones are compared, whoever owns them; the same counterparty adds a
+    little. Empty texts match nothing.
+    """
+    least = SAME_TASK - PARTNER - 0.0005  # before the score is rounded
+
+    def score(a, b, ratio):
+        (_, p), (_, q) = a, b
+        return max(ratio or 0.0, shared_tokens(p, q)) if a[0] and b[0] else 0.0
+
+    partner = lambda d, id_, name: d.select(F.col("id").cast("long").alias(id_), F.lower(F.trim(F.col("counterparty").cast("string"))).alias(name))
+    found = alike.scanned(fresh, known, score, least).join(partner(fresh, "id", "_p"), "id").join(partner(known, "match", "_q"), "match")
+    same = (F.col("_p") == F.col("_q")) & (F.col("_q") != "")
+    score_ = F.round(F.when(same, F.least(F.lit(1.0), F.col("score") + PARTNER)).otherwise(F.col("score")), 3)
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "match"))
-    return found.withColumn("_n", rank).where(F.col("_n") <= top).select("id", "match", "score")
+    return found.withColumn("score", score_).where(F.col("score") >= SAME_TASK).withColumn("_n", rank).where(F.col("_n") <= top).select("id", "match", "score")
 
 
 def stars(ids: list, alike) -> list[list]:
@@ -92,19 +100,53 @@ def duplicate_groups(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("owner", "counterparty").applyInPandas(run, f"owner {own}, counterparty {other}, keep {kind}, cancel {kind}")
 
 
+def folded(name: str) -> Column:
+    """Case and space folded, as names are compared."""
+    return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+
+
+def near_names(names: DataFrame, known: DataFrame, least: float = REVIEW) -> DataFrame:
+    """(id, known, score): the best of known ones (known, known_name) for each name (id, name) that reaches ``least``, ties to the smaller known.
+
+    Equal folded names are compared once, on either side.
+    """
+    a, b = names.withColumn("a", folded("name")).where("a <> ''"), known.withColumn("b", folded("known_name")).where("b <> ''")
+    left, right = a.select("a").distinct(), b.groupBy("b").agg(F.min("known").alias("known"))
+    pairs = alike.near_texts(left, right, least).union(alike.near_words(left, right)).distinct()
+    scored = pairs.withColumn("score", name_similarity("a", "b")).where(F.col("score") >= least)
+    best = scored.join(right, "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("less"), "known")).alias("m"))
+    return a.join(best, "a").select("id", F.col("m.known").alias("known"), F.round(-F.col("m.less"), 6).alias("score"))
+
+
 def placed(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, known, score, tier) of names (id, name) against known ones (known, known_name): the best of those that share a word; without any, create.
+    """(id, known, score, tier) of names (id, name) against all known ones (known, known_name): the best at REVIEW or more, else create."""
+    return names.select("id").join(near_names(names, known), "id", "left").withColumn("tier", F.coalesce(tier(F.col("score")), F.lit("create")))
+
+
+def registered(names: DataFrame, known: DataFrame, aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, person, known): names (id, name, kind) of persons that the registry's aliases (alias, person) know for one person only.
+
+    known: that person's first node by nodes (person, known, at) that still is among ``known``; null where there is none.
+    """
+    people = names.where(F.lower(F.trim("kind")) == "person").select("id", F.lower(F.trim("name")).alias("n"))
+    one = aliases.select(F.lower("alias").alias("n"), "person").distinct().groupBy("n").agg(F.min("person").alias("person"), F.count("*").alias("k")).where("k = 1").drop("k")
+    first = nodes.join(known.select("known"), "known", "left_semi").groupBy("person").agg(F.min_by("known", F.struct("at", "known")).alias("known"))
+    return people.join(one, "n").join(first, "person", "left").select("id", "person", "known")
+
+
+def entity_actions(names: DataFrame, known: DataFrame, aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, action, known, score, person, links) of names (id, name, kind) to be written to a graph.
 
-    Blocked by words, so a word that stands in every name makes many pairs: words of over ``COMMON`` known names block
-    only together with the next word.
+    The registry comes first: a person it knows by a node that exists is that node. Others go by similarity:
+    updated_existing (1), merged_high_similarity (MERGE or more), queued_for_review (REVIEW or more: nothing is written),
+    created. ``links`` says that the registry learns the node of a person it knows.
     """
-    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
-    pairs_of = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words(c)) - 1)), lambda i: F.concat_ws(" ", F.get(words(c), i - 1), F.get(words(c), i)))
-    held = known.withColumn("w", F.explode(words("known_name")))
-    common = held.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("w", F.lit(True).alias("common"))
-    single = lambda rows, c: rows.withColumn("w", F.explode(words(c))).join(common, "w", "left").where("common is null").drop("common")
-    double = lambda rows, c: rows.withColumn("w", F.explode(pairs_of(c)))
-    near = single(names, "name").join(single(known, "known_name"), "w").union(double(names, "name").join(double(known, "known_name"), "w"))
-    scored = near.dropDuplicates(["id", "known"]).withColumn("score", name_similarity("name", "known_name"))
-    best = scored.groupBy("id").agg(F.max(F.struct("score", -F.col("known"))).alias("b")).select("id", (-F.col("b.col2")).alias("known"), F.round("b.score", 6).alias("score"))
-    return names.select("id").join(best, "id", "left").withColumn("tier", F.coalesce(tier(F.col("score")), F.lit("create")))
+    by_registry = registered(names, known, aliases, nodes)
+    rows = names.select("id").join(by_registry.select("id", "person", F.col("known").alias("_r")), "id", "left").join(near_names(names, known), "id", "left")
+    score = F.when(F.col("_r").isNull(), F.col("score"))
+    action = (
+        F.when(F.col("_r").isNotNull(), "resolved_via_registry").when(score == 1, "updated_existing").when(score >= MERGE, "merged_high_similarity")
+        .when(score >= REVIEW, "queued_for_review").otherwise("created")
+    )
+    links = F.col("_r").isNull() & F.col("person").isNotNull() & (F.coalesce(score, F.lit(0.0)) >= MERGE) | F.col("_r").isNull() & F.col("person").isNotNull() & score.isNull()
+    return rows.select("id", action.alias("action"), F.coalesce("_r", "known").alias("known"), score.alias("score"), "person", links.alias("links"))

@@ -71,39 +71,53 @@ def reranked(score: Column, recency: Column, importance: Column) -> Column:
     return score + recency + 0.5 * (F.coalesce(importance, F.lit(0.5)) - 0.5)
 
 
-def blocked(rows: DataFrame, queries: DataFrame, use: Callable, schema: str, blocks: int = 8) -> DataFrame:
-    """What ``use`` makes of each block of queries (id, v, label) and each batch of rows (id, v, label), vectors as unit rows of matrices.
+def dealt(rows: DataFrame, queries: DataFrame, use: Callable, read: Callable, schema: str, block: int) -> DataFrame:
+    """What ``use`` makes of each block of queries and each batch of rows, tables of the same columns with an ``id``.
 
-    Queries are dealt into ``blocks`` and rows into as many chunks as there are shuffle partitions; a task holds one block
-    and streams the rows of one chunk past it.
+    Queries are dealt into blocks of about ``block``, however many there are, and rows into as many chunks as there are
+    shuffle partitions; a task holds one block and streams the rows of one chunk past it. ``read`` makes lists or arrays
+    of a batch; those of a block are strung together.
     """
     chunks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    given = [F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label")]
-    asking = queries.select(spread(chunks).alias("chunk"), dealt("id", blocks).alias("block"), F.lit(0).alias("kind"), *given)
-    both = asking.union(rows.select(dealt("id", chunks).alias("chunk"), spread(blocks).alias("block"), F.lit(1).alias("kind"), *given))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    by_id = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    blocks = F.broadcast(queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("_blocks")))  # one row
+    given = [F.col(c) for c in rows.columns]
+    asking = queries.crossJoin(blocks).select(spread(F.lit(chunks)).alias("_chunk"), by_id(F.col("_blocks")).alias("_block"), F.lit(0).alias("_kind"), *given)
+    both = asking.union(rows.crossJoin(blocks).select(by_id(F.lit(chunks)).alias("_chunk"), spread(F.col("_blocks")).alias("_block"), F.lit(1).alias("_kind"), *given))
 
-    def unit(col: pa.Array) -> np.ndarray:
-        x = np.asarray(col.flatten()).reshape(len(col), -1)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    def strung(parts: list):
+        return np.concatenate(parts) if isinstance(parts[0], np.ndarray) else [x for p in parts for x in p]
 
     def run(batches):
-        key, held = None, []
+        key, held, block_of = None, [], None
         for batch in batches:
             places = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
             cut = (np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist() if len(batch) else []
             for i, j in zip([0, *cut], [*cut, len(batch)], strict=True) if len(batch) else ():
-                part = batch.slice(i, j - i)
-                matrix = (np.asarray(part.column(3)), unit(part.column(4)), np.asarray(part.column(5)))
+                part = read(batch.slice(i, j - i))
                 if tuple(places[i, :2]) != key:
-                    key, held = tuple(places[i, :2]), []
+                    key, held, block_of = tuple(places[i, :2]), [], None
                 if places[i, 2] == 0:
-                    held.append(matrix)
+                    held.append(part)
                 elif held:
-                    yield from use([np.concatenate(x) for x in zip(*held, strict=True)], matrix)
+                    block_of = block_of or [strung(x) for x in zip(*held, strict=True)]
+                    yield from use(block_of, part)
 
-    return both.repartition("chunk", "block").sortWithinPartitions("chunk", "block", "kind").mapInArrow(run, schema)
+    return both.repartition("_chunk", "_block").sortWithinPartitions("_chunk", "_block", "_kind").mapInArrow(run, schema)
+
+
+def blocked(rows: DataFrame, queries: DataFrame, use: Callable, schema: str, block: int = 2048) -> DataFrame:
+    """``dealt`` over (id, v, label), vectors as unit rows of matrices."""
+    given = lambda d: d.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
+
+    def read(part: pa.RecordBatch):
+        v = part.column(part.schema.get_field_index("v"))
+        x = np.asarray(v.flatten()).reshape(len(v), -1)
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return np.asarray(part.column(part.schema.get_field_index("id"))), unit, np.asarray(part.column(part.schema.get_field_index("label")))
+
+    return dealt(given(rows), given(queries), use, read, schema, block)
 
 
 def nearest_labels(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -135,3 +149,14 @@ def own_rank(rows: DataFrame, queries: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(nearer.sum(axis=1))], ["id", "n"])
 
     return blocked(rows, queries, counted, "id long, n long").groupBy("id").agg((F.sum("n") + 1).alias("rank"))
+
+
+def with_facts(entities: DataFrame, key: str, edges: DataFrame, limit: int) -> DataFrame:
+    """entities with their first ``limit`` facts (id, src, dst) by id, in either direction; entities without facts stay.
+
+    ``entities`` is a search's result, so it is sent to the facts.
+    """
+    both = lambda own, other, direction: edges.select(F.col(own).alias(key), "id", F.col(other).alias("other"), F.lit(direction).alias("direction"))
+    facts = both("src", "dst", "outgoing").union(both("dst", "src", "incoming")).join(F.broadcast(entities.select(key)), key)  # a search's result
+    first = facts.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("id", "direction"))).where(F.col("_nth") <= limit).drop("_nth")
+    return entities.join(first, key, "left")

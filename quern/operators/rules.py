@@ -123,6 +123,11 @@ def suspects(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     return docs.where(F.col(text).rlike(pattern))
 
 
+def hint(terms: tuple = ()) -> str:
+    """A quick pattern that every text with a finding of PERSONAL, an assignment, a known phone number or one of the terms has."""
+    return "|".join([r"[@0-9=:]|/(?:Users|home|var)/|-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[baprs]-|sk-|AIza|eyJ|[A-Za-z0-9+/]{40}|(?i:bearer|authorization)", *[f"(?i:{term})" for term, _ in terms]])
+
+
 def findings(rows: DataFrame, rules: tuple = PERSONAL, allow: tuple = (), terms: tuple = (), phones: tuple = ()) -> DataFrame:
     """A row (rule, class, severity, found) for each match of each rule in each line.
 
@@ -133,6 +138,8 @@ def findings(rows: DataFrame, rules: tuple = PERSONAL, allow: tuple = (), terms:
     def listed(name: str, kind: str, severity: str, matches: Column) -> Column:
         return F.transform(matches, lambda m: F.struct(F.lit(name).alias("rule"), F.lit(kind).alias("class"), F.lit(severity).alias("severity"), m.alias("found")))
 
+    if rules is PERSONAL:
+        rows = rows.where(F.col("content").rlike(hint(terms)))
     every = lambda p, group=0: F.regexp_extract_all("content", F.lit(p), F.lit(group))
     found = []
     for name, kind, severity, pattern in rules:
@@ -182,8 +189,12 @@ def bulk_mail(address: Column, subject: Column, body: Column, allowed: tuple = (
 
 
 #: fixed values: what makes a finding of a scan noise, and the classes that gate at any severity
-PLACEHOLDER_ADDRESS = r"(?i)@(?:[A-Za-z0-9\-]+\.)*example\.(?:com|net|org)$|^(?:noreply|no-reply|do-not-reply|donotreply|your[-_.]?email)\b"
-NO_LITERAL = r"(?i)[()\[\]{}$]|[A-Za-z_]\w*\.[A-Za-z_]|\b(?:env|getenv|environ|os|self|resp|req|creds?|flow|token_getter|tempfile|path|strftime|process\.env|get|json)\b|changeme|xxxx|redacted|your[-_]|example|<[^>]*>|\.\.\."
+RESERVED_ADDRESS = ("reserved domain", r"(?i)@(?:[A-Za-z0-9\-]+\.)*example\.(?:com|net|org)$")
+PLACEHOLDER_NAME = ("placeholder local part", r"(?i)^(?:noreply|no-reply|do-not-reply|donotreply|your[-_.]?email)\b")
+EXPRESSION = ("signs of an expression", r"(?i)[()\[\]{}$]")
+DOTTED = ("dotted name", r"(?i)[A-Za-z_]\w*\.[A-Za-z_]")
+REFERENCE = ("words of a reference", r"(?i)\b(?:env|getenv|environ|os|self|resp|req|creds?|flow|token_getter|tempfile|path|strftime|process\.env|get|json)\b")
+PLACEHOLDER = ("placeholder", r"(?i)changeme|xxxx|redacted|your[-_]|example|<[^>]*>|\.\.\.")
 SAFE_BINARIES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".mp4", ".mov", ".webm", ".wav", ".mp3", ".m4a")
 HEURISTIC = ("Secret-like key=value assignment", "High-entropy secret assignment")
 ALWAYS_GATE = ("machine_specific",)
@@ -192,11 +203,12 @@ ALWAYS_GATE = ("machine_specific",)
 def noise() -> Column:
     """Whether a finding (class, rule, found, file, context) is sanctioned noise."""
     kind, found = F.col("class"), F.col("found")
-    value = F.regexp_extract(found, r"[=:]\s*['\"]?(.*?)['\"]?$", 1)
+    right = F.when(found.contains("="), F.regexp_extract(found, r"(?s)^[^=]*=(.*)$", 1)).when(found.contains(":"), F.regexp_extract(found, r"(?s)^[^:]*:(.*)$", 1)).otherwise(found)
+    value = F.regexp_replace(F.trim(right), r"^['\"]+|['\"]+$", "")
     extension = F.lower(F.regexp_extract(found, r"\.[^.]*$", 0))
     return (
-        F.when(kind == "email", found.rlike(PLACEHOLDER_ADDRESS))
-        .when((kind == "credential") & F.col("rule").isin(*HEURISTIC), value.rlike(NO_LITERAL))
+        F.when(kind == "email", found.rlike(any_of((RESERVED_ADDRESS, PLACEHOLDER_NAME))))
+        .when((kind == "credential") & F.col("rule").isin(*HEURISTIC), value.rlike(any_of((EXPRESSION, DOTTED, REFERENCE, PLACEHOLDER))))
         .when(kind == "binary_unverified", extension.isin(*SAFE_BINARIES))
         .when(kind == "person_name", F.upper("file").startswith("LICENSE") & F.lower("context").contains("copyright"))
         .otherwise(False)

@@ -1,16 +1,5 @@
-"""Folders for queries that read what they have written: below the shared folder where one is named."""
+"""Folders for queries that read what they have written."""
 
-from __future__ import annotations
+from ..tables import new_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    master = spark.sparkContext.master
-    if not shared and master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quern-')).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+__all__ = ["new_folder"]

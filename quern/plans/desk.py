@@ -194,10 +194,10 @@ def ledger_split(t):
     return desk.split_ledger(_owed(t), F.lit("1998-07-29").cast("date")).select("id", "side", "age")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, o_orderstatus AS s, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderdate AS DATE) END AS due FROM orders WHERE o_orderkey % 3 = 0) SELECT id, CASE WHEN s = 'O' AND due <= DATE '1997-01-01' THEN 'intention' ELSE 'deferred' END AS type, s = 'O' AND due <= DATE '1997-01-01' IS TRUE AS woken FROM i""")
+@query("""WITH i AS (SELECT o_orderkey AS id, o_orderstatus AS s, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderdate AS DATE) END AS due FROM orders) SELECT id, CASE WHEN s = 'O' AND due <= DATE '1997-01-01' THEN 'intention' ELSE 'deferred' END AS type, s = 'O' AND due <= DATE '1997-01-01' IS TRUE AS woken FROM i""")
 def wake_deferred(t):
     """Deferred items that have fallen due become intentions."""
-    rows = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("deferred").alias("type"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"), F.when(F.col("o_orderkey") % 4 > 0, F.to_date("o_orderdate")).alias("due"))
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.lit("deferred").alias("type"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"), F.when(F.col("o_orderkey") % 4 > 0, F.to_date("o_orderdate")).alias("due"))
     return desk.woken(rows, F.lit("1997-01-01").cast("date")).select("id", "type", "woken")
 
 
@@ -219,18 +219,27 @@ def ablation_verdicts(t):
     return x.select("skill", desk.verdict(F.col("base"), F.col("ablated"), F.col("n"), 1.0, 5.0, 3).alias("verdict"))
 
 
-@query("""WITH j AS (SELECT n_nationkey AS job, CASE n_nationkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekday' WHEN 2 THEN 'weekly' ELSE 'data' END AS kind, 6 + n_nationkey % 12 AS hour FROM nation),
-  e AS (SELECT *, TIMESTAMP '2024-01-30 12:00:00' AS now, date_trunc('day', TIMESTAMP '2024-01-30 12:00:00') + hour * INTERVAL 1 HOUR AS today FROM j),
-  f AS (SELECT *, CASE WHEN kind = 'weekly' THEN TIMESTAMP '2024-01-29 00:00:00' + hour * INTERVAL 1 HOUR WHEN today + INTERVAL 3 HOUR <= now THEN today ELSE today - INTERVAL 1 DAY END AS expected FROM e),
-  m AS (SELECT user_id % 25 AS job, max(ts) AS made FROM events GROUP BY 1)
-  SELECT job, kind, expected, CASE WHEN made >= expected - INTERVAL 30 MINUTE THEN 'ok' WHEN kind = 'data' THEN 'ok (no data)' WHEN made IS NULL THEN 'never' ELSE 'late' END AS state FROM f LEFT JOIN m USING (job)""")
+_JOBS = """j AS (SELECT s_suppkey AS job, ['daily', 'weekdays', 'weekly', 'times', 'interval'][s_suppkey % 5 + 1] AS kind, CASE WHEN s_suppkey % 5 = 3 THEN [7, 12, 17] ELSE [6 + s_suppkey % 12] END AS hours, CASE WHEN s_suppkey % 5 = 3 THEN 0 ELSE s_suppkey % 4 * 15 END AS minute, s_suppkey % 7 AS weekday, 4 + s_suppkey % 40 AS every, s_suppkey % 3 = 0 AS gated FROM supplier),
+  n AS (SELECT TIMESTAMP '2024-01-28 12:00:00' AS now_, TIMESTAMP '2024-01-28 09:00:00' AS cut),
+  d AS (SELECT *, (SELECT max(CASE WHEN date_trunc('day', cut) + h * INTERVAL 1 HOUR + minute * INTERVAL 1 MINUTE > cut THEN date_trunc('day', cut) + h * INTERVAL 1 HOUR + minute * INTERVAL 1 MINUTE - INTERVAL 1 DAY ELSE date_trunc('day', cut) + h * INTERVAL 1 HOUR + minute * INTERVAL 1 MINUTE END) FROM (SELECT unnest(hours) AS h)) AS fire FROM j, n),
+  f AS (SELECT *, CASE kind WHEN 'interval' THEN NULL WHEN 'weekdays' THEN fire - greatest(isodow(fire) - 5, 0) * INTERVAL 1 DAY WHEN 'weekly' THEN fire - ((isodow(fire) - 1 - weekday + 7) % 7) * INTERVAL 1 DAY ELSE fire END AS expected FROM d),
+  m AS (SELECT event_id % 11 AS job, max(ts) AS made FROM events WHERE event_id % 11 > 1 GROUP BY 1), i AS (SELECT DISTINCT user_id % 13 AS job, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase')"""
+
+
+@query(f"""WITH {_JOBS}, x AS (SELECT f.*, made, gated AND expected IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i WHERE i.job = f.job AND i.day = CAST(expected AS DATE)) AS excused FROM f LEFT JOIN m USING (job))
+  SELECT job, kind, expected, CASE WHEN made IS NULL THEN CASE WHEN excused THEN 'ok' ELSE 'missing' END WHEN CASE WHEN kind = 'interval' THEN (epoch(now_) - epoch(made)) / 3600 > 2 * every + 3 ELSE made < expected - INTERVAL 30 MINUTE END AND NOT excused THEN 'stale' ELSE 'ok' END AS state FROM x""")
 def artifact_watchdog(t):
-    """Whether each job's artefact is there since its last expected run: three hours of grace, half an hour of slack, jobs fed by data excused."""
-    k = F.col("n_nationkey")
-    kind = F.when(k % 4 == 0, "daily").when(k % 4 == 1, "weekday").when(k % 4 == 2, "weekly").otherwise("data")
-    jobs = t.nation.select(k.cast("long").alias("job"), kind.alias("kind"), (6 + k % 12).alias("hour"))
-    made = t.events.groupBy((F.col("user_id") % 25).alias("job")).agg(F.max("ts").alias("made"))
-    return desk.watched(jobs, made, "2024-01-30 12:00:00")
+    """Whether each job's artefact is there since its last expected run, on a Sunday: five kinds of schedules, jobs fed by data excused."""
+    k = F.col("s_suppkey")
+    kind = F.get(F.array(*[F.lit(x) for x in ("daily", "weekdays", "weekly", "times", "interval")]), (k % 5).cast("int"))
+    times = k % 5 == 3
+    jobs = t.supplier.select(
+        k.cast("long").alias("job"), kind.alias("kind"), F.when(times, F.array(F.lit(7), F.lit(12), F.lit(17))).otherwise(F.array((6 + k % 12).cast("int"))).alias("hours"), F.when(times, 0).otherwise((k % 4 * 15).cast("int")).alias("minute"),
+        (k % 7).cast("int").alias("weekday"), (4 + k % 40).alias("every"), (k % 3 == 0).alias("gated"),
+    )
+    made = t.events.where("event_id % 11 > 1").groupBy((F.col("event_id") % 11).alias("job")).agg(F.max("ts").alias("made"))
+    fed = t.events.where("event_type = 'purchase'").select((F.col("user_id") % 13).alias("job"), F.to_date("ts").alias("day"))
+    return desk.watched(jobs, made, fed, "2024-01-28 12:00:00")
 
 
 @query("""WITH r AS (SELECT s_suppkey AS topic, CASE WHEN s_suppkey % 5 > 0 THEN date_diff('day', DATE '2024-01-01' - CAST(s_suppkey % 40 AS INTEGER), DATE '2024-01-01') / (7.0 + s_suppkey % 3) END AS ratio FROM supplier), k AS (SELECT topic, row_number() OVER (ORDER BY ratio DESC NULLS FIRST, topic) AS rank FROM r) SELECT topic, rank FROM k WHERE rank <= 50""")

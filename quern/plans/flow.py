@@ -74,14 +74,6 @@ def stream_once(t):
     return _ran(t, e.once(rows, "key", ttl="60 days").select("user_id", "event_type"))
 
 
-@query("""SELECT event_id FROM events WHERE event_id > 500 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR""")
-def replayed_rows(t):
-    """What a returning consumer gets: behind its cursor, and not too old."""
-    newest = t.events.agg(F.max("ts")).first()[0]  # one row
-    rows = t.events.select(F.col("event_id").alias("seq"), "ts")
-    return e.replayed(rows, 500, newest, 48).select(F.col("seq").alias("event_id"))
-
-
 @query("SELECT event_id FROM events WHERE event_id % 9 = 0 OR ts >= TIMESTAMP '2024-01-23 00:00:00'")
 def pruned_queue(t):
     """A queue without entries older than a week; unparseable ones stay."""

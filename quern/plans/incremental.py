@@ -69,14 +69,14 @@ def high_water_mark(t):
 
 
 @query("""WITH o AS (SELECT doc_id AS k, md5(text) AS h FROM documents),
-          n AS (SELECT doc_id + CASE WHEN doc_id % 6 = 0 THEN 1000000 ELSE 0 END AS k, md5(text) AS h FROM documents),
-          g AS (SELECT h, min(k) AS was FROM o WHERE k NOT IN (SELECT k FROM n) GROUP BY h),
-          c AS (SELECT h, min(k) AS now FROM n WHERE k NOT IN (SELECT k FROM o) GROUP BY h)
-          SELECT was, now FROM g JOIN c USING (h)""")
+          n AS (SELECT doc_id + CASE WHEN doc_id % 6 = 0 THEN 1000000 ELSE 0 END AS k, CASE WHEN doc_id % 18 = 0 THEN 'edited' ELSE md5(text) END AS h FROM documents),
+          g AS (SELECT h, k AS was, row_number() OVER (PARTITION BY h ORDER BY k) AS nth FROM o WHERE k NOT IN (SELECT k FROM n)),
+          c AS (SELECT h, k AS now, row_number() OVER (PARTITION BY h ORDER BY k) AS nth FROM n WHERE k NOT IN (SELECT k FROM o))
+          SELECT was, now, CASE WHEN now IS NULL THEN 'pruned' WHEN was IS NULL THEN 'new' ELSE 'moved' END AS change FROM g FULL JOIN c ON g.nth = c.nth AND g.h IS NOT DISTINCT FROM c.h""")
 def move_detection(t):
     d = t.documents
     old = d.select(F.col("doc_id").alias("k"), F.md5("text").alias("h"))
-    new = d.select((F.col("doc_id") + F.when(F.col("doc_id") % 6 == 0, 1000000).otherwise(0)).alias("k"), F.md5("text").alias("h"))
+    new = d.select((F.col("doc_id") + F.when(F.col("doc_id") % 6 == 0, 1000000).otherwise(0)).alias("k"), F.when(F.col("doc_id") % 18 == 0, "edited").otherwise(F.md5("text")).alias("h"))
     return change.moves(old, new, "k", "h")
 
 

@@ -89,7 +89,7 @@ def archive_plan(t):
     return t.documents.select("doc_id", plan.alias("plan")).where("plan is not null")
 
 
-_NOTES = """m AS (SELECT o_orderkey AS id, o_orderkey % 23 > 0 AS parses, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS until, o_orderkey % 7 = 0 AS volatile, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderdate AS DATE) END AS audited, o_orderkey % 19 = 0 AS superseded, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1 END AS link FROM orders WHERE o_orderkey % 2 = 0),
+_NOTES = """m AS (SELECT o_orderkey AS id, o_orderkey % 23 > 0 AS parses, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS until, o_orderkey % 7 = 0 AS volatile, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderdate AS DATE) END AS audited, o_orderkey % 19 = 0 AS superseded, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1 - o_orderkey % 2 * 100000000 END AS link FROM orders),
   i AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 > 0)"""
 
 
@@ -99,9 +99,9 @@ _NOTES = """m AS (SELECT o_orderkey AS id, o_orderkey % 23 > 0 AS parses, CASE W
 def memory_audit(t):
     """Each state of each note, and the index against the notes both ways."""
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    rows = t.orders.where("o_orderkey % 2 = 0").select(
+    rows = t.orders.select(
         k.alias("id"), (k % 23 > 0).alias("parses"), F.when(k % 3 == 0, F.date_add(day, 400)).alias("until"), (k % 7 == 0).alias("volatile"), F.when(k % 4 > 0, day).alias("audited"), (k % 19 == 0).alias("superseded"),
-        F.when(k % 11 == 0, F.array(k + 1)).otherwise(F.array().cast("array<bigint>")).alias("links"),
+        F.when(k % 11 == 0, F.array(k + 1 - k % 2 * 100000000)).otherwise(F.array().cast("array<bigint>")).alias("links"),
     )
     return keep.memory_states(rows, t.orders.where("o_orderkey % 5 > 0").select(k.alias("id")), F.lit("1997-06-01").cast("date"))
 
@@ -210,10 +210,10 @@ def diarisation_sidecar(t):
     return t.events.select("event_id", F.to_json(row).alias("sidecar"))
 
 
-@query("""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_max(CASE WHEN event_type = 'error' THEN NULL ELSE value END, event_id) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2) SELECT user_id, day, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day) AS gauge FROM (SELECT user_id, day, (SELECT e.value FROM events e WHERE e.user_id = g.user_id AND CAST(e.ts AS DATE) = g.day AND e.event_type <> 'error' ORDER BY e.event_id DESC LIMIT 1) AS v FROM g)""")
+@query("""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_max(CASE WHEN event_type = 'error' THEN NULL ELSE value END, event_id) AS v FROM events GROUP BY 1, 2) SELECT user_id, day, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day) AS gauge FROM (SELECT user_id, day, (SELECT e.value FROM events e WHERE e.user_id = g.user_id AND CAST(e.ts AS DATE) = g.day AND e.event_type <> 'error' ORDER BY e.event_id DESC LIMIT 1) AS v FROM g)""")
 def gauge_carry(t):
     """The gauge of a scope by day; a day of errors alone carries the last good one on."""
-    day = t.events.where("user_id % 2 = 0").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("value", F.when(F.col("event_type") != "error", F.col("event_id"))).alias("v"))
+    day = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("value", F.when(F.col("event_type") != "error", F.col("event_id"))).alias("v"))
     return day.select("user_id", "day", F.last("v", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("day")).alias("gauge"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators import memory as m
-from ..operators import resolve, retrieval
+from ..operators import guard, resolve, retrieval, segments
 from .registry import query
 
 _lit = lambda s: "'" + s.replace("'", "''") + "'"
@@ -57,9 +57,7 @@ def graph_query(t):
     """An ad-hoc reading query over nodes and edges as views, let through by the guard."""
     text = "SELECT src, count(*) AS facts FROM {edges} WHERE fact LIKE '1%' GROUP BY src HAVING count(*) > 2"
     edges = t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("fact"))
-    if not t.spark.range(1).select(m.read_only(F.lit(text))).first()[0]:  # one row
-        raise ValueError("only reading queries")
-    return t.spark.sql(text, edges=edges)
+    return guard.answered(t.spark, text, edges=edges)
 
 
 _MARKED = """(CASE conv_id % 9 WHEN 0 THEN '<system-reminder>' || text WHEN 1 THEN ' <b>' || text || '</b>' WHEN 2 THEN 'short' ELSE text END)"""
@@ -269,7 +267,8 @@ def usage_with_tools(t):
     return rows.crossJoin(F.broadcast(t.events.agg(F.count("*").alias("all_rows"))))  # one row
 
 
-_FOUND = " UNION ALL ".join(f"SELECT conv_id, turn, 'commitment' AS kind, unnest(regexp_extract_all(s, {_lit(p)}, 1)) AS found FROM p WHERE role = 'user'" for p in m.COMMITMENTS)
+_UNICODE = lambda p: p.replace(r"(\w[", r"([\p{L}\p{M}\p{N}_][").replace(r"\w", r"\p{L}\p{M}\p{N}_")
+_PROMISED = " UNION ALL ".join(f"SELECT conv_id, turn, 1 AS place, {n} AS p, unnest(range(1, len(v) + 1)) AS i, 'commitment' AS kind, substr(trim(string_split(string_split(unnest(v), '.')[1], chr(10))[1]), 1, 200) AS text FROM (SELECT *, regexp_extract_all(s, {_lit(_UNICODE(c))}) AS v FROM c WHERE role = 'user')" for n, c in enumerate(m.COMMITMENTS))
 _SPOKEN = """p AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN 'I''ll send the deck by Friday ok. ' WHEN 1 THEN 'NOTE: keep the key' || chr(10) WHEN 2 THEN 'remind me to call Ann on 2024-05-06. ' ELSE 'Well, let''s meet before Monday with Ann. ' END || text AS s FROM conversations)"""
 
 
@@ -279,16 +278,29 @@ def _spoken(t):
     return t.conversations.select("conv_id", "turn", "role", F.concat(lead, "text").alias("s"))
 
 
-@query(f"""WITH {_SPOKEN}, sent AS (SELECT conv_id, turn, unnest(regexp_extract_all(s, '[^.!?\\n]+[.!?]?')) AS x FROM p)
-  {_FOUND} UNION ALL SELECT conv_id, turn, 'note', unnest(regexp_extract_all(s, {_lit(m.NOTE)}, 1)) FROM p UNION ALL SELECT conv_id, turn, 'deadline', trim(x) FROM sent WHERE regexp_matches(x, {_lit(m.DEADLINE)}) AND regexp_matches(x, '\\b[A-Z][a-z]+')""")
+_CAPTURED = f"""{_SPOKEN}, c AS (SELECT conv_id, turn, role, s FROM (SELECT conv_id, turn, role, s AS raw, trim(s) AS s FROM p) WHERE length(raw) BETWEEN 10 AND 4000),
+  notes AS (SELECT conv_id, turn, 0 AS place, 0 AS p, unnest(range(1, len(v) + 1)) AS i, 'note' AS kind, regexp_replace(trim(unnest(v)), '[.]+$', '') AS text FROM (SELECT *, regexp_extract_all(s, {_lit(m.NOTE)}, 1) AS v FROM c)),
+  dates AS (SELECT conv_id, turn, 2 AS place, 0 AS p, unnest(range(1, len(v) + 1)) AS i, 'deadline' AS kind, unnest(v) AS text FROM (SELECT *, string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS v FROM c)),
+  x AS (SELECT * FROM notes WHERE length(text) >= 5 UNION ALL SELECT * FROM ({_PROMISED}) WHERE length(text) >= 8 UNION ALL SELECT * FROM dates WHERE length(text) BETWEEN 15 AND 300 AND regexp_matches(text, {_lit(m.DEADLINE)}) AND len(list_filter(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]{{2,}}\\b'), lambda w: w NOT IN {m.NOBODY})) > 0),
+  k AS (SELECT *, substr(sha256(lower(text)), 1, 16) AS key FROM x), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn, place, p, i) AS copy FROM k),
+  n AS (SELECT conv_id, turn, kind, trim(text) AS text, key, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, place, p, i) AS INTEGER) AS nth FROM f WHERE copy = 1)"""
+
+
+def _blocks(t):
+    return _spoken(t).select(F.col("conv_id").alias("conv"), "turn", "role", F.col("s").alias("text"))
+
+
+@query(f"WITH {_CAPTURED} SELECT conv_id, nth, turn, kind, text FROM n WHERE nth <= 40")
 def captured(t):
-    """Commitments of the user, notes of anyone, and sentences with a date and a name."""
-    p = _spoken(t)
-    each = lambda rows, kind, found: rows.select("conv_id", "turn", F.lit(kind).alias("kind"), F.explode(found).alias("found"))
-    every = lambda pattern: F.regexp_extract_all("s", F.lit(pattern), F.lit(1))
-    said = each(p.where("role = 'user'"), "commitment", F.concat(*[every(c) for c in m.COMMITMENTS])).union(each(p, "note", every(m.NOTE)))
-    sentences = F.filter(F.regexp_extract_all("s", F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda s: s.rlike(m.DEADLINE) & s.rlike(r"\b[A-Z][a-z]+"))
-    return said.union(each(p, "deadline", F.transform(sentences, F.trim)))
+    """Promises of the user, notes of anyone, and sentences with a date and a name: each once a conversation."""
+    return m.captures(_blocks(t)).select(F.col("conv").alias("conv_id"), "nth", "turn", "kind", "text")
+
+
+@query(f"WITH {_CAPTURED} SELECT conv_id, nth FROM n WHERE nth <= 40 AND NOT (length(text) >= 20 AND (contains('send i''ll send the deck by friday ok.', substr(lower(text), 1, 40)) OR EXISTS (SELECT 1 FROM benchmark WHERE contains(lower(benchmark.text), substr(lower(n.text), 1, 40)))))")
+def captured_anew(t):
+    """Captures that no text of the memory index begins with already: benchmark texts and one line stand for the index."""
+    index = t.benchmark.select(F.col("item_id").alias("id"), "text").union(t.spark.createDataFrame([(-1, "Send I'll send the deck by Friday ok.")], "id long, text string"))
+    return m.unremembered(m.captures(_blocks(t)), index).select(F.col("conv").alias("conv_id"), "nth")
 
 
 @query("""WITH k AS (SELECT conv_id, turn, text, substr(sha256(lower(text)), 1, 16) AS key FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY conv_id, turn) AS n FROM k) SELECT conv_id, turn, key FROM f WHERE n = 1 ORDER BY conv_id, turn LIMIT 40""")
@@ -335,7 +347,7 @@ def chunk_segments(t):
         rows = rows.select("doc", "l", F.explode(F.sequence(F.lit(0), F.expr(f"int((size(l) + {n - 1}) div {n}) - 1"))).alias(key))
         return rows.select("doc", key, F.array_join(F.slice("l", F.col(key) * n + 1, F.lit(n)), "\n").alias(name))
 
-    return m.best_segment(cut(3, "chunk", "chunk_text"), cut(4, "segment", "segment_text"))
+    return segments.best_segment(cut(3, "chunk", "chunk_text"), cut(4, "segment", "segment_text"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'bulk mail' WHEN (CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 50 ELSE 100 END) > 0 AND n_chars < 4 * (CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 50 ELSE 100 END) THEN 'below threshold' WHEN n_chars * 50 > 540000 AND doc_id % 2 = 0 THEN 'oversized' ELSE 'eligible' END AS gate FROM documents""")
@@ -348,11 +360,11 @@ def context_gate(t):
 # graph and registry
 
 
-@query("""SELECT o_orderkey AS id, o_custkey AS src, CASE WHEN o_orderkey % 100 = 7 OR (o_custkey = 4 AND o_orderpriority = '1-URGENT') THEN coalesce(CASE WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2023-01-01' END, TIMESTAMP '2024-02-01') WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2023-01-01' END AS invalid_at,
-          CASE WHEN (o_orderkey % 100 = 7 OR (o_custkey = 4 AND o_orderpriority = '1-URGENT')) AND o_orderkey % 9 <> 0 THEN 'wrong' END AS reason FROM orders WHERE o_orderkey < 1000""")
+@query("""SELECT o_orderkey AS id, o_custkey AS src, CASE WHEN (o_orderkey % 100 = 7 AND o_orderkey < 1000) OR (o_custkey = 4 AND o_orderpriority = '1-URGENT') THEN coalesce(CASE WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2023-01-01' END, TIMESTAMP '2024-02-01') WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2023-01-01' END AS invalid_at,
+          CASE WHEN ((o_orderkey % 100 = 7 AND o_orderkey < 1000) OR (o_custkey = 4 AND o_orderpriority = '1-URGENT')) AND o_orderkey % 9 <> 0 THEN 'wrong' END AS reason FROM orders""")
 def invalidated_facts(t):
     """Facts named by id or by their ends and type are stamped, not deleted."""
-    edges = t.orders.where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("src"), F.lit(0).alias("dst"), F.col("o_orderpriority").alias("type"), F.when(F.col("o_orderkey") % 9 == 0, F.expr("TIMESTAMP_NTZ '2023-01-01 00:00:00'")).alias("invalid_at"))
+    edges = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("src"), F.lit(0).alias("dst"), F.col("o_orderpriority").alias("type"), F.when(F.col("o_orderkey") % 9 == 0, F.expr("TIMESTAMP_NTZ '2023-01-01 00:00:00'")).alias("invalid_at"))
     pairs = t.spark.createDataFrame([(4, 0, "1-URGENT")], "src long, dst int, type string")
     return m.invalidated(edges, [i for i in range(1000) if i % 100 == 7], pairs, "2024-02-01 00:00:00", "wrong").select("id", "src", "invalid_at", "reason")
 
@@ -362,7 +374,7 @@ def provenance_default(t):
     return t.customer.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")), F.lit("legacy")).alias("source_ref"))
 
 
-_REG = """n AS (SELECT c_custkey AS uuid, ' Person ' || (c_custkey % 60) || ' ' AS name FROM customer WHERE c_custkey <= 90), r AS (SELECT DISTINCT lower('person ' || (s % 50)) AS name, s AS person FROM range(0, 55) t(s)), o AS (SELECT i AS uuid, CASE WHEN i % 2 = 0 THEN i % 60 ELSE i + 1 END AS owner FROM range(10, 20) t(i))"""
+_REG = """n AS (SELECT c_custkey AS uuid, ' Person ' || (c_custkey % 60) || ' ' AS name FROM customer), r AS (SELECT DISTINCT lower('person ' || (s_suppkey % 50)) AS name, CAST(s_suppkey AS BIGINT) AS person FROM supplier), o AS (SELECT CAST(c_custkey AS BIGINT) AS uuid, CAST(CASE WHEN c_custkey % 20 = 0 THEN c_custkey % 60 ELSE c_custkey % 60 + 1 END AS BIGINT) AS owner FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 70 > 0)"""
 
 
 @query(f"""WITH {_REG}, f AS (SELECT name, count(*) AS k, min(person) AS person FROM r GROUP BY 1), j AS (SELECT n.uuid, f.k, f.person, o.owner FROM n LEFT JOIN f ON f.name = lower(trim(n.name)) LEFT JOIN o ON o.uuid = n.uuid),
@@ -370,9 +382,10 @@ _REG = """n AS (SELECT c_custkey AS uuid, ' Person ' || (c_custkey % 60) || ' '
   SELECT uuid, coalesce(st, CASE WHEN uuid = min(uuid) OVER (PARTITION BY person, st) THEN 'linked' ELSE 'conflict' END) AS state FROM s""")
 def registry_links(t):
     """Graph people against the registry."""
-    nodes = t.customer.where("c_custkey <= 90").select(F.col("c_custkey").alias("uuid"), F.concat(F.lit(" Person "), (F.col("c_custkey") % 60).cast("string"), F.lit(" ")).alias("name"))
-    names = t.spark.range(55).select(F.concat(F.lit("PERSON "), (F.col("id") % 50).cast("string")).alias("name"), F.col("id").alias("person"))
-    owners = t.spark.range(10, 20).select(F.col("id").alias("uuid"), F.when(F.col("id") % 2 == 0, F.col("id") % 60).otherwise(F.col("id") + 1).alias("owner"))
+    nodes = t.customer.select(F.col("c_custkey").cast("long").alias("uuid"), F.concat(F.lit(" Person "), (F.col("c_custkey") % 60).cast("string"), F.lit(" ")).alias("name"))
+    s, c = F.col("s_suppkey").cast("long"), F.col("c_custkey").cast("long")
+    names = t.supplier.select(F.concat(F.lit("PERSON "), (s % 50).cast("string")).alias("name"), s.alias("person"))
+    owners = t.customer.where((c % 10 == 0) & (c % 70 > 0)).select(c.alias("uuid"), F.when(c % 20 == 0, c % 60).otherwise(c % 60 + 1).alias("owner"))
     return m.linked(nodes, names, owners)
 
 
@@ -400,13 +413,27 @@ def contact_sync(t):
     return rows.select("id", F.coalesce(*[f"by_{key}" for key in _PEOPLE]).alias("person"))
 
 
+def _names(t):
+    """New names and known ones; suppliers are the known people, whose registry knows every third by another name too."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    fresh = t.customer.select(c.alias("id"), F.concat(F.element_at(F.array(*[F.lit(w) for w in ("Ann ", "ann Lee ", "", "Bo ")]), (c % 4 + 1).cast("int")), "c_mktsegment", F.lit(" "), (c % 50).cast("string")).alias("name"), F.when(c % 3 > 0, "Person").otherwise("Project").alias("kind"))
+    known = t.supplier.select(s.alias("known"), F.concat(F.lit("ann "), F.element_at(F.array(*[F.lit(w) for w in ("BUILDING", "machinery", "HOUSEHOLDS")]), (s % 3 + 1).cast("int")), F.lit(" "), s.cast("string")).alias("known_name"))
+    aliases = t.supplier.select(F.concat(F.lit("bo automobile "), (s % 60).cast("string")).alias("alias"), s.alias("person")).where("person % 3 = 0")
+    nodes = t.supplier.select(s.alias("person"), (s * 2).alias("known"), F.lit(0).alias("at")).union(t.supplier.select(s, s, F.lit(1)))
+    return fresh, known, aliases, nodes
+
+
 @query(None)
 def entity_tiers(t):
-    """New names against known ones that share a word: the best match and what follows from it. Python's sequence ratio has no SQL."""
-    return resolve.placed(
-        t.customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Ann "), F.col("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 50).cast("string")).alias("name")),
-        t.supplier.select(F.col("s_suppkey").alias("known"), F.concat(F.lit("ann "), F.lit("BUILDING "), F.col("s_suppkey").cast("string")).alias("known_name")),
-    )
+    """New names against all known ones: the best match and what follows from it. Python's sequence ratio has no SQL."""
+    fresh, known, *_ = _names(t)
+    return resolve.placed(fresh, known)
+
+
+@query(None)
+def entity_actions(t):
+    """What becomes of each new name: the registry first, then the tiers."""
+    return resolve.entity_actions(*_names(t))
 
 
 def _tasks(t):
@@ -416,9 +443,9 @@ def _tasks(t):
 
 @query(None)
 def duplicate_candidates(t):
-    """Known tasks that a new one may repeat, the three best."""
+    """Known tasks that a new one may repeat, the three best: every twentieth against all others."""
     rows = _tasks(t)
-    return resolve.candidates(rows.where("id % 10 = 0").drop("created"), rows.where("id % 10 = 1").drop("created"))
+    return resolve.candidates(rows.where("id % 20 = 0"), rows)
 
 
 @query(None)

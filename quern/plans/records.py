@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import tasks
+from ..operators import desk, tasks
 from .registry import query
 
 TODAY = "1998-07-29"
@@ -223,13 +223,8 @@ def usage_last_wins(t):
 @query("""WITH a AS (SELECT event_type, list_sort(list(value)) AS v, sum(value) AS s FROM events WHERE value IS NOT NULL GROUP BY 1)
           SELECT event_type, v[CAST(round_even(0.5 * (len(v) - 1), 0) AS BIGINT) + 1] AS p50, v[CAST(round_even(0.9 * (len(v) - 1), 0) AS BIGINT) + 1] AS p90, v[CAST(round_even(0.99 * (len(v) - 1), 0) AS BIGINT) + 1] AS p99 FROM a""")
 def nearest_rank_percentiles(t):
-    # by rank, not from a list: a hot type is never gathered
-    n = t.events.where("value is not null").groupBy("event_type").agg(F.count("*").alias("n"))
-    ranks = n.select("event_type", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("long").alias("at")) for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])).alias("x")).select("event_type", "x.name", "x.at")
-    values = t.events.where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = values.withColumn("high", F.sum("c").over(Window.partitionBy("event_type").orderBy("value")))
-    found = upto.join(F.broadcast(ranks), "event_type").where((F.col("at") < F.col("high")) & (F.col("at") >= F.col("high") - F.col("c")))  # three rows a type
-    return found.groupBy("event_type").pivot("name", ["p50", "p90", "p99"]).agg(F.first("value"))
+    rank = lambda p: lambda n: F.bround(F.lit(p) * (n - 1), 0).cast("long")
+    return desk.at_ranks(t.events, ["event_type"], "value", {"p50": rank(0.5), "p90": rank(0.9), "p99": rank(0.99)})
 
 
 @query("SELECT l_suppkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import recency
+from ..operators import postings
 from ..operators import retrieval as r
 from .registry import query
 
@@ -27,8 +28,31 @@ def _vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _docs(t):
-    return t.documents.select(F.col("doc_id").alias("id"), "text")
+_INDEXES: dict[tuple, str] = {}  # of this session, by application and table: an index is written once and read by term
+
+
+def _indexed(t, name: str, rows, fields: list[str]) -> postings.Postings:
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.written(rows(), fields)
+    return postings.opened(t.spark, _INDEXES[key])
+
+
+def _texts(t) -> postings.Postings:
+    return _indexed(t, "documents", lambda: t.documents.select(F.col("doc_id").alias("id"), "text"), ["text"])
+
+
+def _facts(t) -> postings.Postings:
+    """Order lines between a customer and a supplier are facts: a name and what it says."""
+    return _indexed(t, "facts", lambda: _edges(t).select("id", "name", "fact"), ["name", "fact"])
+
+
+def _edges(t):
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 25).cast("long").alias("dst"), F.lower("o_orderpriority").alias("name"), F.concat_ws(" ", F.lit("order of"), F.date_format("o_orderdate", "yyyy MM"), F.lit("status"), "o_orderstatus").alias("fact"))
+
+
+def _nodes(t) -> postings.Postings:
+    return _indexed(t, "nodes", lambda: t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand", "p_name").alias("summary")), ["name", "summary"])
 
 
 @query(f"WITH {_VECTOR} {_DENSE} ORDER BY dense DESC, id LIMIT 20")
@@ -43,7 +67,45 @@ def dense_search_filtered(t):
 
 @query(f"WITH {_BM25} SELECT id, sparse FROM b ORDER BY sparse DESC, id LIMIT 20")
 def bm25_search(t):
-    return r.bm25(_docs(t), TERMS, 20)
+    return postings.search(_texts(t), TERMS, 20, "sparse")
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}0-9]+'), lambda x: x <> '')"
+
+
+def _bm25_twin(source: str, fields: list[str], terms: list[str], limit: int) -> str:
+    """BM25 summed over the fields of a table (id, ...)."""
+    each = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {_SPLIT.format(f'coalesce({f}, {chr(39) * 2})')} AS w FROM e" for f in fields)
+    return f"""WITH e AS ({source}), w AS ({each}), s AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM w GROUP BY 1), x AS (SELECT id, field, len(w) AS size, unnest(w) AS term FROM w),
+      tf AS (SELECT id, field, size, term, count(*) AS tf FROM x WHERE term IN ({", ".join(f"'{v}'" for v in terms)}) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL)
+      SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM tf JOIN df USING (field, term) JOIN s USING (field) GROUP BY 1 ORDER BY score DESC, id LIMIT {limit}"""
+
+
+_EDGES = "SELECT o_orderkey AS id, lower(o_orderpriority) AS name, 'order of ' || strftime(o_orderdate, '%Y %m') || ' status ' || o_orderstatus AS fact FROM orders"
+_PARTS = "SELECT p_partkey AS id, p_name AS name, p_type || ' ' || p_brand || ' ' || p_name AS summary FROM part"
+
+
+@query(_bm25_twin(_EDGES, ["name", "fact"], ["urgent", "1997", "05"], 25))
+def fact_search(t):
+    """Facts by the words of their name and text."""
+    return postings.search(_facts(t), ["Urgent", "1997", "05"], 25)
+
+
+@query(f"""SELECT 'node' AS kind, * FROM ({_bm25_twin(_PARTS, ["name", "summary"], ["economy", "widget"], 10)}) UNION ALL SELECT 'fact', * FROM ({_bm25_twin(_EDGES, ["name", "fact"], ["economy", "widget"], 10)})""")
+def node_search(t):
+    """Nodes by name and summary, and the facts that the same words find."""
+    one = lambda index, kind: postings.search(index, ["economy", "widget"], 10).select(F.lit(kind).alias("kind"), "id", "score")
+    return one(_nodes(t), "node").union(one(_facts(t), "fact"))
+
+
+@query(r"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}0-9]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9]+'), lambda x: x <> '')) AS term FROM benchmark), x AS (SELECT id, len(w) AS size, unnest(w) AS term FROM w),
+  tf AS (SELECT id, size, term, count(*) AS tf FROM x SEMI JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM b) SELECT * FROM k WHERE rank <= 3""")
+def benchmark_search(t):
+    """The three best documents for each benchmark item, by its words."""
+    return postings.search_each(_texts(t), t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 3)
 
 
 _HYBRID = f"""WITH {_VECTOR}, {_BM25}, d AS ({_DENSE} ORDER BY dense DESC, id LIMIT 30), p AS (SELECT id, sparse FROM b ORDER BY sparse DESC, id LIMIT 30),
@@ -57,7 +119,7 @@ _HYBRID = f"""WITH {_VECTOR}, {_BM25}, d AS ({_DENSE} ORDER BY dense DESC, id LI
 @query(f"{_HYBRID} SELECT id, source, fused, dense, round(final, 9) AS final, row_number() OVER (ORDER BY round(final, 9) DESC, id) AS place FROM picked")
 def hybrid_search(t):
     """Both legs, fused by rank; a favoured source boosted, weak vectors cut, two a source. Recency and importance only reorder what is selected."""
-    near, lexical = r.dense(_vectors(t), _vector(t), 30).select("id", "dense"), r.bm25(_docs(t), TERMS, 30)
+    near, lexical = r.dense(_vectors(t), _vector(t), 30).select("id", "dense"), postings.search(_texts(t), TERMS, 30, "sparse")
     rows = r.fused([(near, "dense"), (lexical, "sparse")]).join(near, "id", "left").join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
     boosted = F.when(F.col("source") == "src3", F.col("fused") * 1.15).otherwise(F.col("fused"))
     today = F.lit("2024-01-01").cast("date")
@@ -104,6 +166,21 @@ def entity_lookup(t):
     return t.customer.where(name.contains("00000001")).select("c_custkey", "c_name", tier.alias("tier")).orderBy("tier", F.length("c_name"), "c_custkey").limit(5)
 
 
+_LOOKED = """e AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY CASE WHEN lower(c_name) = 'customer#000000012' THEN 0 WHEN lower(c_name) LIKE 'customer#00000001%' THEN 1 ELSE 2 END, length(c_name), c_custkey) AS place FROM customer WHERE contains(lower(c_name), '00000001') QUALIFY place <= 5),
+  r AS (SELECT o_custkey AS n, o_orderkey AS id, o_orderkey % 25 AS other, 'outgoing' AS direction FROM orders UNION ALL SELECT o_orderkey % 25, o_orderkey, o_custkey, 'incoming' FROM orders),
+  k AS (SELECT e.c_custkey, place, id, other, direction, row_number() OVER (PARTITION BY e.c_custkey ORDER BY id, direction) AS nth FROM e LEFT JOIN r ON r.n = e.c_custkey)"""
+
+
+@query(f"WITH {_LOOKED} SELECT c_custkey, CAST(place AS INTEGER) AS place, id, other, direction FROM k WHERE nth <= 20")
+def entity_relationships(t):
+    """The entities that a name finds, each with twenty facts at most, in either direction."""
+    name = F.lower("c_name")
+    tier = F.when(name == "customer#000000012", 0).when(name.startswith("customer#00000001"), 1).otherwise(2)
+    found = t.customer.where(name.contains("00000001")).select("c_custkey", tier.alias("tier"), F.length("c_name").alias("size")).orderBy("tier", "size", "c_custkey").limit(5)
+    found = found.select("c_custkey", F.row_number().over(Window.orderBy("tier", "size", "c_custkey")).alias("place"))  # five rows
+    return r.with_facts(found, "c_custkey", _edges(t), 20).select("c_custkey", "place", "id", "other", "direction")
+
+
 _FACTS = "f AS (SELECT o_custkey AS src, o_orderkey AS id, o_orderdate AS created, o_orderpriority AS fact FROM orders)"
 
 

@@ -45,7 +45,8 @@ _FOUND = " UNION ALL ".join(
 
 
 def _findings(t):
-    return rules.findings(rules.lines(_planted(t), "doc_id", "text"), allow=_ALLOW, terms=_TERMS, phones=_PHONES)
+    suspects = rules.suspects(_planted(t), "text", rules.hint(_TERMS))
+    return rules.findings(rules.lines(suspects, "doc_id", "text"), allow=_ALLOW, terms=_TERMS, phones=_PHONES)
 
 
 @query(f"WITH {_PLANTED} SELECT doc_id, CAST(line AS INTEGER) AS line, rule, class, severity, found FROM ({_FOUND})")

@@ -62,9 +62,9 @@ def turn_merge(t):
     return rows.groupBy("conv_id", "island").agg(F.min("role").alias("role"), F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS status, max(ts) AS at FROM events GROUP BY 1")
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS at FROM events GROUP BY 1")
 def latest_status(t):
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.max("ts").alias("at"))
+    return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"))
 
 
 _MEET = """m AS (SELECT event_id AS id, user_id, epoch(ts) AS s, epoch(ts) + 1800 + value * 60 AS e FROM events WHERE event_type = 'view')"""
