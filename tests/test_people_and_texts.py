@@ -251,7 +251,7 @@ def test_postings_over_two_fields(spark, tmp_path):
     rows = [(i, " ".join(word() for _ in range(rng.randrange(4))), None if i % 9 == 0 else " ".join(word() for _ in range(rng.randrange(30)))) for i in range(80)]
     df = spark.createDataFrame(rows, "id long, name string, fact string").repartition(4)
     index = postings.opened(spark, postings.written(df, ["name", "fact"], f"{tmp_path}/index"))
-    split = lambda s: [w for w in re.split(r"[^\w]+", (s or "").lower()) if w]
+    split = lambda s: [w for w in re.split(r"[^\w]+|_", (s or "").lower()) if w]
     score = defaultdict(float)
     for field in (1, 2):
         texts = [split(r[field]) for r in rows]
@@ -271,4 +271,4 @@ def test_postings_over_two_fields(spark, tmp_path):
     assert [(r["query_id"], r["id"]) for r in sorted(each, key=lambda r: r["rank"])] == [(7, -i) for _, i in want[:5]]
     assert not postings.search(index, [], 5).collect()
     plan = index.entries.where(F.col("term").isin("tea"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "PushedFilters: [EqualTo(term,tea)]" in plan or "In(term" in plan
+    assert "EqualTo(term,tea)" in plan.partition("PushedFilters")[2].partition("ReadSchema")[0]
