@@ -53,7 +53,7 @@ def nudges(items: DataFrame, today: Column) -> DataFrame:
         .when(overdue, F.concat(F.lit("Due was "), F.date_format("due", "M/d"), F.lit("."))).otherwise("")
     )
     rows = rows.select("id", "asks", F.when(waits, thing).otherwise(F.col("own")).alias("topic"), stakes.alias("stakes"))
-    nth = F.coalesce(F.get(F.array(*[F.lit(x) for x in NTH]), F.col("asks") - 1), F.concat(F.lit("Ask #"), F.col("asks").cast("string")))
+    nth = F.coalesce(F.get(F.array(*[F.lit(x) for x in NTH]), F.col("asks") - 1), F.concat(F.lit("Ask #"), F.col("asks").cast("string")), F.lit(""))
     filled = lambda form: F.replace(F.replace(F.lit(form), F.lit("{topic}"), F.col("topic")), F.lit("{nth}"), nth)
     question = F.when(F.coalesce(F.col("asks") <= 1, F.lit(True)), filled(ASKS[0])).when(F.col("asks") == 2, filled(ASKS[1])).otherwise(filled(ASKS[2]))
     return rows.select("id", "topic", "stakes", F.rtrim(F.concat_ws(" ", question, F.nullif("stakes", F.lit("")))).alias("message"))

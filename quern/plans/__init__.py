@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, desk, flow, incremental, keep, memory, people, records, remembering, retrieval, rules, series, texts  # noqa: F401
+from . import audits, desk, flow, incremental, keep, memory, nights, people, records, remembering, retrieval, rules, series, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

