@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, change): new, changed, same or deleted, by content hash."""
@@ -16,8 +18,7 @@ def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
 
 def round_robin(rows: DataFrame, source: str, key: str) -> DataFrame:
     """Rows with their turn: the first of each source, then the second of each, and so on."""
-    turn = F.row_number().over(Window.partitionBy(source).orderBy(key))
-    return rows.withColumn("turn", turn)
+    return ranks.numbered(rows, [source], [F.col(key)], "turn")
 
 
 def replaced(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

@@ -46,6 +46,47 @@ def finding(excluded: Column, crowd: Column, work: Column, minutes: Column) -> C
     return F.when(excluded, "excluded").when((crowd >= 3) & (minutes > 60), "large forum").when(~work & (minutes > 75), "delegate").when(minutes > 90, "worth it?").otherwise("keep")
 
 
+RECURRING, ZOMBIE_WINDOW, ZOMBIE_CANCELLED, LARGE = 3, 4, 2, 8
+
+
+def series_history(past: DataFrame) -> DataFrame:
+    """(who, title, dates, cancelled) of past instances (who, title, day, cancelled): how many dates a series had, and how many of the last four were cancelled.
+
+    A date counts as cancelled if all its instances are.
+    """
+    days = past.groupBy("who", "title", "day").agg(F.bool_and("cancelled").alias("off"))
+    nth = F.row_number().over(Window.partitionBy("who", "title").orderBy(F.desc("day")))
+    return days.withColumn("n", nth).groupBy("who", "title").agg(F.count("*").alias("dates"), F.count_if(F.col("off") & (F.col("n") <= ZOMBIE_WINDOW)).alias("cancelled"))
+
+
+def worthiness(meetings: DataFrame, history: DataFrame, principal: str, lanes: tuple, never: tuple = (), organizers: tuple = ()) -> DataFrame:
+    """(who, title, id, finding, to, cancelled): at most one advice a series of the meetings ahead (who, title, id, day, s, organizer, attendees, work, all_day, cancelled).
+
+    Titles with one of ``never`` and meetings of ``organizers`` get none. A series of three dates or more of which two of the last four
+    were cancelled is a zombie: kill it if one ahead is cancelled already, else skip it. Then, by the earliest meeting for which
+    one holds: delegate what the principal organises in somebody's lane (pattern, who) and that recurs; confirm a recurring
+    forum of eight attendees or more that somebody else organises. Only timed work meetings that aren't cancelled count for
+    all but the first.
+    """
+    known = history.select("who", "title", "dates", F.col("cancelled").alias("gone"))
+    rows = meetings.join(known, ["who", "title"], "left").withColumns({"dates": F.coalesce("dates", F.lit(0)), "gone": F.coalesce("gone", F.lit(0))})
+    spared = F.coalesce(F.col("organizer").isin(*organizers), F.lit(False))
+    for pattern in never:
+        spared = spared | F.col("title").contains(pattern)
+    recurs, zombie = F.col("dates") >= RECURRING, (F.col("dates") >= RECURRING) & (F.col("gone") >= ZOMBIE_CANCELLED)
+    active = ~F.col("cancelled") & F.col("work") & ~F.col("all_day")
+    own = F.coalesce(F.col("organizer") == principal, F.lit(False))
+    lane = F.coalesce(*[F.when(F.col("title").rlike(pattern), who) for pattern, who in lanes], F.lit(None).cast("string"))
+    one = lambda when, place, finding, to=None: F.when(when, F.struct(F.lit(place).alias("place"), F.lit(finding).alias("finding"), (F.lit(None) if to is None else to).cast("string").alias("to")))
+    advice = F.coalesce(
+        one(F.col("cancelled") & zombie, 0, "kill the series"), one(active & zombie, 1, "skip or kill the series"), one(active & own & recurs & lane.isNotNull(), 1, "delegate", lane),
+        one(active & recurs & (F.col("attendees") >= LARGE) & ~own, 1, "confirm or send a delegate"),
+    )
+    found = rows.where(~spared).withColumn("a", advice).where("a is not null")
+    first = found.groupBy("who", "title").agg(F.min_by(F.struct("id", "a.finding", "a.to", "gone"), F.struct("a.place", "day", "s", "id")).alias("f"))
+    return first.select("who", "title", "f.id", "f.finding", "f.to", F.col("f.gone").alias("cancelled"))
+
+
 def mirrored(primary: DataFrame, mirror: DataFrame) -> DataFrame:
     """(title, at, id, mirror_only, cancelled) of two calendars (title, at, id, cancelled), one row for title and minute."""
     one = lambda rows, a, b: rows.groupBy("title", "at").agg(F.min("id").alias(a), F.bool_or("cancelled").alias(b))

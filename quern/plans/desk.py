@@ -47,6 +47,26 @@ def calendar_findings(t):
     return rows.select("id", desk.finding(F.col("title") == "error", F.col("crowd"), F.col("work"), F.col("minutes")).alias("finding"))
 
 
+_AHEAD = """c AS (SELECT event_id AS id, user_id % 15 AS who, event_type || CASE WHEN event_id % 3 = 0 THEN ' review' ELSE '' END AS title, CAST(ts AS DATE) AS day, epoch(ts) AS s, ['me@x.org', 'ann@x.org', 'bot@x.org', NULL][event_id % 4 + 1] AS organizer, event_id % 12 AS attendees, event_type <> 'error' AS work, event_id % 10 = 0 AS all_day, value > 60 AS cancelled FROM events),
+  p AS (SELECT who, title, day, bool_and(cancelled) AS off FROM c WHERE day < DATE '2024-01-20' GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY who, title ORDER BY day DESC) AS n FROM p),
+  h AS (SELECT who, title, count(*) AS dates, count(*) FILTER (off AND n <= 4) AS gone FROM n GROUP BY ALL),
+  r AS (SELECT c.*, coalesce(dates, 0) AS dates, coalesce(gone, 0) AS gone FROM c LEFT JOIN h USING (who, title) WHERE day >= DATE '2024-01-20' AND NOT contains(title, 'scroll') AND organizer IS DISTINCT FROM 'bot@x.org'),
+  a AS (SELECT *, CASE WHEN cancelled AND dates >= 3 AND gone >= 2 THEN 'kill the series' WHEN cancelled OR NOT work OR all_day OR dates < 3 THEN NULL WHEN gone >= 2 THEN 'skip or kill the series' WHEN organizer = 'me@x.org' AND contains(title, 'review') THEN 'delegate' WHEN attendees >= 8 AND organizer IS DISTINCT FROM 'me@x.org' THEN 'confirm or send a delegate' END AS finding FROM r),
+  f AS (SELECT *, row_number() OVER (PARTITION BY who, title ORDER BY CASE WHEN finding = 'kill the series' THEN 0 ELSE 1 END, day, s, id) AS k FROM a WHERE finding IS NOT NULL)"""
+
+
+@query(f"""WITH {_AHEAD} SELECT who, title, id, finding, CASE WHEN finding = 'delegate' THEN 'ann' END AS "to", CAST(gone AS BIGINT) AS cancelled FROM f WHERE k = 1""")
+def calendar_worthiness(t):
+    """Advice on the series ahead: zombies, what others should hold, and large forums."""
+    k = F.col("event_id")
+    rows = t.events.select(
+        k.alias("id"), (F.col("user_id") % 15).alias("who"), F.concat("event_type", F.when(k % 3 == 0, " review").otherwise("")).alias("title"), F.to_date("ts").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"),
+        F.get(F.array(F.lit("me@x.org"), F.lit("ann@x.org"), F.lit("bot@x.org"), F.lit(None)), (k % 4).cast("int")).alias("organizer"), (k % 12).alias("attendees"), (F.col("event_type") != "error").alias("work"), (k % 10 == 0).alias("all_day"), (F.col("value") > 60).alias("cancelled"),
+    )
+    day = F.lit("2024-01-20").cast("date")
+    return desk.worthiness(rows.where(F.col("day") >= day), desk.series_history(rows.where(F.col("day") < day)), "me@x.org", ((r"\breview\b", "ann"),), ("scroll",), ("bot@x.org",))
+
+
 @query("""WITH a AS (SELECT lower(event_type) AS title, date_trunc('minute', ts) AS "at", min(event_id) AS id, bool_or(value > 90) AS off FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2),
           b AS (SELECT lower(event_type) AS title, date_trunc('minute', ts) AS "at", min(event_id) AS id, bool_or(value > 70) AS off FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)
           SELECT title, "at", coalesce(a.id, b.id) AS id, a.id IS NULL AS mirror_only, coalesce(b.off, false) AND NOT (a.id IS NOT NULL AND NOT a.off) OR coalesce(a.off, false) AS cancelled FROM a FULL JOIN b USING (title, "at")""")

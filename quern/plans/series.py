@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, tasks
+from ..operators import intervals, ranks, tasks
 from .registry import query
 
 
@@ -128,5 +128,5 @@ def ttl_dedup(t):
 
 @query("""WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_id FROM r WHERE n > 14""")
 def beyond_newest(t):
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t.events.withColumn("n", F.row_number().over(w)).where("n > 14").select("event_id")
+    rows = t.events.select("event_type", "ts", "event_id")
+    return ranks.numbered(rows, ["event_type"], [F.desc("ts"), F.desc("event_id")], "n").where("n > 14").select("event_id")

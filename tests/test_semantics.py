@@ -243,3 +243,34 @@ def test_heartbeats(spark):
         "off": ("noop", None, None), "endless": ("log_winddown", None, None), "over": ("log_winddown", None, None), "down": ("noop", None, None), "busy": ("noop", None, None), "planless": ("spawn_planner", None, None), "badplan": ("surface", None, None),
         "loud": ("surface", None, ["b"]), "next": ("spawn_tasks", "g1", ["b!", "d"]), "replan": ("spawn_replanner", None, None), "halt": ("surface", None, None), "expired": ("spawn_tasks", "g1", ["b", "d"]),
     }
+
+
+def test_advice_on_series(spark):
+    from quern.operators import desk
+
+    day = lambda n: dt.date(2024, 1, n)
+    past = [("a", t, day(n), off) for t, offs in {"dead": [1, 1, 0, 1], "late": [1, 1, 0, 0, 0, 0], "plan review": [0, 0, 0], "forum": [0, 0, 1], "twice": [1, 1]}.items() for n, off in enumerate(offs, 1)]
+    past = [(w, t, d, bool(o)) for w, t, d, o in past] + [("a", "late", day(5), True)]  # one of two that day
+    ahead = [
+        ("a", "dead", 1, day(20), 1.0, "me", 2, True, False, False), ("a", "dead", 2, day(21), 1.0, "me", 2, True, False, True), ("a", "late", 3, day(20), 1.0, "ann", 9, True, False, False), ("a", "plan review", 4, day(20), 1.0, "me", 2, True, False, False),
+        ("a", "forum", 5, day(20), 1.0, "me", 20, True, False, False), ("a", "forum", 6, day(21), 1.0, "ann", 20, True, False, False), ("a", "twice", 7, day(20), 1.0, "ann", 20, True, False, False), ("b", "dead", 8, day(20), 1.0, "ann", 20, True, False, False),
+        ("a", "late", 9, day(19), 1.0, "ann", 9, True, True, False), ("a", "late", 10, day(19), 2.0, "ann", 9, False, False, False), ("a", "late", 11, day(19), 3.0, "bot", 9, True, False, False),
+    ]
+    history = desk.series_history(spark.createDataFrame(past, "who string, title string, day date, cancelled boolean"))
+    rows = spark.createDataFrame(ahead, "who string, title string, id long, day date, s double, organizer string, attendees int, work boolean, all_day boolean, cancelled boolean")
+    got = {(r["title"], r["id"]): (r["finding"], r["to"], r["cancelled"]) for r in desk.worthiness(rows, history, "me", (("review", "ann"),), (), ("bot",)).collect()}
+    assert got == {("dead", 2): ("kill the series", None, 3), ("late", 3): ("confirm or send a delegate", None, 0), ("plan review", 4): ("delegate", "ann", 0), ("forum", 6): ("confirm or send a delegate", None, 1)}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_numbers_of_hot_keys(spark, parts):
+    from quern.operators import ranks
+
+    rows = [("hot" if i % 4 else None if i % 8 else "cold", i * 11 % 307) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(6)
+    got = {(r["k"], r["v"]): r["nth"] for r in ranks.numbered(df, ["k"], [F.desc("v")], parts=parts).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        for n, v in enumerate(sorted((v for x, v in rows if x == k), reverse=True), 1):
+            want[k, v] = n
+    assert got == want
