@@ -9,9 +9,11 @@ rarer ones share the last place of a class, within which their counts decide.
 The model is one masked attention head.  Its values are distributions over the
 next subword, counted over all neighbours in all training texts: what stands
 right behind a subword, and what stands further behind one of its class.  Its
-queries, keys and distance biases are trained by data-parallel descent: in each
-round every part of the training texts starts from the same weights and
-descends on all its windows in turn, and the weights are averaged.  While
+queries, keys and distance biases are trained by synchronised descent: the
+training texts fall into ``LOTS`` lots by the hash of their subwords, and each
+lot makes one step with the gradient summed over all its windows, whatever
+tasks these were in.  So the weights follow from the texts alone, not from how
+the table is dealt out.  While
 training, a subword is left out of the counts that it is predicted from.  The
 output is a distribution, so the product over a text is the probability of its
 subwords up to the end.
@@ -44,7 +46,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import written
+from ._scratch import new_path, written
 from ._words import Words, pieces
 from .piece_model import MODEL
 from .quality import remainder
@@ -53,7 +55,8 @@ WINDOW, OVERLAP, WIDTH, CLASSES, MEMBERS, FINE, COMPANY = 16, 4, 16, 64, 32, 8,
 REACH, FARTHEST = 3, 6  # distances with a table of their own, the last for all further ones, counted as far as FARTHEST
 HEAD = 1 << 18
 MEMO = 200_000
-BATCH = 512  # windows of a step
+BATCH = 512  # windows at a time
+LOTS, RATE = 16, 0.2  # steps of the descent, the size of the first
 GROUPS = 16  # of classes
 
 
@@ -148,9 +151,10 @@ class Attention:
 
     def __init__(self, values: Values, seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
-        make = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-        distance = -0.5 * np.arange(WINDOW, dtype=np.float32)
-        self.p = {"query": make(CLASSES + 1, WIDTH), "key": make(CLASSES + 1, WIDTH), "distance": distance, "rest": np.full(CLASSES + 1, -2, np.float32)}
+        make = lambda *s: rng.normal(0, 0.15, s).astype(np.float32)
+        # the newest subword first, the others and the share of the members some twentieth of it
+        distance = np.where(np.arange(WINDOW) > 0, -2.9 - 0.1 * np.arange(WINDOW), 0).astype(np.float32)
+        self.p = {"query": make(CLASSES + 1, WIDTH), "key": make(CLASSES + 1, WIDTH), "distance": distance, "rest": np.full(CLASSES + 1, -3, np.float32)}
         self.use(values)
 
     def use(self, values: Values, left_out: bool = False) -> None:
@@ -205,8 +209,11 @@ class Attention:
             hit[d:] += weight
         return hit / total
 
-    def gradients(self, seen: np.ndarray, next_: np.ndarray, scored: np.ndarray) -> dict:
-        """Of the mean -log probability of the scored places."""
+    def slopes(self, seen: np.ndarray, next_: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Of the sum of -log probabilities of the scored places: by match of query and key, by distance, by rest, one behind the other.
+
+        Every place counts on its own, so sums over batches don't depend on how windows are batched.
+        """
         kept = list(self.pairs(seen, next_))
         klass = seen // MEMBERS
         rest = np.exp(np.clip(self.p["rest"], -30, 30)).take(klass)
@@ -214,34 +221,42 @@ class Attention:
         for d, _, weight, value in kept:
             total[d:] += weight
             hit[d:] += weight * value
-        share = scored / max(int(scored.sum()), 1)
-        by_hit, by_total = share / hit, share / total
-        g, far = np.zeros((CLASSES + 1) ** 2), np.zeros_like(self.p["distance"])
+        by_hit, by_total = scored / hit, scored / total
+        g, far = np.zeros((CLASSES + 1) ** 2), np.zeros(WINDOW)
         for d, at, weight, value in kept:
             value = value * by_hit[d:]
             value -= by_total[d:]
             value *= weight  # how much more it should have had
-            far[d] = -value.sum()
+            far[d] = -value.sum(dtype=np.float64)
             g -= np.bincount(at.ravel(), value.ravel(), len(g))
         more = rest * (self.share.take(next_) * by_hit - by_total)
+        return np.concatenate([g, far, -np.bincount(klass.ravel(), more.ravel(), CLASSES + 1)])
+
+    def of_slopes(self, slopes: np.ndarray, n: int) -> dict:
+        """Gradients of the mean over n places, from summed slopes."""
+        g, far, rest = np.split(slopes / max(n, 1), [(CLASSES + 1) ** 2, (CLASSES + 1) ** 2 + WINDOW])
         g = g.reshape(CLASSES + 1, -1)
-        return {"query": g @ self.p["key"], "key": g.T @ self.p["query"], "distance": far, "rest": -np.bincount(klass.ravel(), more.ravel(), CLASSES + 1)}
+        return {"query": g @ self.p["key"], "key": g.T @ self.p["query"], "distance": far, "rest": rest}
+
+    def gradients(self, seen: np.ndarray, next_: np.ndarray, scored: np.ndarray) -> dict:
+        """Of the mean -log probability of the scored places."""
+        return self.of_slopes(self.slopes(seen, next_, scored), int(scored.sum()))
 
 
 class Descent:
-    """Adam over batches of windows, its steps shrinking as they go on."""
+    """Adam over a few steps, which shrink as they go on."""
 
-    def __init__(self, model: Attention, rate: float) -> None:
-        self.model, self.rate, self.t = model, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+    def __init__(self, model: Attention, rate: float, steps: int) -> None:
+        self.model, self.rate, self.steps, self.t = model, rate, steps, 0
+        self.m, self.v = ({k: np.zeros(x.shape) for k, x in model.p.items()} for _ in range(2))
 
-    def step(self, seen: np.ndarray, next_: np.ndarray, scored: np.ndarray) -> None:
+    def step(self, gradients: dict) -> None:
         self.t += 1
-        now = self.rate / (1 + self.t / 100)
-        for k, g in self.model.gradients(seen, next_, scored).items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            self.model.p[k] = self.model.p[k] - (now * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        now = self.rate / (1 + self.t / self.steps)
+        for k, g in gradients.items():
+            self.m[k] = 0.8 * self.m[k] + 0.2 * g
+            self.v[k] = 0.9 * self.v[k] + 0.1 * g * g
+            self.model.p[k] = self.model.p[k] - (now * (self.m[k] / (1 - 0.8**self.t)) / (np.sqrt(self.v[k] / (1 - 0.9**self.t)) + 1e-8)).astype(np.float32)
 
 
 class Encoder(dict):
@@ -435,37 +450,59 @@ def _value_counts(size: int, of: np.ndarray):
 _MODELS: dict[tuple, Attention] = {}  # of a worker process, over the tasks of one stage
 
 
-def _model(packed: bytes, weights: np.ndarray, left_out: bool) -> Attention:
-    key = (hashlib.sha256(packed).digest(), left_out)
+class Shared:
+    """Packed values, sent to each worker once for all jobs (bounded by the model's shape), and their digest."""
+
+    def __init__(self, spark, values: Values) -> None:
+        packed = pickle.dumps(values)
+        self.digest, self.sent = hashlib.sha256(packed).digest(), spark.sparkContext.broadcast(packed)
+
+
+def _model(shared: Shared, weights: np.ndarray, left_out: bool) -> Attention:
+    key = (shared.digest, left_out)
     if key not in _MODELS:
         _MODELS.clear()
-        values = pickle.loads(packed)
+        values = pickle.loads(shared.sent.value)
         _MODELS[key] = Attention(values)
         _MODELS[key].use(values, left_out)
     _MODELS[key].load(weights)
     return _MODELS[key]
 
 
-def _trained(size: int, classes: Classes, packed: bytes, weights: np.ndarray, rate: float):
+def _slopes(size: int, classes: Classes, shared: Shared, weights: np.ndarray):
+    """The sums of slopes over the windows of a task, and at -1 the number of their places."""
+
     def run(batches):
-        model = _model(packed, weights, True)
-        descent, n = Descent(model, rate), 0
+        model, total, n = _model(shared, weights, True), None, 0
         for ids, off, _ in _ids(batches, size):
             for seen, next_, _, scored in windows(classes.of[ids], off, BATCH):
-                descent.step(seen, next_, scored)
-                n += seen.shape[1]
+                one = model.slopes(seen, next_, scored)
+                total = one if total is None else total + one
+                n += int(scored.sum())
         if n:
-            flat = model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], ["i", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total))), pa.array(np.append(float(n), total))], ["i", "x"])
 
     return run
 
 
-def _scored_rows(size: int, classes: Classes, packed: bytes, weights: np.ndarray, head: pa.Array, count: np.ndarray, n: int, v: int):
+def _trained(net: Attention, train: DataFrame, size: int, classes: Classes, shared: Shared, lots: int) -> None:
+    """A step for each lot of the training texts, in their order; a lot without texts makes none."""
+    spark, path = train.sparkSession, new_path(train.sparkSession, "lots")
+    train.withColumn("lot", F.pmod(F.xxhash64("ids"), F.lit(lots)).cast("int")).write.option("compression", "zstd").partitionBy("lot").parquet(path)
+    dealt = spark.read.schema("ids binary, lot int").parquet(path)
+    descent = Descent(net, RATE, lots)
+    for lot in range(lots):
+        rows = dealt.where(F.col("lot") == lot).select("ids").mapInArrow(_slopes(size, classes, shared, net.flat()), "i long, x double")
+        found = {r["i"]: r["x"] for r in rows.groupBy("i").agg(F.sum("x").alias("x")).collect()}  # a row a slope
+        if found:
+            descent.step(net.of_slopes(np.array([found[i] for i in range(len(found) - 1)]), int(found[-1])))
+
+
+def _scored_rows(size: int, classes: Classes, shared: Shared, weights: np.ndarray, head: pa.Array, count: np.ndarray, n: int, v: int):
     divisor = n + 0.1 * (v + 1)
 
     def run(batches):
-        model = _model(packed, weights, False)
+        model = _model(shared, weights, False)
         for batch in batches:
             for ids, off, part in _ids([batch], size):
                 logs = classes.within[ids]
@@ -506,7 +543,7 @@ def _collected(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, model: str = MODEL, lots: int = LOTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text, ...).
 
     Rows whose crc32(doc_id) mod 10 is 0 are held out; all others are learned from.
@@ -531,11 +568,9 @@ def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 1) -> DataFrame
     ends = np.cumsum([math.prod(x) for x in shapes])
     cells = _collected(train.mapInArrow(_value_counts(size, classes.of), pair), int(ends[-1])).astype(np.float32)
     values = Values(classes.share, *(x.reshape(shape) for x, shape in zip(np.split(cells, ends[:-1]), shapes, strict=True)))
-    net, packed = Attention(values), pickle.dumps(values)
-    for i in range(rounds if texts else 0):
-        rows = train.mapInArrow(_trained(size, classes, packed, net.flat(), 0.05 / (1 + i)), "i long, x double, n double")
-        mean = rows.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("i").collect()  # a row a weight
-        net.load(np.array([r["x"] for r in mean]))
+    net, shared = Attention(values), Shared(docs.sparkSession, values)
+    if texts:
+        _trained(net, train, size, classes, shared, lots)
 
     # the head: all words as common as some grade or more, HEAD at most
     grade = F.floor(F.log2("c") * 16).cast("int")
@@ -548,7 +583,7 @@ def lm_scores(docs: DataFrame, model: str = MODEL, rounds: int = 1) -> DataFrame
     top = words.where(grade >= least if least is not None else F.lit(False)).toArrow()
     head, count = pa.array(top["word"].to_pylist(), pa.binary()), np.asarray(top["c"])
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, head_score double, score double, words array<binary>, times array<long>"
-    rows = coded.where("held_out is not null").select("doc_id", "text", "held_out", "ids").mapInArrow(_scored_rows(size, classes, packed, net.flat(), head, count, n, v), shape)
+    rows = coded.where("held_out is not null").select("doc_id", "text", "held_out", "ids").mapInArrow(_scored_rows(size, classes, shared, net.flat(), head, count, n, v), shape)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     log = lambda c: F.log10((c + F.lit(0.1)) / F.lit(n + 0.1 * (v + 1)))
     tails = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
