@@ -19,7 +19,8 @@ row, and no task holds more than two blocks.
 Cases: a null or blank text has no shingles, links with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; rows with the
 same id and text are all kept or all dropped together; a null id is never the
-smallest, so such a row stays only if its component has no other id.
+smallest, so such a row stays only if its component has no other id; ids are
+whole numbers.
 """
 
 from __future__ import annotations

@@ -10,49 +10,59 @@ from ._scratch import new_path, table
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its shingles, its group and whether it is the one kept."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget asks, dealt into blocks in a fixed shuffled order."""
     mixture = mixing.mixture(table(spark, sf_dir, "documents"), repeats=1.5)
     return mixture.select("doc_id", "source", "n_tokens", F.col("epoch").cast("long").alias("epoch"), "block", "position")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: the model's and the base's log10 probability of its text."""
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page: its record as read back from the archives that were written."""
     folder = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found for every hundredth vector."""
     rows = table(spark, sf_dir, "embeddings")
     return multi_index.nearest(rows, rows.where("vec_id % 100 = 0"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: the network's probability of good quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return rows.select("doc_id", (quality.remainder("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: how many words recurring passages take from it, and a digest of the rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its tokens under the unigram model."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its best segmentations with their scores, each decoded again."""
     return nbest.encoded(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
 
 
 def op9_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products for every fiftieth vector."""
     rows = table(spark, sf_dir, "embeddings")
     return kdtree.top_k(rows, rows.where("vec_id % 50 = 0"))
 
