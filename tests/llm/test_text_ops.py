@@ -1,6 +1,7 @@
 """Near-duplicates, passages, the classifier and the language model against brute force."""
 
 import hashlib
+import math
 import pickle
 import random
 import re
@@ -158,6 +159,45 @@ def test_network_gradients():
         assert abs((up - down) / 2e-3 - g[name][at]) < 2e-3
 
 
+def loop_score(net, text):
+    """The network byte by byte: filters at every place, strides, chunks of two, mean and maximum."""
+    table, wide = net.p["table"].astype(np.float64), net.width
+    n = max(1, -(-(len(text) + wide - 1) // quality.STRIDE))
+    code = list(text) + [quality.PAD] * (n * quality.STRIDE + wide)
+    strides = []
+    for k in range(n):
+        best = [-math.inf] * net.filters
+        for i in range(k * quality.STRIDE, (k + 1) * quality.STRIDE):
+            here = sum(table[j, code[i + j]] for j in range(wide))
+            best = [max(b, h) for b, h in zip(best, here.tolist(), strict=True)]
+        strides.append([b + float(x) for b, x in zip(best, net.p["bias"], strict=True)])
+    chunks = [[max(0.0, a, b) for a, b in zip(x, y, strict=True)] for x, y in (zip(strides, strides[1:], strict=False) if n > 1 else [(strides[0], strides[0])])]
+    z = float(net.p["out"][0])
+    for f in range(net.filters):
+        values = [c[f] for c in chunks]
+        z += sum(values) / len(values) * float(net.p["mean"][f]) + max(values) * float(net.p["max"][f])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_scores_are_those_of_a_plain_loop(spark):
+    from quern.llm.queries import op5_quality_classifier
+
+    folder = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    net = quality.fitted(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    got = {r["doc_id"]: r for r in op5_quality_classifier(spark, folder).collect()}
+    assert set(got) == set(rows)
+    sizes = sorted(rows, key=lambda d: len((rows[d] or "").encode()))
+    for d in sizes[:6] + sizes[:: len(sizes) // 8] + sizes[-2:]:
+        assert abs(got[d]["score"] - loop_score(net, (rows[d] or "").encode())) < 1e-4
+        assert got[d]["held_out"] == (crc32(str(d).encode()) % 3 == 1) and got[d]["predicted"] == int(got[d]["score"] >= 0.5)
+    for size in (0, 1, 4, 507, 508, 509, 512, 1020, 1021, 1500):
+        text = bytes(i * 7 % 251 for i in range(size))
+        one = net.score(np.frombuffer(text, np.uint8), np.array([0, size]))[0]
+        assert abs(one - loop_score(net, text)) < 1e-5
+
+
 def test_quality_holds_out_and_scores_all(spark):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("aeinst") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(300)))
