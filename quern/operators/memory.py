@@ -127,7 +127,7 @@ def unremembered(found: DataFrame, index: DataFrame, head: int = 40, least: int
 
     needle = F.substring(F.lower("text"), 1, head)
     asked = found.select(needle.alias("chunk")).where(F.char_length("chunk") >= least).distinct()
-    held = segments.holding(asked.select(F.lit(0).alias("doc"), "chunk", F.col("chunk").alias("chunk_text")), index.select(F.lit(0).alias("doc"), F.col("id").alias("segment"), F.lower("text").alias("segment_text")))
+    held = segments.holding(asked.withColumn("chunk_text", F.col("chunk")), index.select(F.col("id").alias("segment"), F.lower("text").alias("segment_text")), None)
     return found.join(held.select(F.col("chunk").alias("_c")), needle == F.col("_c"), "left_anti")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import retrieval
 
 MOST, CUT = 24, 1500  # texts a query that are scored, characters of each
-NO_MATCH = 0.0  # of the best rerank score
+NO_MATCH = -5.0  # of the best rerank score, on the scale of logits
 
 
 class Scorer(Protocol):

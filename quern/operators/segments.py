@@ -99,27 +99,31 @@ def _anchors(texts: pd.Series, widths: pd.Series) -> pd.Series:
     return pd.Series([[{"place": p, "hash": h} for p, h in anchors(t, w).items()] for t, w in zip(texts, widths, strict=True)])
 
 
-def holding(chunks: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc, chunk, segment): the first segment of parts (doc, segment, segment_text) that holds the first HEAD characters of a chunk (doc, chunk, chunk_text).
+def holding(chunks: DataFrame, parts: DataFrame, key: str | None = "doc") -> DataFrame:
+    """(key, chunk, segment): the first segment of parts (key, segment, segment_text) that holds the first HEAD characters of a chunk (key, chunk, chunk_text).
 
     Equal strings have equal anchors at equal distances, so heads and segments are joined on these and confirmed by their
     characters; heads under the shortest level are joined with all pieces of their length. Both grow with the texts, not
-    with chunks times segments.
+    with chunks times segments. Without a key, chunks are looked for in all parts.
     """
-    head = chunks.select("doc", "chunk", F.substring("chunk_text", 1, HEAD).alias("head")).withColumn("size", F.char_length("head"))
+    own = [key] if key else []
+    # what is asked for: by key, or a few widths and lengths for all parts
+    wanted = lambda rows, asked, *c: rows.join(asked.select(*own, *c).distinct(), own) if own else rows.crossJoin(F.broadcast(asked.select(*c).distinct()))
+    head = chunks.select(*own, "chunk", F.substring("chunk_text", 1, HEAD).alias("head")).withColumn("size", F.char_length("head"))
     level = F.coalesce(*[F.when(F.col("size") >= w, w) for w in LEVELS])
     asked = head.withColumn("width", level).where("width is not null")
     asked = asked.withColumn("a", F.get(_anchors(F.expr("substring(head, 1, width)"), F.col("width")), F.lit(0)))
-    widths = asked.select("doc", "width").distinct()
-    held = parts.join(widths, "doc").withColumn("a", F.explode(_anchors("segment_text", "width")))
-    near = asked.select("doc", "chunk", "head", "size", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("place")).join(held.select("doc", "segment", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("at"), "segment_text"), ["doc", "width", "hash"])
-    near = near.where((F.col("at") >= F.col("place")) & (F.col("segment_text").substr(F.col("at") - F.col("place") + 1, F.col("size")) == F.col("head"))).select("doc", "chunk", "segment")
+    held = wanted(parts.where("segment_text is not null"), asked, "width").withColumn("a", F.explode(_anchors("segment_text", "width")))
+    near = asked.select(*own, "chunk", "head", "size", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("place")).join(held.select(*own, "segment", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("at"), "segment_text"), [*own, "width", "hash"])
+    near = near.where((F.col("at") >= F.col("place")) & (F.col("segment_text").substr(F.col("at") - F.col("place") + 1, F.col("size")) == F.col("head"))).select(*own, "chunk", "segment")
     tiny = head.where(f"size < {LEVELS[-1]} and size > 0")
-    pieces = parts.join(tiny.select("doc", "size").distinct(), "doc").where("char_length(segment_text) >= size")
+    pieces = wanted(parts, tiny, "size").where("char_length(segment_text) >= size")
     pieces = pieces.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("segment_text") - F.col("size") + 1)))
-    whole = pieces.select("doc", "segment", F.expr("substring(segment_text, at, size)").alias("head")).distinct().join(tiny.select("doc", "chunk", "head"), ["doc", "head"]).select("doc", "chunk", "segment")
-    none = head.where("size = 0").select("doc", "chunk").join(parts.groupBy("doc").agg(F.min("segment").alias("segment")), "doc")
-    return near.union(whole).union(none).groupBy("doc", "chunk").agg(F.min("segment").alias("segment"))
+    whole = pieces.select(*own, "segment", F.expr("substring(segment_text, at, size)").alias("head")).distinct().join(tiny.select(*own, "chunk", "head"), [*own, "head"]).select(*own, "chunk", "segment")
+    first = parts.groupBy(*own).agg(F.min("segment").alias("segment"))
+    empty = head.where("size = 0").select(*own, "chunk")
+    none = (empty.join(first, own) if own else empty.crossJoin(F.broadcast(first))).select(*own, "chunk", "segment")  # one row without a key
+    return near.union(whole).union(none).groupBy(*own, "chunk").agg(F.min("segment").alias("segment"))
 
 
 def best_segment(chunks: DataFrame, parts: DataFrame) -> DataFrame:

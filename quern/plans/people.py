@@ -104,7 +104,7 @@ def scored_search(t):
 @query(f"""WITH {_PLACED} SELECT query_id, CASE WHEN max(rerank) IS NOT NULL THEN max(rerank) < 0 ELSE 0.5 < 0.65 END AS no_strong_match, CASE WHEN max(rerank) < 0 THEN 'top rerank score ' || printf('%.2f', max(rerank)) || ' < 0.0' WHEN max(rerank) IS NULL THEN 'best cosine 0.500 < 0.65' END AS why FROM f GROUP BY 1""")
 def rerank_no_match(t):
     """Whether anything answers: by the best rerank score, or by the best cosine where the scorer failed."""
-    return scoring.no_strong_match(_scored(t))
+    return scoring.no_strong_match(_scored(t), 0.0)
 
 
 # typed front matter, money

@@ -15,7 +15,7 @@ def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
-CUT = "\n\u2026[+3 chars truncated \u2014 memory_get this path with its line range for the full text, or re-search with detail:\"detailed\"]"
+CUT = "\n\u2026[+3 chars truncated]"
 VALUES = [
     (lambda: x.duration(F.lit(3720)), "1h 2m"), (lambda: x.duration(F.lit(3600)), "1h"), (lambda: x.duration(F.lit(180)), "3m"), (lambda: x.duration(F.lit(184.9)), "3m 4s"), (lambda: x.duration(F.lit(5)), "5s"),
     (lambda: x.duration(F.lit(-1)), "0s"), (lambda: x.duration(F.lit(None).cast("int")), "0s"), (lambda: x.usage(F.lit(59)), "59s"), (lambda: x.usage(F.lit(61)), "1m"), (lambda: x.usage(F.lit(3660)), "1h 1m"), (lambda: x.usage(F.lit(7200)), "2h"),
