@@ -63,8 +63,8 @@ class Network:
             out[at : at + lens[i]] = buf[off[i] : off[i + 1]]
         return out, first
 
-    def strides(self, codes: np.ndarray, where: bool = False):
-        """Per stride and filter the greatest response (and its place)."""
+    def strides(self, codes: np.ndarray, where: bool = False, ends: np.ndarray | None = None):
+        """Per stride and filter the greatest response (and its place). ``ends``: where texts end, so that no filter reads on into the next one."""
         n = len(codes) - self.width + 1
         table = self.p["table"]
         best, place = np.empty((n // STRIDE, self.filters), np.float32), None
@@ -74,8 +74,13 @@ class Network:
         for a in range(0, n, step):
             b = min(n, a + step)
             r = table[0].take(codes[a:b], axis=0)
+            cut = ends[(ends > a) & (ends <= b)] - a if ends is not None else []
             for j in range(1, self.width):
-                r += table[j].take(codes[a + j : b + j], axis=0)
+                now = codes[a + j : b + j]
+                if len(cut):
+                    now = now.copy()
+                    now[(cut[:, None] - 1 - np.arange(j)).ravel()] = PAD
+                r += table[j].take(now, axis=0)
             r = r.reshape(-1, STRIDE, self.filters)
             s = slice(a // STRIDE, b // STRIDE)
             if where:
@@ -105,7 +110,7 @@ class Network:
         if self.constant is not None:
             return np.full(len(off) - 1, self.constant)
         codes, first = self.padded(buf, off)
-        mean, most = self.pooled(self.strides(codes)[0], first)
+        mean, most = self.pooled(self.strides(codes, ends=first[1:] * STRIDE)[0], first)
         z = (mean @ self.p["mean"] + most @ self.p["max"]).astype(np.float64) + float(self.p["out"][0])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
