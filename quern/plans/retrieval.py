@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import recency
 from ..operators import postings
 from ..operators import retrieval as r
+from ..tables import exists
 from .registry import query
 
 TERMS = ["the", "and", "of", "der", "que"]  # fixed query terms
@@ -33,7 +34,7 @@ _INDEXES: dict[tuple, str] = {}  # of this session, by application and table: an
 
 def _indexed(t, name: str, rows, fields: list[str]) -> postings.Postings:
     key = (t.spark.sparkContext.applicationId, t.folder, name)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(t.spark, f"{_INDEXES[key]}/fields/_SUCCESS"):
         _INDEXES[key] = postings.written(rows(), fields)
     return postings.opened(t.spark, _INDEXES[key])
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..tables import exists
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOOK = "key string, kind string, at timestamp, fresh long, cached long, bytes long, users long"
 ALERT = "key string, at timestamp, why string, amount long"
@@ -129,14 +131,9 @@ def budget_alerts_of(looks: DataFrame, limits: Limits) -> DataFrame:
 CURSOR = "file string, seq long, ts timestamp"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def cursor_of(spark: SparkSession, path: str) -> DataFrame:
     """The last row delivered of each file; none where nothing was delivered yet."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], CURSOR)
     rows = spark.read.schema(CURSOR).option("recursiveFileLookup", "true").parquet(path)
     return rows.groupBy("file").agg(F.max_by(F.struct("seq", "ts"), "seq").alias("m")).select("file", "m.seq", "m.ts")
@@ -168,7 +165,7 @@ def consume(stream: DataFrame, rows: DataFrame, out: str, cursor: str, checkpoin
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     cutoff = pd.Timestamp(now) - pd.Timedelta(hours=hours)
     begin = f"{checkpoint}-begin"
-    if not _exists(spark, f"{begin}/_SUCCESS"):
+    if not exists(spark, f"{begin}/_SUCCESS"):
         positioned(rows, cursor_of(spark, cursor), cutoff).write.mode("overwrite").parquet(begin)
     start = spark.read.schema("file string, head long, upto long").parquet(begin)
     emit = emit or (lambda batch, path: batch.write.mode("overwrite").parquet(path))

@@ -16,6 +16,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quern-')).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once, and its lineage ends there."""
     path = new_folder(df.sparkSession, name)
