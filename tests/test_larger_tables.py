@@ -43,3 +43,10 @@ def test_slices_of_the_nearest_second(spark, tmp_path):
     rows = [(0, "2024-01-02T23:59:59.700000", "view", 1.0), (1, "2024-01-03T12:00:00", "view", 2.0), (2, "2024-01-03T01:00:00", "error", 1.0), (3, "2024-01-03T02:00:00", "error", 2.0)]
     table = [(i, datetime.datetime.fromisoformat(x), 1, kind, v, "") for i, x, kind, v in rows], EVENTS
     assert len(against_sql(spark, tmp_path, "subset_slices", events=table)) == 1
+
+
+def test_office_texts_that_begin_with_digits(spark, tmp_path):
+    texts = ["4754 then words", "44.1 x", "-3 degrees", "plain {braces} and \\slashes", "", "a (b) & <c>"]
+    rows = [(6 * i + k, x, "en", "src0", len(x)) for i, x in enumerate(texts) for k in range(6)]
+    got = against_sql(spark, tmp_path, "office_texts", documents=(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    assert len(got) == 36
