@@ -4,6 +4,7 @@ import datetime
 
 import duckdb
 
+from quern.operators import chains, people
 from quern.plans import ORACLE_SQL, QUERIES
 
 
@@ -50,3 +51,18 @@ def test_office_texts_that_begin_with_digits(spark, tmp_path):
     rows = [(6 * i + k, x, "en", "src0", len(x)) for i, x in enumerate(texts) for k in range(6)]
     got = against_sql(spark, tmp_path, "office_texts", documents=(rows, "doc_id long, text string, lang string, source string, n_chars int"))
     assert len(got) == 36
+
+
+def test_long_chains_stay_narrow(spark):
+    """Ways along a chain would be its square; the order of the summaries is that of the ways all the same."""
+    n = 400
+    merges = [(i, i - 1 if i < n else i % 7, i) for i in range(1, n)] + [(n + i, (i * 7919) % n, (i * 31) % 97) for i in range(300)]
+    nodes = spark.createDataFrame([(i, f"s{i}" if i % 3 else "", None) for i in range(n + 300)], "node long, summary string, merged_into long")
+    table = spark.createDataFrame(merges, "dupe long, survivor long, nth long")
+    pointers = people.pointed(nodes, table)
+    ended = chains.ends(pointers)
+    assert ended.columns == ["node", "end"]
+    got = {r["node"]: r["summary"] for r in people.folded(nodes, table, pointers, ended).collect()}
+    parent, step = {d: s for d, s, _ in merges}, {d: (k, d) for d, _, k in merges}
+    way = lambda d: way(parent[d]) + [step[d]] if d in parent else []
+    assert got[0].split("\n") == [f"s{d}" for d in sorted(parent, key=way) if d % 3]
