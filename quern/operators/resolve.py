@@ -9,10 +9,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import kept
 from . import alike
 
 #: fixed values
@@ -54,6 +55,9 @@ def candidates(fresh: DataFrame, known: DataFrame, top: int = 3) -> DataFrame:
 
     Fresh tasks are the stated queries. All known ones are compared, whoever owns them; the same counterparty adds a
     little. Empty texts match nothing.
+
+    Tasks of one text and token set are a class, and classes are compared, each pair once. Of the members of a class only the
+    first ``top`` ids can be among the best of a task besides itself, and the first ``top`` with its counterparty.
     """
     least = SAME_TASK - PARTNER - 0.0005  # before the score is rounded
 
@@ -61,14 +65,26 @@ def candidates(fresh: DataFrame, known: DataFrame, top: int = 3) -> DataFrame:
         (_, p), (_, q) = a, b
         return max(ratio or 0.0, shared_tokens(p, q)) if a[0] and b[0] else 0.0
 
-    partner = lambda d, id_, name: d.select(F.col("id").cast("long").alias(id_), F.lower(F.trim(F.col("counterparty").cast("string"))).alias(name))
-    found = alike.scanned(fresh, known, score, least).join(partner(fresh, "id", "_p"), "id").join(partner(known, "match", "_q"), "match")
-    same = (F.col("_p") == F.col("_q")) & (F.col("_q") != "")
-    score_ = F.round(F.when(same, F.least(F.lit(1.0), F.col("score") + PARTNER)).otherwise(F.col("score")), 3)
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "match"))
-    return found.withColumn("score", score_).where(F.col("score") >= SAME_TASK).withColumn("_n", rank).where(F.col("_n") <= top).select("id", "match", "score")
+    said = ("text", "tokens")
+    given = lambda d: d.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.lower(F.trim(F.col("counterparty").cast("string"))).alias("p")).where("text <> ''")
+    # even numbers for fresh classes and odd ones for known ones: a class may match itself
+    numbered = lambda d, odd: kept(d.select(*said).distinct().withColumn("c", 2 * F.monotonically_increasing_id() + odd), "classes")
+    asked, held = kept(given(fresh), "fresh"), kept(given(known), "known")
+    mine, theirs = numbered(asked, 0), numbered(held, 1)
+    found = kept(alike.scanned(mine.withColumnRenamed("c", "id"), theirs.withColumnRenamed("c", "id"), score, least).select(F.col("id").alias("c"), F.col("match").alias("o"), "score"), "alike")
+    first = lambda d, by, n, *order: d.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    best = (F.desc("score"), F.asc("match"))
+    members = kept(held.join(theirs, [*said]).select(F.col("c").alias("o"), F.col("id").alias("match"), F.col("p").alias("q")), "members")
+    queries = kept(asked.join(mine, [*said]).select("id", "c", "p"), "queries")
+    plain = found.withColumn("score", F.round("score", 3)).where(F.col("score") >= SAME_TASK).join(first(members, ["o"], top + 1, "match"), "o").select("c", "match", "q", "score")
+    plain = first(plain, ["c"], top + 1, *best)
+    partners = first(members.where("q <> ''"), ["o", "q"], top + 1, "match")
+    close = found.withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + PARTNER), 3)).where(F.col("score") >= SAME_TASK)
+    wanted = queries.select("c", F.col("p").alias("q")).distinct()
+    close = first(close.join(wanted, "c").join(partners, ["o", "q"]).select("c", "q", "match", "score"), ["c", "q"], top + 1, *best)
+    pairs = queries.join(plain, "c").select("id", "match", "score").union(queries.join(close.withColumnRenamed("q", "p"), ["c", "p"]).select("id", "match", "score"))
+    pairs = pairs.where("id <> match").groupBy("id", "match").agg(F.max("score").alias("score"))  # the counterparty adds
+    return first(pairs, ["id"], top, *best).select("id", "match", "score")
 
 
 def stars(ids: list, alike) -> list[list]:

@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from quern.operators import chains, people
+from quern.operators import chains, people, resolve
 from quern.plans import ORACLE_SQL, QUERIES
 
 
@@ -66,3 +66,17 @@ def test_long_chains_stay_narrow(spark):
     parent, step = {d: s for d, s, _ in merges}, {d: (k, d) for d, _, k in merges}
     way = lambda d: way(parent[d]) + [step[d]] if d in parent else []
     assert got[0].split("\n") == [f"s{d}" for d in sorted(parent, key=way) if d % 3]
+
+
+def test_tasks_of_one_text_are_compared_once(spark, monkeypatch):
+    """However many tasks repeat a text, pairs of texts are compared; the best are those of all tasks."""
+    rows = [(i, "me", str(i % 3), ["send report now", "send the report now", "call ann"][i % 7 % 3], ["send", "report", "now"] if i % 7 % 3 < 2 else ["call", "ann"]) for i in range(140)]
+    df = spark.createDataFrame(rows, "id long, owner string, counterparty string, text string, tokens array<string>")
+    seen, scanned = [], resolve.alike.scanned
+    monkeypatch.setattr(resolve.alike, "scanned", lambda q, k, *more: seen.append((q.count(), k.count())) or scanned(q, k, *more))
+    got = {(r["id"], r["match"], r["score"]) for r in resolve.candidates(df.where("id % 20 = 0"), df).collect()}
+    want = set()
+    for i, _, p, x, v in rows[::20]:
+        scores = [(-round(min(1.0, resolve.texts_alike(x, y, set(v), set(w)) + resolve.PARTNER * (p == q)), 3), j) for j, _, q, y, w in rows if j != i]
+        want |= {(i, j, -s) for s, j in sorted(scores)[:3] if -s >= resolve.SAME_TASK}
+    assert got == want and seen == [(3, 3)]
