@@ -92,14 +92,19 @@ def fits(a: str, b: str, least: float) -> Column:
     return F.ceil(F.lit(least) * (m + n) / 2 - 1e-9) <= F.least(m, n)
 
 
-def near_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def near_texts(left: DataFrame, right: DataFrame, least: float, rank: dict[str, int] | None = None) -> DataFrame:
     """(a, b): distinct pairs of texts of left (a) and right (b) whose ratio may be ``least``; no such pair is lost.
 
-    Texts that stand for many rows should come once.
+    Texts that stand for many rows should come once. ``rank`` are right's ``character_ranks``, where they are known. Pairs are
+    small and what is done with them is not, so they lie in as many partitions as a shuffle has.
     """
-    rank = character_ranks(right, "b")
+    rank = character_ranks(right, "b") if rank is None else rank
     x, y = character_index(left.select("a"), "a", rank, least), character_index(right.select("b"), "b", rank, least)
-    return x.join(y, "key").where(fits("a", "b", least)).select("a", "b").distinct()
+    return x.join(y, "key").where(fits("a", "b", least)).select("a", "b").repartition(spread(right), "a", "b").distinct()
+
+
+def spread(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def near_words(left: DataFrame, right: DataFrame) -> DataFrame:

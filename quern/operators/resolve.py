@@ -6,7 +6,9 @@ of the ratio leave (``alike``). No pair at a threshold is lost.
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -121,17 +123,51 @@ def folded(name: str) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
 
 
+@lru_cache(1 << 16)
+def _read(name: str) -> tuple[str, Counter, frozenset[str]]:
+    x = " ".join(name.lower().split())
+    return x, Counter(x), frozenset(x.split())
+
+
+def similar(least: float):
+    """``name_similarity`` where it may reach ``least``, else null: shared characters bound the ratio."""
+
+    def score(a: str, b: str) -> float | None:
+        (x, m, p), (y, n, q) = _read(a), _read(b)
+        shared = sum(min(k, n[c]) for c, k in m.items())
+        return names_alike(a, b) if p <= q or q <= p or 2 * shared >= least * (len(x) + len(y)) - 1e-9 else None
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run
+
+
+#: near_names looks for the best from the top: a name that is found at one of these is not looked for below it
+STEPS = (0.95, 0.9, SUBSET, 0.8)
+
+
 def near_names(names: DataFrame, known: DataFrame, least: float = REVIEW) -> DataFrame:
     """(id, known, score): the best of known ones (known, known_name) for each name (id, name) that reaches ``least``, ties to the smaller known.
 
-    Equal folded names are compared once, on either side.
+    Equal folded names are compared once, on either side. Equal ones are found first; the rest is looked for at falling bounds.
+    At each, all pairs that reach it are scored, so the best of a name that has one is final and the name drops out. Else
+    a name would be scored with all that are a little like it.
     """
     a, b = names.withColumn("a", folded("name")).where("a <> ''"), known.withColumn("b", folded("known_name")).where("b <> ''")
-    left, right = a.select("a").distinct(), b.groupBy("b").agg(F.min("known").alias("known"))
-    pairs = alike.near_texts(left, right, least).union(alike.near_words(left, right)).distinct()
-    scored = pairs.withColumn("score", name_similarity("a", "b")).where(F.col("score") >= least)
-    best = scored.join(right, "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("less"), "known")).alias("m"))
-    return a.join(best, "a").select("id", F.col("m.known").alias("known"), F.round(-F.col("m.less"), 6).alias("score"))
+    left, right = kept(a.select("a").distinct(), "names"), kept(b.groupBy("b").agg(F.min("known").alias("known")).repartition(alike.spread(known)), "known")
+    best = kept(left.join(right, left["a"] == right["b"]).select("a", F.lit(-1.0).alias("less"), "known"), "near")
+    rank = alike.character_ranks(right, "b")
+    for bound in (*[x for x in STEPS if x > least], least):
+        open_ = kept(left.join(best, "a", "left_anti"), "open")
+        pairs = alike.near_texts(open_, right, bound, rank)
+        if bound <= SUBSET:  # by words a pair reaches SUBSET
+            pairs = pairs.union(alike.near_words(open_, right)).repartition(alike.spread(right), "a", "b").distinct()
+        scored = pairs.withColumn("score", similar(bound)("a", "b")).where(F.col("score") >= bound)
+        more = kept(scored.join(right, "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("less"), "known")).alias("m")).select("a", "m.less", "m.known"), "near")
+        best = best.union(more)
+    return a.join(best, "a").select("id", "known", F.round(-F.col("less"), 6).alias("score"))
 
 
 def placed(names: DataFrame, known: DataFrame) -> DataFrame:

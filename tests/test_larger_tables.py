@@ -80,3 +80,13 @@ def test_tasks_of_one_text_are_compared_once(spark, monkeypatch):
         scores = [(-round(min(1.0, resolve.texts_alike(x, y, set(v), set(w)) + resolve.PARTNER * (p == q)), 3), j) for j, _, q, y, w in rows if j != i]
         want |= {(i, j, -s) for s, j in sorted(scores)[:3] if -s >= resolve.SAME_TASK}
     assert got == want and seen == [(3, 3)]
+
+
+def test_names_that_are_found_are_not_scored_with_all(spark, monkeypatch):
+    """A name that is known is not compared with all that are a little like it."""
+    names = spark.createDataFrame([(i, f"ann building {i}") for i in range(40)], "id long, name string")
+    known = spark.createDataFrame([(i, f"Ann  building {i}") for i in range(500)], "known long, known_name string")
+    asked, near = [], resolve.alike.near_texts
+    monkeypatch.setattr(resolve.alike, "near_texts", lambda a, *more: asked.append(a.count()) or near(a, *more))
+    got = {r["id"]: (r["known"], r["score"]) for r in resolve.near_names(names, known).collect()}
+    assert got == {i: (i, 1.0) for i in range(40)} and set(asked) == {0}
