@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..tables import kept
 from .registry import query
 
 
@@ -96,9 +97,19 @@ def token_sets(t):
 @query(f"""WITH s AS (SELECT p_partkey, p_brand, p_size, {_SET.format("p_type || ' ' || p_name")} AS w FROM part)
            SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def blocked_jaccard(t):
-    s = t.part.select("p_partkey", "p_brand", "p_size", x.token_set(F.concat_ws(" ", "p_type", "p_name")).alias("w"))
-    o = s.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("v"))
-    return s.join(o, ["p_brand", "p_size"]).where("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", F.round(x.jaccard(F.col("w"), F.col("v")), 6).alias("score"))
+    """All pairs of a block. Rows of one token set are scored once, in numbers; a pair of rows looks its score up."""
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    part = t.part.select("p_partkey", "p_brand", "p_size", F.struct("p_type", "p_name").alias("of"))
+    named = part.select("of").distinct().withColumn("w", x.token_set(F.concat_ws(" ", "of.p_type", "of.p_name")))
+    sets = kept(named.select("w").distinct().withColumn("c", F.monotonically_increasing_id()), "sets")
+    s = kept(part.join(named.join(sets, "w").select("of", "c"), "of").select("p_partkey", "p_brand", "p_size", "c").repartition(n, "p_brand", "p_size"), "rows")
+    held = s.select("p_brand", "p_size", "c").distinct()
+    met = held.join(held.withColumnRenamed("c", "d"), ["p_brand", "p_size"]).where("c <= d").select("c", "d").distinct()
+    v = sets.select(F.col("c").alias("d"), F.col("w").alias("v"))
+    scores = kept(met.join(sets.select("c", "w"), "c").join(v, "d").select("c", "d", F.round(x.jaccard(F.col("w"), F.col("v")), 6).alias("score")), "scores")
+    o = s.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("c").alias("d"))
+    pairs = s.join(o, ["p_brand", "p_size"]).where("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"))
+    return pairs.join(scores, ["c", "d"]).select("a", "b", "score")
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '{x.CUT_MARK[0]}' || (length(text) - 200) || '{x.CUT_MARK[1]}' ELSE text END AS snippet,

@@ -90,3 +90,15 @@ def test_names_that_are_found_are_not_scored_with_all(spark, monkeypatch):
     monkeypatch.setattr(resolve.alike, "near_texts", lambda a, *more: asked.append(a.count()) or near(a, *more))
     got = {r["id"]: (r["known"], r["score"]) for r in resolve.near_names(names, known).collect()}
     assert got == {i: (i, 1.0) for i in range(40)} and set(asked) == {0}
+
+
+def test_blocks_of_few_token_sets(spark, tmp_path, monkeypatch):
+    """Each pair of token sets is scored once."""
+    from quern.plans import texts
+
+    names = [("LARGE", "hot ring"), ("SMALL", "ring of hot"), ("SMALL", "Hot ring"), ("MED", "a"), ("LARGE", "bolt")]
+    rows = [(i, names[i % 5][1], f"B{i % 2}", names[i % 5][0], i % 3, 1.0) for i in range(120)]
+    scored, put = [], texts.kept
+    monkeypatch.setattr(texts, "kept", lambda df, name: scored.append((name, df.count())) or put(df, name))
+    got = against_sql(spark, tmp_path, "blocked_jaccard", part=(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"))
+    assert len(got) == 6 * 20 * 19 // 2 and dict(scored)["scores"] == 10
