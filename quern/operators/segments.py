@@ -114,7 +114,9 @@ def holding(chunks: DataFrame, parts: DataFrame, key: str | None = "doc") -> Dat
     asked = head.withColumn("width", level).where("width is not null")
     asked = asked.withColumn("a", F.get(_anchors(F.expr("substring(head, 1, width)"), F.col("width")), F.lit(0)))
     held = wanted(parts.where("segment_text is not null"), asked, "width").withColumn("a", F.explode(_anchors("segment_text", "width")))
-    near = asked.select(*own, "chunk", "head", "size", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("place")).join(held.select(*own, "segment", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("at"), "segment_text"), [*own, "width", "hash"])
+    near = asked.select(*own, "chunk", "head", "size", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("place")).join(held.select(*own, "segment", "width", F.col("a.hash").alias("hash"), F.col("a.place").alias("at")), [*own, "width", "hash"])
+    # texts come back for the pairs that met: beside each anchor they would fill the disk
+    near = near.where("at >= place").join(parts.select(*own, "segment", "segment_text"), [*own, "segment"])
     near = near.where((F.col("at") >= F.col("place")) & (F.col("segment_text").substr(F.col("at") - F.col("place") + 1, F.col("size")) == F.col("head"))).select(*own, "chunk", "segment")
     tiny = head.where(f"size < {LEVELS[-1]} and size > 0")
     pieces = wanted(parts, tiny, "size").where("char_length(segment_text) >= size")
