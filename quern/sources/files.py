@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 #: fixed values: front-matter keys that become columns
 PROMOTED = ("subject", "from", "participants", "title", "speakers", "assignee", "status", "priority", "project", "space")
 
+#: as a file counts as 4 MB at least, a split holds few small ones (32 by default); a task reads so many splits
+SPLITS = 32
+
 
 def markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = (), namespace: str = "", globs: tuple[str, ...] = (), source: str = "") -> DataFrame:
     """(file_path, text, modified) of all Markdown files below root; hidden ones, skipped prefixes and names that match a glob are left out.
 
     ``source``: only files below this folder; ``namespace`` goes in front of the paths, so several roots can be united.
     """
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
+    # the reader of whole texts looks up the compression codecs anew for each file
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = root if "://" in root else f"file://{root}"
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^" + base.rstrip("/").replace("file:///", "file:/+") + "/", "")
-    rows = rows.select(path.alias("file_path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
+    path = F.regexp_replace("path", "^" + base.rstrip("/").replace("file:///", "file:/+") + "/", "")
+    rows = rows.select(path.alias("file_path"), F.col("content").cast("string").alias("text"), F.col("modificationTime").alias("modified"))
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // SPLITS)))
     rows = rows.where(~F.col("file_path").rlike(r"(^|/)\."))
     for prefix in skip:
         rows = rows.where(~F.col("file_path").startswith(prefix))
@@ -59,10 +64,13 @@ def write_whole(rows: DataFrame, root: str) -> None:
 
     def put(batches):
         fs, base = pafs.FileSystem.from_uri(root)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, made = TaskContext.get().taskAttemptId(), set()
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs.create_dir(f"{base}/{path}".rpartition("/")[0])
+                folder = f"{base}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    fs.create_dir(folder)
+                    made.add(folder)
                 with fs.open_output_stream(f"{base}/{path}.{attempt}.tmp") as f:
                     f.write((text or "").encode())
                 fs.move(f"{base}/{path}.{attempt}.tmp", f"{base}/{path}")

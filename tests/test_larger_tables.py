@@ -114,3 +114,11 @@ def test_an_index_is_shuffled_once(spark, tmp_path):
     assert sorted((r["id"], r["tf"]) for r in postings.whole(index.entries.where("term = 'the'")).collect()) == [(1, 3), (2, 3)]
     found = postings.search_each(index, spark.createDataFrame([(7, "the end"), (8, "c")], "query_id long, query string"), 3)
     assert [(r["query_id"], r["id"]) for r in found.orderBy("query_id", "rank").collect()] == [(7, 1), (7, 2), (8, 2)]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Splits of small files are read many to a task; a file's name is as it was written."""
+    rows = [(i, f"text {i}\r\n\u00e4" * (i % 9 + 1), "en", ["src0", "src1", "a b%41", "c#d?"][i % 4], 1) for i in range(1200)]
+    got = against_sql(spark, tmp_path, "two_roots", documents=(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    assert len(got) == 1100 and ("a b%41/2.md", len("text 2\r\n\u00e4" * 3)) in got
+    assert QUERIES["two_roots"](spark, str(tmp_path)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism  # 38 splits
