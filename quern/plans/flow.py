@@ -132,11 +132,12 @@ def markdown_scan(t):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int"))
     name = F.concat(F.when(F.col("doc_id") % 10 == 0, F.when(F.col("doc_id") % 20 == 0, ".").otherwise("draft-")).otherwise(""), k, F.lit(".md"))
     path = F.concat(F.col("source"), F.lit("/2024-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("/"), name)
-    text = F.concat(F.lit("---\ntitle: Note "), k, F.lit("\ndate: "), day.cast("string"), F.lit("\n---\n"), F.trim(F.col("text"), F.lit("\n")))
+    text = F.concat(F.lit("---\ntitle: Note "), k, F.lit("\ndate: "), day.cast("string"), F.lit("\n---"), F.coalesce(F.concat(F.lit("\n"), F.trim(F.col("text"), F.lit("\n"))), F.lit("")))
     root = new_folder(t.spark, "notes")
     files.write_whole(t.documents.select(path.alias("file_path"), text.alias("text")), root)
     rows = files.documents(files.markdown(t.spark, root, skip=("src1",), globs=("*draft-*",), namespace="@memory/"))
-    return rows.select("file_path", "title", F.split("file_path", "/")[1].alias("source"), F.length("body").alias("chars"), F.to_date(F.col("frontmatter")["date"]).alias("day"))
+    chars = F.when(~F.col("text").rlike(r"\A---\ntitle: [^\n]*\ndate: [^\n]*\n---\z"), F.length("body"))  # no line after the front matter, no text
+    return rows.select("file_path", "title", F.split("file_path", "/")[1].alias("source"), chars.alias("chars"), F.to_date(F.col("frontmatter")["date"]).alias("day"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'o365-mail' WHEN 1 THEN 'calls' ELSE 'default' END AS source, CASE p_partkey % 3 WHEN 0 THEN 'o365' WHEN 1 THEN 'calls' ELSE 'misc' END AS connector, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE NULL END AS channel FROM part""")

@@ -13,30 +13,67 @@ from pyspark.sql import functions as F
 #: fixed values: front-matter keys that become columns
 PROMOTED = ("subject", "from", "participants", "title", "speakers", "assignee", "status", "priority", "project", "space")
 
-#: as a file counts as 4 MB at least, a split holds few small ones (32 by default); a task reads so many splits
-SPLITS = 32
+#: bytes of whole files that are handed on together
+BATCH = 16 << 20
+
+
+def _listed(infos, base: str):
+    """Batches of (path, folder, modified) with paths below ``base``."""
+    infos = [i for i in infos if i.type != pafs.FileType.NotFound]
+    for k in range(0, len(infos), 10_000):
+        some = infos[k : k + 10_000]
+        columns = [i.path[len(base) :].lstrip("/") for i in some], [i.type == pafs.FileType.Directory for i in some], [i.mtime_ns and i.mtime_ns // 1000 for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64()), strict=True)], ["path", "folder", "modified"])
 
 
 def markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = (), namespace: str = "", globs: tuple[str, ...] = (), source: str = "") -> DataFrame:
-    """(file_path, text, modified) of all Markdown files below root; hidden ones, skipped prefixes and names that match a glob are left out.
+    """(file_path, text, modified) of all Markdown files below root, empty ones too; hidden ones, skipped prefixes and names that match a glob are left out.
 
     ``source``: only files below this folder; ``namespace`` goes in front of the paths, so several roots can be united.
+    Spark's own readers leave out files without a byte and names that begin with "_", and list a tree in the driver; so
+    tasks list it, a folder of the first level each, and its files are dealt out to be read.
     """
-    # the reader of whole texts looks up the compression codecs anew for each file
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    base = root if "://" in root else f"file://{root}"
-    path = F.regexp_replace("path", "^" + base.rstrip("/").replace("file:///", "file:/+") + "/", "")
-    rows = rows.select(path.alias("file_path"), F.col("content").cast("string").alias("text"), F.col("modificationTime").alias("modified"))
-    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // SPLITS)))
-    rows = rows.where(~F.col("file_path").rlike(r"(^|/)\."))
+
+    def first(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for _ in batches:
+            yield from _listed(fs.get_file_info(pafs.FileSelector(base)), base)
+
+    def deeper(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            yield batch
+            for path, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if folder:
+                    yield from _listed(fs.get_file_info(pafs.FileSelector(f"{base}/{path}", recursive=True)), base)
+
+    def read(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("modified", pa.int64())])
+        for batch in batches:
+            rows, size = [], 0
+            for path, modified in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_input_stream(f"{base}/{path}", compression=None) as f:
+                    rows.append({"path": path, "content": f.read(), "modified": modified})
+                size += len(rows[-1]["content"])
+                if size > BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = spark.range(1, numPartitions=1).mapInArrow(first, "path string, folder boolean, modified long").repartition(n).mapInArrow(deeper, "path string, folder boolean, modified long")
+    found = found.where(~F.col("folder") & F.col("path").endswith(".md") & ~F.col("path").rlike(r"(^|/)\."))
     for prefix in skip:
-        rows = rows.where(~F.col("file_path").startswith(prefix))
-    name = F.substring_index("file_path", "/", -1)
+        found = found.where(~F.col("path").startswith(prefix))
+    name = F.substring_index("path", "/", -1)
     for glob in globs:
-        rows = rows.where(~name.rlike("^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"))
+        found = found.where(~name.rlike("^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"))
     if source:
-        rows = rows.where(F.col("file_path").startswith(source.rstrip("/") + "/"))
-    return rows.withColumn("file_path", F.concat(F.lit(namespace), "file_path"))
+        found = found.where(F.col("path").startswith(source.rstrip("/") + "/"))
+    rows = found.select("path", "modified").repartition(n).mapInArrow(read, "path string, content binary, modified long")
+    return rows.select(F.concat(F.lit(namespace), "path").alias("file_path"), F.col("content").cast("string").alias("text"), F.timestamp_micros("modified").alias("modified"))
 
 
 def roots(spark: SparkSession, namespaces: dict[str, str], excluded: dict[str, tuple[str, ...]] | None = None, **how) -> DataFrame:
@@ -59,8 +96,8 @@ def path_parts(path: Column, sources: dict[str, str], channels: dict[str, int])
     return {"source": source, "connector": F.get(parts, 0), "channel": channel}
 
 
-def write_whole(rows: DataFrame, root: str) -> None:
-    """Each (file_path, text) as a file below root: written under a temporary name of its attempt, then renamed, so no reader sees half a file."""
+def write_whole(rows: DataFrame, root: str) -> int:
+    """Each (file_path, text) as a file below root, and how many: written under a temporary name of its attempt, then renamed, so no reader sees half a file."""
 
     def put(batches):
         fs, base = pafs.FileSystem.from_uri(root)
@@ -76,7 +113,13 @@ def write_whole(rows: DataFrame, root: str) -> None:
                 fs.move(f"{base}/{path}.{attempt}.tmp", f"{base}/{path}")
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
 
-    rows.select("file_path", "text").mapInArrow(put, "n long").agg(F.sum("n")).first()  # one row
+    pafs.FileSystem.from_uri(root)[0].create_dir(pafs.FileSystem.from_uri(root)[1])  # without rows, too
+    return rows.select("file_path", "text").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0  # one row
+
+
+def fits(path: Column) -> Column:
+    """Whether a tree shows a file under just this path: visible names, none of them empty or over 255 bytes."""
+    return F.coalesce(path.rlike(r"\A[^/.\x00][^/\x00]*(/[^/.\x00][^/\x00]*)*\z") & ~F.exists(F.split(path, "/"), lambda x: F.octet_length(x) > 255), F.lit(False))
 
 
 def front_matter(text: Column) -> Column:

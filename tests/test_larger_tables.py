@@ -122,3 +122,28 @@ def test_small_files_share_tasks(spark, tmp_path):
     got = against_sql(spark, tmp_path, "two_roots", documents=(rows, "doc_id long, text string, lang string, source string, n_chars int"))
     assert len(got) == 1100 and ("a b%41/2.md", len("text 2\r\n\u00e4" * 3)) in got
     assert QUERIES["two_roots"](spark, str(tmp_path)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism  # of 35 splits
+
+
+def test_documents_that_are_no_file_have_their_row(spark, tmp_path):
+    """Empty and missing texts, names and numbers; repeated and hidden names; numbers below zero."""
+    rows = [(1, ""), (3, ""), (2, None), (6, None), (-1, "minus"), (-3, "three"), (None, "x"), (4, "a"), (4, "bcd"), (9, "q"), (9, "q"), (10, "\u00e4\r\n")]
+    sources = ["src0", "src1", "src12", ".h", "_u", "a/b", "src1/x", "", "..", None]
+    table = [(i, x, "en", s, 1) for i, x in rows for s in sources], "doc_id long, text string, lang string, source string, n_chars int"
+    got = against_sql(spark, tmp_path, "two_roots", documents=table)
+    assert {("src0/1.md", 0), ("@memory/src0/3.md", 0), ("src0/2.md", None), ("src0/-1.md", 5), ("_u/10.md", 3)} <= set(got) and got.count(("@memory/src0/9.md", 1)) == 2
+
+
+def test_notes_without_a_text(spark, tmp_path):
+    rows = [(i, x, "en", "src2", 1) for i, x in enumerate(["", None, "", "a\n---\n", "\n---", "b\n"])]
+    got = against_sql(spark, tmp_path, "markdown_scan", documents=(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    assert sorted(r[3] for r in got if r[3] is not None) == [0, 1, 3, 5] and len(got) == 5
+
+
+def test_empty_files_are_read(spark, tmp_path):
+    from quern.sources import files
+
+    for name in ("top.md", "a/empty.md", "a/b/_under.md", "_c/x y%41.md"):
+        (tmp_path / "notes" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "notes" / name).write_text("" if "empty" in name else name)
+    got = {r["file_path"]: r["text"] for r in files.markdown(spark, str(tmp_path / "notes")).collect()}
+    assert got == {"top.md": "top.md", "a/empty.md": "", "a/b/_under.md": "a/b/_under.md", "_c/x y%41.md": "_c/x y%41.md"}
