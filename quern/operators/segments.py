@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from itertools import pairwise
+from bisect import bisect_right
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -128,16 +129,106 @@ def holding(chunks: DataFrame, parts: DataFrame, key: str | None = "doc") -> Dat
     return near.union(whole).union(none).groupBy(*own, "chunk").agg(F.min("segment").alias("segment"))
 
 
+#: fixed values: what parts words, and what is cut off at both ends before (blanks, as DuckDB's trim has them)
+BETWEEN = re.compile(r"[\t\n\f\r ]+")
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+SCANNED = 1 << 28  # characters that heads are looked for in, one by one; beyond, places are hashed
+BLOCK = 1 << 20
+HELD = -1_000_000  # the rank of a segment that holds the head; of others it is minus the shared words
+
+
+def _hashes(code: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` characters; equal runs have equal ones."""
+    power = np.full(len(code), 0x9E3779B97F4A7C15, np.uint64)
+    power[:1] = 1
+    power = np.multiply.accumulate(power)
+    back = np.full(len(code), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+    back[:1] = 1
+    back = np.multiply.accumulate(back)
+    # spread, as letters lie close together
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) * power)])
+    return (sums[size:] - sums[:-size]) * back[: len(code) - size + 1]
+
+
+def places(whole: str, heads: set[str]) -> dict[str, int]:
+    """Where each head that stands in a text stands first, however long the text and however many the heads."""
+    if len(whole) * len(heads) <= SCANNED:
+        return {h: at for h in heads if (at := whole.find(h)) >= 0}
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    wanted: dict[int, dict[int, list[str]]] = {}
+    for h in heads:
+        if h:
+            wanted.setdefault(len(h), {}).setdefault(int(_hashes(codes(h), len(h))[0]), []).append(h)
+    out = {"": 0} if "" in heads else {}
+    for begin in range(0, len(whole), BLOCK):
+        code = codes(whole[begin : begin + BLOCK + max(wanted, default=1) - 1])
+        for size, asked in wanted.items():
+            if len(code) < size or not asked:
+                continue
+            h = _hashes(code, size)[:BLOCK]
+            hits = np.flatnonzero(np.isin(h, np.fromiter(asked, np.uint64, len(asked))))
+            values, first = np.unique(h[hits], return_index=True)
+            for value, i in zip(values.tolist(), hits[first].tolist(), strict=True):
+                for head in asked.pop(value):  # the rare other text of equal hash is looked for plainly
+                    at = begin + i if whole.startswith(head, begin + i) else whole.find(head)
+                    out |= {head: at} if at >= 0 else {}
+    return out
+
+
+def which(chunks: list[str | None], parts: list[str | None]) -> list[tuple[int, int]]:
+    """(rank, place) of the part that each chunk belongs to; the texts of one document, which has a part at least.
+
+    The first that holds the chunk's first HEAD characters, else the first of those that share most words, else the first.
+    Words are the first 50 of a chunk and the first 200 of a part.
+    """
+    heads = [None if c is None else c[:HEAD] for c in chunks]
+    mark = "\ud800" if any("\0" in x for x in (*heads, *parts) if x) else "\0"  # stands in no head
+    starts = list(accumulate((len(p or "") + 1 for p in parts), initial=0))
+    at = places(mark.join(p or "" for p in parts), {h for h in heads if h is not None})
+    found = [(HELD, bisect_right(starts, at[h]) - 1) if h in at else None for h in heads]
+    if all(found):
+        return found
+    words = lambda x, n: set() if x is None else set(BETWEEN.split(x.strip(BLANKS), n)[:n])
+    asked = {i: words(chunks[i], 50) for i, f in enumerate(found) if f is None}
+    own = [words(p, 200) for p in parts]
+    if len(asked) * len(own) < 4096:
+        for i, w in asked.items():
+            shared = [len(w & o) for o in own]
+            found[i] = (-max(shared), shared.index(max(shared)))
+        return found
+    lists: dict[str, list[int]] = {w: [] for v in asked.values() for w in v}
+    for k, o in enumerate(own):
+        for w in o & lists.keys():
+            lists[w].append(k)
+    having = {w: np.array(v, np.int64) for w, v in lists.items()}
+    for i, w in asked.items():
+        shared = np.zeros(len(own), np.int32)
+        for x in w:
+            shared[having[x]] += 1
+        found[i] = (-int(shared.max()), int(shared.argmax()))
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("place", T.IntegerType())])))
+def _which(chunks: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([[{"rank": r, "place": p} for r, p in which(list(c), list(s))] if len(s) else None for c, s in zip(chunks, parts, strict=True)], dtype="object")
+
+
+def best_of(rows: DataFrame) -> DataFrame:
+    """(doc, chunk, segment) of documents (doc, chunks: (chunk, chunk_text), parts in order: (segment, segment_text)), a row each."""
+    rows = rows.where("doc is not null").withColumn("found", _which("chunks.chunk_text", "parts.segment_text"))
+    # of chunks of one number, the best counts
+    best = lambda f: F.struct(f["rank"].alias("rank"), F.get("parts.segment", f["place"]).alias("segment"))
+    found = rows.select("doc", F.zip_with("chunks.chunk", F.transform("found", best), lambda c, b: F.struct(c.alias("chunk"), b.alias("best"))).alias("x"))
+    numbers = F.array_distinct("x.chunk")
+    once = F.when(F.size(numbers) == F.size("x"), F.col("x")).otherwise(F.transform(numbers, lambda n: F.array_min(F.filter("x", lambda y: y["chunk"] == n))))
+    return found.select("doc", F.explode(once).alias("x")).select("doc", "x.chunk", "x.best.segment")
+
+
 def best_segment(chunks: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc, chunk, segment): the first segment that holds the chunk's head, else the first of those that share most words, else the first.
+    """(doc, chunk, segment) of chunks (doc, chunk, chunk_text) and parts (doc, segment, segment_text), as ``which`` has it.
 
-    Words are the first 50 of a chunk and the first 200 of a segment; they are joined by word.
+    A document's texts come together in one row, whose pieces are looked up in each other there.
     """
-    words = lambda c, n: F.explode(F.array_distinct(F.filter(F.slice(F.split(F.trim(c), r"\s+"), 1, n), lambda w: w != ""))).alias("w")
-    found = holding(chunks, parts)
-    rest = chunks.join(found.select("doc", "chunk"), ["doc", "chunk"], "left_anti")
-    shared = rest.select("doc", "chunk", words("chunk_text", 50)).join(parts.select("doc", "segment", words("segment_text", 200)), ["doc", "w"]).groupBy("doc", "chunk", "segment").agg(F.count("*").alias("n"))
-    most = shared.groupBy("doc", "chunk").agg(F.min_by("segment", F.struct(-F.col("n"), "segment")).alias("segment"))
-    first = parts.groupBy("doc").agg(F.min("segment").alias("_first"))
-    other = rest.select("doc", "chunk").join(most, ["doc", "chunk"], "left").join(first, "doc")
-    return found.select("doc", "chunk", "segment").union(other.select("doc", "chunk", F.coalesce("segment", "_first")))
+    one = lambda rows, name, *c: rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    return best_of(one(chunks, "chunks", "chunk", "chunk_text").join(one(parts, "parts", "segment", "segment_text"), "doc"))

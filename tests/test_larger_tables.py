@@ -147,3 +147,42 @@ def test_empty_files_are_read(spark, tmp_path):
         (tmp_path / "notes" / name).write_text("" if "empty" in name else name)
     got = {r["file_path"]: r["text"] for r in files.markdown(spark, str(tmp_path / "notes")).collect()}
     assert got == {"top.md": "top.md", "a/empty.md": "", "a/b/_under.md": "a/b/_under.md", "_c/x y%41.md": "_c/x y%41.md"}
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def test_chunks_are_matched_in_the_row_of_their_document(spark, tmp_path):
+    """Nothing is shuffled for it; words are those of the SQL, and documents of one id are one."""
+    import random
+
+    rng, texts = random.Random(5), ["", None, "one line", "\n\n\n\n\n\n", "a\0b\n\0\nc"]
+    for n in (3, 9, 40):
+        for words in (["a", "b", "", " ", "c\vd", " e", "ä f "], ["the", "end", "of", "x" * 90, "\t", "g\r"]):
+            texts += ["\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(n)) for _ in range(6)]
+    once = [(i, x, "en", "src0", 1) for i, x in enumerate(texts)]
+    got = against_sql(spark, tmp_path / "once", "chunk_segments", documents=(once, DOCUMENTS))
+    assert len(got) == sum(-(-len(x.split("\n")) // 3) for x in texts if x is not None)
+    plan = QUERIES["chunk_segments"](spark, str(tmp_path / "once"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    again = [(i // 2, *r) for i, *r in once] + [(None, "x", "en", "src0", 1)]
+    against_sql(spark, tmp_path / "again", "chunk_segments", documents=(again, DOCUMENTS))
+
+
+def test_heads_of_a_long_text(monkeypatch):
+    """Places by hashes are those of a plain search; words by lists as well."""
+    import random
+
+    from quern.operators import segments
+
+    rng = random.Random(3)
+    whole = "".join(rng.choice("abä\n") for _ in range(3000)) + "\U0001f600" + "a" * 500
+    heads = {whole[at : at + n] for n in (1, 5, 40, 200) for at in range(0, 3300, 97)} | {"", "b" * 60, "zz"}
+    want = {h: whole.find(h) for h in heads if h in whole}
+    lines = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(12)) for _ in range(400)]
+    chunks, parts = ["\n".join(lines[i : i + 3]) for i in range(0, 400, 3)], ["\n".join(lines[i : i + 4]) for i in range(0, 400, 4)]
+    few = [segments.which([c], parts)[0] for c in chunks]
+    assert segments.which(chunks, parts) == few  # 134 times 100
+    monkeypatch.setattr(segments, "SCANNED", 0)
+    monkeypatch.setattr(segments, "BLOCK", 64)
+    assert segments.places(whole, heads) == want and segments.which(chunks, parts) == few
