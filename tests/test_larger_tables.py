@@ -186,3 +186,14 @@ def test_heads_of_a_long_text(monkeypatch):
     monkeypatch.setattr(segments, "SCANNED", 0)
     monkeypatch.setattr(segments, "BLOCK", 64)
     assert segments.places(whole, heads) == want and segments.which(chunks, parts) == few
+
+
+def test_office_texts_are_whole(spark, tmp_path):
+    """All of a text, in each kind of body; a document without one keeps its row."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab \n\u00e4(){}[]\\<>&;'\"%") for _ in range(n)) for n in (299, 301, 5_000, 200_000)] + ["<si></si> &amp; stream " * 40 + "TJ] Tj) endstream", "x" * 40_000 + " last", None]
+    rows = [(6 * i + k, x, "en", "src0", 1) for i, x in enumerate(texts) for k in range(6)]
+    got = against_sql(spark, tmp_path, "office_texts", documents=(rows, DOCUMENTS))
+    assert sorted(len(x) for _, x in got if x is not None)[-6] > 100_000 and sum(x is None for _, x in got) == 6
